@@ -72,10 +72,20 @@ PLANTS = (
 )
 
 
-def _render(template: str) -> str:
+# Markup for the contexts that the stored pages lack; {q} is a single quote.
+PAGE_PLANTS = (
+    '<button onclick="send({q}u{q}, token = &quot;{h}&quot;)" class="x">&amp;lt;</button>',
+    '<script>var u="&quot;"; window.__env__ = {{"apiKey": "AIza{hh:35}",\n "n": 1}}; window.__cfg__={{}};</script>',
+    '<script id="d" type="application/ld+json">{{"stripe_secret": "{hh:40}"}}</script>',
+    '<meta name="v" content="csrf_token=&#39;{h}&#39;"><p onload = {q}go(){q}>&#x41;KIA{H:16} &#38;amp; &#233;</p>',
+    '<style>a{{background:url(https://b{h:9}.s3.amazonaws.com/i.png)}}</style><a href="https://sub.example.com/a#b">&nbsp;</a>',
+)
+
+
+def _render(template: str, column: str = "text") -> str:
     """A template as an SQL expression that both engines read alike."""
-    digest = "md5(text)"
-    sources = {"h": digest, "H": f"upper({digest})", "hh": f"concat({digest}, md5(reverse({digest})))", "d": "chr(36)"}
+    digest = f"md5({column})"
+    sources = {"h": digest, "H": f"upper({digest})", "hh": f"concat({digest}, md5(reverse({digest})))", "d": "chr(36)", "q": "chr(39)"}
     parts, rest = [], template.replace("{{", "\x01").replace("}}", "\x02")
     while rest:
         plain, brace, rest = rest.partition("{")
@@ -92,6 +102,10 @@ PLANTED_TEXT = "concat(text, chr(10), CASE " + " ".join(
     f"WHEN doc_id % {len(PLANTS)} = {i} THEN {_render(t)}" for i, t in enumerate(PLANTS)
 ) + " END)"
 
+PLANTED_HTML = "concat(html, CASE " + " ".join(
+    f"WHEN page_id % {len(PAGE_PLANTS)} = {i} THEN {_render(t, 'html')}" for i, t in enumerate(PAGE_PLANTS)
+) + " END)"
+
 # Names for documents that the filters on names tell apart.
 NAMED_URI = """concat(source, CASE doc_id % 6 WHEN 0 THEN '/app.min.js' WHEN 1 THEN '/logo.PNG' WHEN 2 THEN '/tests/a.py'
   WHEN 3 THEN '/.env' WHEN 4 THEN '/latest/contests.py' ELSE '/conf/id_rsa' END)"""
@@ -238,8 +252,11 @@ def queries() -> dict[str, Query]:
     def docs(s, d):
         return _table(s, d, "documents")
 
+    def planted_pages(s, d):
+        return pages(s, d).withColumn("html", F.expr(PLANTED_HTML))
+
     def context(name: str) -> Query:
-        return lambda s, d: _digest(contexts(pages(s, d), [name]))
+        return lambda s, d: _digest(contexts(planted_pages(s, d), [name]))
 
     def page_findings(s, d):
         return mask(detect(units_from_pages(pages(s, d))))
@@ -299,15 +316,16 @@ def queries() -> dict[str, Query]:
         "c6_json": context("json"),
         "c7_html": context("html"),
         "c8_decode_entities": lambda s, d: pages(s, d).select(
-            "page_id", F.md5(decode_entities(F.col("html"))).alias("digest")),
+            "page_id", F.md5(decode_entities(F.expr(PLANTED_HTML))).alias("digest")),
         "c9_scan_pages": page_findings,
+        "c9_scan_every_context": lambda s, d: mask(detect(contexts(planted_pages(s, d)))),
         # filters
         "f1_drop_minified": lambda s, d: drop_minified(named(s, d)).select("unit_id", "uri"),
         "f2_drop_assets": lambda s, d: drop_assets(named(s, d)).select("unit_id", "uri"),
         "f3_drop_test_data": lambda s, d: drop_test_data(named(s, d)).select("unit_id", "uri"),
         "f4_drop_noise": lambda s, d: drop_noise(_planted(s, d)),
         "f5_in_scope": lambda s, d: in_scope(pages(s, d), DOMAIN).select("page_id", "url"),
-        "f5_in_scope_exact": lambda s, d: in_scope(pages(s, d), "blog.tionsh.example.com", subdomains=False).select("page_id", "url"),
+        "f5_in_scope_exact": lambda s, d: in_scope(pages(s, d), "thther.example.org", subdomains=False).select("page_id", "url"),
         "f6_in_list": lambda s, d: in_list(pages(s, d), _even_hosts(s, d)).select("page_id", "url"),
         "f7_include_all": lambda s, d: drop_likely_false_positives(named(s, d), include_all=True).select("unit_id", "uri"),
         "f8_default_filters": lambda s, d: scan_units(named(s, d)),
@@ -354,6 +372,7 @@ def oracle_sql() -> dict[str, str]:
     found = duck.masked(raw)
     planted_docs = f"SELECT * REPLACE ({PLANTED_TEXT} AS text) FROM ({docs})"
     planted = duck.detect(planted_docs)
+    planted_pages = f"SELECT * REPLACE ({PLANTED_HTML} AS html) FROM pages"
     named = f"SELECT unit_id, {NAMED_URI} AS uri, context, text, doc_id FROM ({docs})"
     generic = select_rules(RULES, rule_ids=["generic_secret"])
     re = duck.lit
@@ -425,16 +444,17 @@ def oracle_sql() -> dict[str, str]:
         "d6_select_rules": duck.detect(planted_docs, select_rules(RULES, families=["aws", "google", "session"])),
         "d7_mask": duck.masked(planted),
         "d8_best_rule": duck.best(planted),
-        **{f"c{i}_{label}": digest(duck.contexts([name])) for i, (label, name) in enumerate(
+        **{f"c{i}_{label}": digest(duck.contexts([name], planted_pages)) for i, (label, name) in enumerate(
             [("scripts", "script"), ("css", "css"), ("handlers", "handler"), ("meta", "meta"), ("config", "config"), ("json", "json"), ("html", "html")], start=1)},
-        "c8_decode_entities": f"SELECT page_id, md5({duck.decode('html')}) AS digest FROM pages",
+        "c8_decode_entities": f"SELECT page_id, md5({duck.decode('html')}) AS digest FROM ({planted_pages})",
         "c9_scan_pages": duck.masked(duck.detect(duck.contexts())),
+        "c9_scan_every_context": duck.masked(duck.detect(duck.contexts(pages=planted_pages))),
         "f1_drop_minified": f"SELECT unit_id, uri FROM ({named}) WHERE NOT {minified}",
         "f2_drop_assets": f"SELECT unit_id, uri FROM ({named}) WHERE NOT {asset}",
         "f3_drop_test_data": f"SELECT unit_id, uri FROM ({named}) WHERE NOT {tests}",
         "f4_drop_noise": duck.noise_free(planted),
         "f5_in_scope": f"SELECT page_id, url FROM pages WHERE {scope}",
-        "f5_in_scope_exact": f"SELECT page_id, url FROM pages WHERE {duck.host('url')} = 'blog.tionsh.example.com'",
+        "f5_in_scope_exact": f"SELECT page_id, url FROM pages WHERE {duck.host('url')} = 'thther.example.org'",
         "f6_in_list": f"SELECT page_id, url FROM ({listed})",
         "f7_include_all": f"SELECT unit_id, uri FROM ({named})",
         "f8_default_filters": duck.masked(duck.noise_free(duck.detect(f"SELECT * FROM ({named}) WHERE NOT ({minified} OR {asset} OR {tests})"))),

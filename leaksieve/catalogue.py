@@ -12,6 +12,7 @@ Every rule may name cheap *gates*, conditions that its regex implies:
              character class, so a whole text is rejected in one quick pass
 ``literal``  case-sensitive substring
 ``words``    lower-case substrings, one of which must occur in the lower-cased text
+``tail``     a regex of the rule's own that begins with its rarest character
 
 A gate never changes a result. It only decides whether the costly regex runs.
 """
@@ -63,6 +64,7 @@ class Rule:
     shape: str | None = None
     literal: str | None = None
     words: tuple[str, ...] = ()
+    tail: str | None = None
     bounded: bool = False  # drop matches followed by a letter, digit or underscore
     target: str = "text"  # "uri" rules look at the name of the unit instead
 
@@ -119,7 +121,8 @@ FIXED_RULES: tuple[Rule, ...] = (
     ),
     _fixed(
         "twitter_access_token", "Twitter Access Token", "social",
-        r"((?:^|[^0-9A-Za-z]))([1-9][0-9]{1,20}-[0-9a-zA-Z]{40})", shape="dash", bounded=True,
+        r"((?:^|[^0-9A-Za-z]))([1-9][0-9]{1,20}-[0-9a-zA-Z]{40})",
+        shape="dash", tail="-[0-9a-zA-Z]{40}", bounded=True,
     ),
     _fixed("slack_token", "Slack Token", "social", r"()(xox[abeoprs]-[0-9A-Za-z-]{20,250})", shape="dash", literal="xox"),
     _fixed(
@@ -134,7 +137,8 @@ FIXED_RULES: tuple[Rule, ...] = (
     ),
     _fixed(
         "telegram_bot_token", "Telegram Bot Token", "social",
-        r"((?:^|[^0-9A-Za-z]))([0-9]{8,10}:[A-Za-z0-9_-]{35})", shape="assign", bounded=True,
+        r"((?:^|[^0-9A-Za-z]))([0-9]{8,10}:[A-Za-z0-9_-]{35})",
+        shape="assign", tail=":[A-Za-z0-9_-]{35}", bounded=True,
     ),
     _fixed("github_token", "GitHub Token", "code_hosting", r"()(gh[opsur]_[0-9A-Za-z]{36})", shape="underscore", literal="gh", bounded=True),
     _fixed(
@@ -206,12 +210,12 @@ FIXED_RULES: tuple[Rule, ...] = (
     _fixed(
         "dotenv_assignment", "Dotenv Assignment", "config_file",
         r"""((?m:^)(?:export )?[A-Z][A-Z0-9_]{0,40}(?:KEY|TOKEN|SECRET|PASSWORD)=["']?)([^\s"']{8,256})""",
-        shape="dotenv", kind="generic",
+        shape="dotenv", tail="(?:KEY|TOKEN|SECRET|PASSWORD)=", kind="generic",
     ),
     _fixed(
         "generic_secret", "Generic Secret", "generic",
         rf"""((?i:{_WORD_START}(?:api_?key|apikey|secret|token|password|passwd))["']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}["'])([A-Za-z0-9_./+=-]{{16,256}})""",
-        shape="assign", kind="generic",
+        shape="assign", tail=r"""[=:>][ \t]{0,4}["'][A-Za-z0-9_./+=-]{16}""", kind="generic",
     ),
     _fixed(
         "critical_config_file", "Critical Config File", "config_file",
@@ -325,13 +329,31 @@ def rules(spark: SparkSession, catalogue: Sequence[Rule] = RULES) -> DataFrame:
 _EMPTY_PROBES = ("", "a", " ", "\n", "a b", "a-b", "=\"'", "A1_")
 
 
+def _is_left_and_value(regex: str) -> bool:
+    """Whether a regex is one capturing group followed by another, and nothing else."""
+    # escapes and character classes hold no structure
+    bare = re.sub(r"\\[^QE]", "x", regex)
+    bare = re.sub(r"\[\^?\]?[^\]]*\]", "x", bare)
+    depth, ends = 0, []
+    for i, char in enumerate(bare):
+        depth += (char == "(") - (char == ")")
+        if depth == 0:
+            ends.append(i)
+    return (
+        len(ends) == 2 and ends[1] == len(bare) - 1 and bare[ends[0]] == bare[ends[1]] == ")"
+        and bare[0] == "(" and bare[1:2] != "?" and bare[ends[0] + 2 : ends[0] + 3] != "?"
+    )
+
+
 def validate(spark: SparkSession, extra: Iterable[Rule]) -> None:
     """Compile custom rules with Spark's own regex functions and check the convention.
 
-    Raises ``ValueError`` for a regex that does not compile, has fewer than two
-    groups or matches the empty string.
+    Raises ``ValueError`` for a regex that does not compile, is not of the form
+    ``(left context)(value)`` or matches the empty string.
     """
     for rule in extra:
+        if not _is_left_and_value(rule.regex):
+            raise ValueError(f"rule {rule.rule_id}: regex must be (left context)(value)")
         if rule.kind not in KIND_RANK or rule.target not in ("text", "uri"):
             raise ValueError(f"rule {rule.rule_id}: unknown kind or target")
         if rule.shape is not None and rule.shape not in SHAPES:

@@ -58,6 +58,8 @@ def rule_condition(rule: Rule, text: Column, lowered: Column, uri: Column) -> Co
         conditions.append(subject.contains(rule.literal))
     if rule.words:
         conditions.append(any_of([lowered.contains(word) for word in rule.words]))
+    if rule.tail is not None:
+        conditions.append(subject.rlike(rule.tail))
     conditions.append(subject.rlike(rule.regex))
     return all_of(conditions)
 

@@ -91,25 +91,23 @@ def detect(units: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str]
     ).select(
         "unit_id", "uri", *keep, "context", "__rule",
         F.regexp_extract_all("__subject", F.col("__regex"), F.lit(0)).alias("__match"),
-        F.regexp_extract_all("__subject", F.col("__regex"), F.lit(1)).alias("__left"),
         F.regexp_extract_all("__subject", F.col("__regex"), F.lit(2)).alias("__value"),
         F.split("__subject", F.col("__regex"), -1).alias("__gap"),
     )
 
-    # A match ends where all gaps and matches up to it have been passed.
+    # A match ends where all gaps and matches up to it have been passed, and its value ends with it.
     lengths = F.transform("__match", lambda m, i: (F.length(F.get("__gap", i)) + F.length(m)).cast("bigint"))
     ends = matched.withColumn("__length", lengths).withColumn(
-        "__match_end", running_total(F.col("__length"), F.size("__length"))
+        "__end", running_total(F.col("__length"), F.size("__length"))
     )
 
     def row(match: Column, i: Column) -> Column:
-        value, left = F.get("__value", i), F.get("__left", i)
-        start = F.get("__match_end", i) - F.length(match) + F.length(left)
+        value, end = F.get("__value", i), F.get("__end", i)
         gap, following = F.get("__gap", i + 1), F.get("__match", i + 1)
         return F.struct(
             value.alias("value"),
-            start.alias("start"),
-            (start + F.length(value)).alias("end"),
+            (end - F.length(value)).alias("start"),
+            end.alias("end"),
             # the character after the match: from the next gap, or from the next match if they touch
             F.when(F.length(gap) > 0, F.substring(gap, 1, 1)).otherwise(F.substring(following, 1, 1)).alias("__next"),
         )

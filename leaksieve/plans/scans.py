@@ -12,7 +12,7 @@ from ..operators.contexts import CONTEXTS
 from ..operators.detect import best_rule, detect, mask
 from ..operators.filters import drop_likely_false_positives, drop_noise, in_list, in_scope
 from ..operators.links import links, page_budget, reachable
-from ..session import semi_join
+from ..session import semi_join, spread
 from ..sources.files import read_dir, read_file
 from ..sources.history import HISTORY_COLUMNS, units_from_history
 from ..sources.tables import units_from_pages
@@ -46,8 +46,8 @@ def scan_history(commits: DataFrame, **options) -> DataFrame:
 
 
 def scan_domains(pages: DataFrame, domains: DataFrame, only: Sequence[str] = CONTEXTS, **options) -> DataFrame:
-    """Stored pages of every listed domain."""
-    return scan_units(units_from_pages(in_list(pages, domains), only, spread_out=False), **options)
+    """Stored pages of every listed domain; ``pages`` is a scan of a table."""
+    return scan_units(units_from_pages(in_list(spread(pages, "page_id"), domains), only, spread_out=False), **options)
 
 
 def site_pages(
@@ -81,6 +81,6 @@ def scan_site(
     pages: DataFrame, domain: str, depth: int | None = None, max_pages: int | None = None,
     seeds: DataFrame | None = None, include_all: bool = False, only: Sequence[str] = CONTEXTS, **options,
 ) -> DataFrame:
-    """Findings on the pages of one site, see :func:`site_pages`."""
-    chosen = site_pages(pages, domain, depth, max_pages, seeds, include_all)
+    """Findings on the pages of one site, see :func:`site_pages`; ``pages`` is a scan of a table."""
+    chosen = site_pages(spread(pages, "page_id"), domain, depth, max_pages, seeds, include_all)
     return scan_units(units_from_pages(chosen, only, spread_out=False), include_all=include_all, **options)

@@ -72,6 +72,10 @@ def decode(text: str) -> str:
     out = f"regexp_replace({text}, '&#(?:0*38|[xX]0*26);', '&amp;', 'g')"
     out = f"""list_reduce(list_prepend({out}, list_distinct(regexp_extract_all({out}, '&#([0-9]{{1,7}});', 1))), lambda acc, d:
       CASE WHEN CAST(d AS INTEGER) BETWEEN 32 AND 126 THEN replace(acc, concat('&#', d, ';'), chr(CAST(d AS INTEGER))) ELSE acc END)"""
+    hexes = f"list_distinct(regexp_extract_all({out}, '&#[xX]([0-9A-Fa-f]{{1,6}});', 1))"
+    out = f"""list_reduce(list_prepend({out}, {hexes}), lambda acc, d: CASE WHEN CAST(concat('0x', d) AS INTEGER) BETWEEN 32 AND 126
+      THEN replace(replace(acc, concat('&#x', d, ';'), chr(CAST(concat('0x', d) AS INTEGER))), concat('&#X', d, ';'), chr(CAST(concat('0x', d) AS INTEGER)))
+      ELSE acc END)"""
     for name, char in ENTITIES:
         out = f"replace({out}, {lit(name)}, {lit(char)})"
     return f"replace({out}, '&amp;', '&')"
