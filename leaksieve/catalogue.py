@@ -209,7 +209,7 @@ FIXED_RULES: tuple[Rule, ...] = (
     _fixed("uri_elasticsearch", "Elasticsearch URI Password", "service_uri", r"((?i:https?)://(?i:elastic[A-Za-z0-9_]{0,20}):)([^\s/@]{3,100})", shape="userinfo", words=("elastic",)),
     _fixed(
         "dotenv_assignment", "Dotenv Assignment", "config_file",
-        r"""((?m:^)(?:export )?[A-Z][A-Z0-9_]{0,40}(?:KEY|TOKEN|SECRET|PASSWORD)=["']?)([^\s"']{8,256})""",
+        r"""((?:^|[\r\n])(?:export )?[A-Z][A-Z0-9_]{0,40}(?:KEY|TOKEN|SECRET|PASSWORD)=["']?)([^\s"']{8,256})""",
         shape="dotenv", tail="(?:KEY|TOKEN|SECRET|PASSWORD)=", kind="generic",
     ),
     _fixed(

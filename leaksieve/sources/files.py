@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import drop_likely_false_positives
+from .hidden import hidden_files
 
 
 def _units(df: DataFrame) -> DataFrame:
@@ -24,19 +25,20 @@ def read_file(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return _units(whole.select(F.col("_metadata.file_path").alias("__path"), F.col("value").alias("text")))
 
 
-def read_dir(spark: SparkSession, path: str, include_all: bool = False) -> DataFrame:
-    """A directory, recursively.
+def read_dir(spark: SparkSession, path: str, include_all: bool = False, hidden: bool = True) -> DataFrame:
+    """A directory, recursively, without empty files.
 
     By default minified files, assets and test data are dropped by name, and files
-    that are not valid UTF-8 by content. The filters on the name use the file path
-    that the scan knows before it reads content. ``include_all`` keeps every file
-    and replaces bytes that do not decode.
+    that are not valid UTF-8 by content. ``include_all`` keeps every file and
+    replaces bytes that do not decode. Files with hidden names, ``.env`` for one,
+    are read too unless ``hidden`` is off, see :mod:`leaksieve.sources.hidden`.
     """
-    binary = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select(F.col("path").alias("__path"), F.col("path").alias("uri"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    if hidden:
+        files = files.unionByName(hidden_files(spark, path, include_all))
+    named = drop_likely_false_positives(
+        files.select(F.col("path").alias("__path"), F.col("path").alias("uri"), "content"), include_all
     )
-    named = drop_likely_false_positives(binary, include_all)
     content = F.col("content").cast("string")
     if include_all:
         return _units(named.select("__path", F.make_valid_utf8(content).alias("text")))
