@@ -33,6 +33,9 @@ DOMAIN = "example.com"
 # Card numbers, as a rule that a user adds.
 CUSTOM = Rule("card_number", "Card Number", "custom", r"((?:^|[^0-9]))([0-9]{16})", bounded=True)
 
+# The regex part of the Python rule, for its oracle.
+HEX_RUN = Rule("hex_entropy", "Hex Token", "custom", r"((?:^|[^0-9a-f]))([0-9a-f]{40})", bounded=True)
+
 # Secret-shaped lines put together from the hash of each document, so that every
 # family of rules meets the whole table. {h} is 32 hex digits, {H} the same in
 # upper case, {hh} 64 hex digits, {d} a dollar sign.
@@ -488,6 +491,8 @@ def oracle_sql() -> dict[str, str]:
           row_number() OVER (PARTITION BY fingerprint ORDER BY seq, commit_id, uri, unit_id, start, type) AS rn FROM ({sourced})) WHERE rn = 1""",
         "h3_history_only": f"""WITH f AS ({sourced}) SELECT * FROM f WHERE seq % 2 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE seq % 2 = 1)""",
         "x1_scan_stream": found,
+        "u1_python_rule": f"""SELECT uri, 'Hex Token' AS type, value, start, "end", context, unit_id, 'hex_entropy' AS rule_id
+          FROM ({duck.detect(docs, [HEX_RUN])}) WHERE list_aggregate(string_split(value, ''), 'entropy') > 3.0""",
         "x2_dedup_stream": f"SELECT DISTINCT fingerprint, source AS uri, type FROM ({duck.masked(duck.detect(docs, keep=['source']))})",
     }
     return out

@@ -68,11 +68,13 @@ def drop_test_data(units: DataFrame) -> DataFrame:
     return units.filter(~is_test_data(F.col("uri")))
 
 
+def is_likely_false_positive(uri: Column) -> Column:
+    return is_minified(uri) | is_asset(uri) | is_test_data(uri)
+
+
 def drop_likely_false_positives(units: DataFrame, include_all: bool = False) -> DataFrame:
     """The three filters on ``uri``; full coverage keeps everything."""
-    if include_all:
-        return units
-    return drop_test_data(drop_assets(drop_minified(units)))
+    return units if include_all else units.filter(~is_likely_false_positive(F.col("uri")))
 
 
 def drop_noise(findings: DataFrame) -> DataFrame:

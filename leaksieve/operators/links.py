@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import decode_entities, host, origin
-from ..session import checkpoint
+from ..session import written
 
 REFERENCE_DOUBLE = r"""(?is)\s(?:href|src)\s*=\s*"([^"]*)\""""
 REFERENCE_SINGLE = r"(?is)\s(?:href|src)\s*=\s*'([^']*)'"
@@ -37,8 +37,8 @@ def resolve(base: Column, reference: Column) -> Column:
     )
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """Distinct links ``(src, dst)`` of all pages. The page text is dropped before the shuffle."""
+def _references(pages: DataFrame) -> DataFrame:
+    """Links of each page, without repeats on the page. Narrow."""
     references = F.concat(
         F.regexp_extract_all("html", F.lit(REFERENCE_DOUBLE), F.lit(1)),
         F.regexp_extract_all("html", F.lit(REFERENCE_SINGLE), F.lit(1)),
@@ -47,14 +47,24 @@ def links(pages: DataFrame) -> DataFrame:
     found = pages.select(src.alias("src"), F.explode(F.array_distinct(references)).alias("reference"))
     return (
         found.select("src", resolve(F.col("src"), decode_entities(F.col("reference"))).alias("dst"))
-        .filter(F.col("dst").isNotNull()).distinct()
+        .filter(F.col("dst").isNotNull())
     )
 
 
+def links(pages: DataFrame) -> DataFrame:
+    """Distinct links ``(src, dst)`` of all pages. The page text is dropped before the shuffle."""
+    return _references(pages).distinct()
+
+
 def subdomains(pages: DataFrame, domain: str) -> DataFrame:
-    """Hosts of a domain, as far as the urls and links of the stored pages show them."""
+    """Hosts of a domain, as far as the urls and links of the stored pages show them.
+
+    Links are reduced to hosts, and those to distinct ones, before anything is shuffled.
+    """
     wanted = domain.strip().lower()
-    seen = pages.select(host(F.col("url")).alias("host")).union(links(pages).select(host(F.col("dst")).alias("host")))
+    hosts = F.array(host(F.col("src")), host(F.col("dst")))
+    linked = _references(pages).select(F.explode(hosts).alias("host"))
+    seen = pages.select(host(F.col("url")).alias("host")).union(linked)
     return seen.filter((F.col("host") == wanted) | F.col("host").endswith("." + wanted)).distinct()
 
 
@@ -63,19 +73,20 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     ``edges`` is ``(src, dst)``, ``seeds`` has ``url``. Breadth first: each level joins
     the frontier with the edges and removes what was seen before, so cycles end and
-    paths do not multiply. Edges and levels are checkpointed, so no level recomputes
+    paths do not multiply. Edges and levels are written out, so no level recomputes
     an earlier one or the extraction of the links. A target that many pages link to
     collapses before it is shuffled.
     """
-    edges = checkpoint(edges.select("src", "dst").distinct())
-    level = checkpoint(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    edges = written(edges.select("src", "dst"), "edges")
+    level = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "level")
     levels = [level]
     for step in range(1, depth + 1):
         visited = reduce(DataFrame.unionAll, levels).select("url")
         frontier = level.select(F.col("url").alias("src"))
-        level = checkpoint(
+        level = written(
             edges.join(frontier, "src", "left_semi").select(F.col("dst").alias("url")).distinct()
-            .join(visited, "url", "left_anti").withColumn("depth", F.lit(step))
+            .join(visited, "url", "left_anti").withColumn("depth", F.lit(step)),
+            "level",
         )
         if level.isEmpty():
             break

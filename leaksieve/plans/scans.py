@@ -34,11 +34,13 @@ def scan_units(
 
 
 def scan_file(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
+    """Files that are named are scanned whatever their names."""
     return scan_units(read_file(spark, path), include_all=True, **options)
 
 
 def scan_dir(spark: SparkSession, path: str, include_all: bool = False, **options) -> DataFrame:
-    return scan_units(read_dir(spark, path, include_all), include_all=include_all, **options)
+    """A directory; the source applies the filters on names, below the directory."""
+    return scan_units(read_dir(spark, path, include_all), include_all=True, **options)
 
 
 def scan_history(commits: DataFrame, **options) -> DataFrame:

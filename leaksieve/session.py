@@ -48,10 +48,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below :func:`shared_dir` and read it back.
+
+    Cuts the lineage, survives the loss of executors, and tells the planner the
+    size of what it reads.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -71,18 +76,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores * 4, key)
 
 
-def fits_broadcast(keys: DataFrame, max_rows: int = 500_000) -> bool:
-    """Whether a table of short keys is small enough to copy to every executor."""
-    return keys.limit(max_rows + 1).count() <= max_rows
-
-
 def semi_join(wide: DataFrame, keys: DataFrame, on: str, max_rows: int = 500_000) -> DataFrame:
     """Keep the rows of ``wide`` whose key is in ``keys``.
 
-    ``wide`` carries texts, so moving it is what costs. The keys are counted first:
-    up to ``max_rows`` of them are broadcast and the texts stay where they are;
-    beyond that the join shuffles and AQE splits hot keys on the wide side.
+    ``wide`` carries texts, so moving it is what costs. The keys are written out and
+    counted first: up to ``max_rows`` short keys are broadcast and the texts stay
+    where they are; beyond that the join shuffles and AQE splits hot keys on the wide side.
     """
-    if wide.isStreaming or not fits_broadcast(keys, max_rows):
+    keys = written(keys.select(on).distinct(), "keys")
+    if keys.count() > max_rows:
         return wide.join(keys, on, "left_semi")
     return wide.join(F.broadcast(keys), on, "left_semi")

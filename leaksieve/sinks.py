@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import written
+
 # Layout of one finding in the text report.
 RULER = "-" * 50
 ORDER = ("uri", "start", "end", "type", "context", "unit_id")
@@ -32,9 +34,11 @@ def write_report(findings: DataFrame, path: str, value_col: str = "value_masked"
 
     The parts of the output, read in order of their names, are sorted by URI and
     position. Ranges are cut on the position as well as on the URI, so a URI with
-    very many findings spreads over several tasks and stays contiguous.
+    very many findings spreads over several tasks and stays contiguous. Range
+    partitioning samples its input first; the blocks are written out before, so
+    that the scan behind them runs once.
     """
-    blocks = report_blocks(findings, value_col)
+    blocks = written(report_blocks(findings, value_col), "report")
     order = [c for c in ORDER if c in blocks.columns]
     blocks.repartitionByRange(*order).sortWithinPartitions(*order).select("block").write.mode("overwrite").text(path)
 

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.filters import drop_likely_false_positives
-from .hidden import hidden_files
+from ..operators.filters import is_likely_false_positive
+from .hidden import hidden_files, qualified
 
 
 def _units(df: DataFrame) -> DataFrame:
@@ -33,16 +33,21 @@ def read_dir(spark: SparkSession, path: str, include_all: bool = False, hidden:
     replaces bytes that do not decode. Files with hidden names, ``.env`` for one,
     are read too unless ``hidden`` is off, see :mod:`leaksieve.sources.hidden`.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if not include_all:
+        # A filter on the metadata column drops files from the listing, before any is opened.
+        # It sees the path below the root, so a root below a folder of tests is not empty.
+        name, root = F.col("_metadata.file_path"), F.lit(qualified(spark, path).toUri().getRawPath())
+        at = F.instr(name, root)
+        below = F.when(at > 0, F.substring(name, at + F.length(root), F.length(name))).otherwise(name)
+        files = files.filter(~is_likely_false_positive(below))
+    files = files.select("path", "content")
     if hidden:
         files = files.unionByName(hidden_files(spark, path, include_all))
-    named = drop_likely_false_positives(
-        files.select(F.col("path").alias("__path"), F.col("path").alias("uri"), "content"), include_all
-    )
     content = F.col("content").cast("string")
     if include_all:
-        return _units(named.select("__path", F.make_valid_utf8(content).alias("text")))
-    return _units(named.filter(F.is_valid_utf8(content)).select("__path", content.alias("text")))
+        return _units(files.select(F.col("path").alias("__path"), F.make_valid_utf8(content).alias("text")))
+    return _units(files.filter(F.is_valid_utf8(content)).select(F.col("path").alias("__path"), content.alias("text")))
 
 
 def read_domains(spark: SparkSession, path: str) -> DataFrame:

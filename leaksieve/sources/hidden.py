@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..operators.filters import is_likely_false_positive
+from ..session import written
 
 # Directories below which Spark lists nothing, seen from the root: a hidden component.
 HIDDEN = r"/(?:[.]|_(?![^/]*=))"
@@ -24,9 +25,10 @@ HIDDEN = r"/(?:[.]|_(?![^/]*=))"
 REPOSITORY = r"/[.]git(?:/|\z)"
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
+def qualified(spark: SparkSession, path: str):
+    """The Hadoop path with scheme and authority."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path)
 
 
 def _open(uri: str):
@@ -68,10 +70,10 @@ def _shared_out(paths: DataFrame, per_task: int) -> tuple[DataFrame, int]:
 def hidden_files(spark: SparkSession, path: str, include_all: bool = False) -> DataFrame:
     """``(path, content)`` of the hidden files below ``path``.
 
-    Files in or below a hidden directory count as hidden. ``.git`` is left out
-    unless ``include_all`` is set.
+    Files in or below a hidden directory count as hidden. ``.git``, and names that
+    mean a likely false positive, are left out unless ``include_all`` is set.
     """
-    root = _qualified(spark, path).rstrip("/")
+    root = qualified(spark, path).toString().rstrip("/")
     below = F.expr(f"substring(path, {len(root) + 1})")
     level = spark.createDataFrame([(root,)], "path string")
     levels = []
@@ -79,10 +81,13 @@ def hidden_files(spark: SparkSession, path: str, include_all: bool = False) -> D
         listed = level.mapInPandas(_list, "path string, is_dir boolean, n_bytes bigint")
         if not include_all:
             listed = listed.filter(~below.rlike(REPOSITORY))
-        listed = checkpoint(listed)
+        listed = written(listed, "listing")
         levels.append(listed.filter(~F.col("is_dir") & below.rlike(HIDDEN)).select("path", "n_bytes"))
         level, n_folders = _shared_out(listed.filter("is_dir").select("path"), per_task=20)
         if n_folders == 0:
             break
-    files, _ = _shared_out(reduce(DataFrame.unionAll, levels).filter("n_bytes > 0").select("path"), per_task=10)
+    found = reduce(DataFrame.unionAll, levels).filter("n_bytes > 0").select("path")
+    if not include_all:
+        found = found.filter(~is_likely_false_positive(below))
+    files, _ = _shared_out(found, per_task=10)
     return files.mapInPandas(_read, "path string, content binary")

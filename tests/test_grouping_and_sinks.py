@@ -105,8 +105,8 @@ def tree(tmp_path):
 
 
 def test_files(spark, tmp_path):
-    root = tmp_path / "site"
-    root.mkdir()
+    root = tmp_path / "tests" / "site"  # a root below a folder of tests is not test data
+    root.mkdir(parents=True)
     token = tree(root)
     one = read_file(spark, str(root / "app.js")).collect()
     assert len(one) == 1 and one[0].text == f'token = "{token}"\n' and one[0].uri.endswith("/app.js")
