@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,23 +21,27 @@ def _gates(rules: Sequence[Rule]) -> dict[tuple[str, str], int]:
     return {gate: i for i, gate in enumerate(dict.fromkeys(g for g in map(entry_gate, rules) if g is not None))}
 
 
-def _gated(units: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, Column]:
-    """Units with helper columns, and the array of matching rule ordinals as an expression.
+@lru_cache(maxsize=32)
+def _expressions(rules: tuple[Rule, ...], session: int) -> tuple[Column, Column, Column, Column]:
+    """The columns ``__shaped``, ``__gates`` and ``__lower``, and the array of matching rule ordinals.
 
     Gates are evaluated once per unit, shapes only behind the pass that all of them
     imply, the lower-cased text only where a rule with ``words`` can still match.
     Every regex is a literal, so it is compiled once. The gates share one array
     column: many aliases of expressions that also occur in each other would make
     Spark's constraint propagation exponential.
+
+    The expressions name their input columns and nothing else about the table, so
+    they are built once per catalogue: making hundreds of columns from Python takes
+    longer than scanning a small table. ``session`` tells JVMs apart.
     """
     text, uri = F.col("text"), F.col("uri")
     gates = _gates(rules)
     passed = {gate: F.get(F.col("__gates"), F.lit(i)) for gate, i in gates.items()}
     lowering = dict.fromkeys(entry_gate(rule) for rule in rules if rule.words)
-    shaped = any(kind == "shape" for kind, _ in gates)
-    gated = units.withColumn("__shaped", text.rlike(ANY_SHAPE) if shaped else F.lit(False)).withColumn(
-        "__gates", F.array(*[gate_column(gate, text, uri, F.col("__shaped")) for gate in gates]).cast("array<boolean>")
-    ).withColumn("__lower", F.when(any_of([passed[gate] for gate in lowering]), F.lower(text)))
+    shaped = text.rlike(ANY_SHAPE) if any(kind == "shape" for kind, _ in gates) else F.lit(False)
+    gated = F.array(*[gate_column(gate, text, uri, F.col("__shaped")) for gate in gates]).cast("array<boolean>")
+    lower = F.when(any_of([passed[gate] for gate in lowering]), F.lower(text))
 
     groups: dict[tuple[str, str] | None, list[Column]] = {}
     for ordinal, rule in enumerate(rules, start=1):
@@ -47,7 +52,13 @@ def _gated(units: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, Column]:
         F.array(*members) if gate is None else F.when(passed[gate], F.array(*members)).otherwise(none)
         for gate, members in groups.items()
     ]
-    return gated, F.array_compact(F.concat(none, *arrays))
+    return shaped, gated, lower, F.array_compact(F.concat(none, *arrays))
+
+
+def _gated(units: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, Column]:
+    """Units with helper columns, and the array of matching rule ordinals as an expression."""
+    shaped, gated, lower, hits = _expressions(tuple(rules), id(units.sparkSession.sparkContext))
+    return units.withColumn("__shaped", shaped).withColumn("__gates", gated).withColumn("__lower", lower), hits
 
 
 def with_hits(units: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", app: str = "leaksieve", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # stack traces per column operation cost more than the operation
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
