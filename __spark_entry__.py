@@ -11,7 +11,6 @@ from leaksieve import sinks
 from leaksieve.catalogue import RULES, Rule, rules, select_rules, with_rules
 from leaksieve.functions.text import decode_entities, host
 from leaksieve.operators import grouping as grp
-from leaksieve.operators.contexts import contexts
 from leaksieve.operators.detect import best_rule, detect, mask
 from leaksieve.operators.filters import (
     drop_assets, drop_likely_false_positives, drop_minified, drop_noise, drop_test_data, in_list, in_scope,
@@ -259,7 +258,7 @@ def queries() -> dict[str, Query]:
         return pages(s, d).withColumn("html", F.expr(PLANTED_HTML))
 
     def context(name: str) -> Query:
-        return lambda s, d: _digest(contexts(planted_pages(s, d), [name]))
+        return lambda s, d: _digest(units_from_pages(planted_pages(s, d), [name]))
 
     def page_findings(s, d):
         return mask(detect(units_from_pages(pages(s, d))))
@@ -321,7 +320,7 @@ def queries() -> dict[str, Query]:
         "c8_decode_entities": lambda s, d: pages(s, d).select(
             "page_id", F.md5(decode_entities(F.expr(PLANTED_HTML))).alias("digest")),
         "c9_scan_pages": page_findings,
-        "c9_scan_every_context": lambda s, d: mask(detect(contexts(planted_pages(s, d)))),
+        "c9_scan_every_context": lambda s, d: mask(detect(units_from_pages(planted_pages(s, d)))),
         # filters
         "f1_drop_minified": lambda s, d: drop_minified(named(s, d)).select("unit_id", "uri"),
         "f2_drop_assets": lambda s, d: drop_assets(named(s, d)).select("unit_id", "uri"),

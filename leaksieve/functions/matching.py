@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -88,8 +88,17 @@ def running_total(lengths: Column, size: Column) -> Column:
     ))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, evaluating ``value`` once where ``body`` uses it several times.
+
+    Common subexpressions are not shared inside conditions and lambdas, so the value
+    is bound as the element of an array of one.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
 def lookup(values: Sequence[str], ordinal: Column) -> Column:
     """``values[ordinal - 1]`` as a column: one literal that Spark splits once, while planning."""
     separator = "\x1f"
     assert not any(separator in value for value in values)
-    return F.element_at(F.split(F.lit(separator.join(values)), separator), ordinal)
+    return F.element_at(F.split(F.lit(separator.join(values)), separator, -1), ordinal)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .matching import let
+
 # The named character references that occur in source text.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
 
@@ -50,9 +52,12 @@ def decode_entities(text: Column) -> Column:
     ``&amp;`` goes last, so that ``&amp;lt;`` becomes ``&lt;`` and no further. Texts
     without an ampersand pass untouched.
     """
-    decoded = F.regexp_replace(text, "&#(?:0*38|[xX]0*26);", "&amp;")
-    decoded = _decode_numeric(decoded, "()&#([0-9]{1,7});", 10)
-    decoded = _decode_numeric(decoded, "()&#[xX]([0-9A-Fa-f]{1,6});", 16)
+    def numeric(t: Column) -> Column:
+        ampersands = F.regexp_replace(t, "&#(?:0*38|[xX]0*26);", "&amp;")
+        decimal = let(ampersands, lambda d: _decode_numeric(d, "()&#([0-9]{1,7});", 10))
+        return let(decimal, lambda d: _decode_numeric(d, "()&#[xX]([0-9A-Fa-f]{1,6});", 16))
+
+    decoded = F.when(text.contains("&#"), numeric(text)).otherwise(text)
     for name, char in ENTITIES:
         decoded = F.replace(decoded, F.lit(name), F.lit(char))
     decoded = F.replace(decoded, F.lit("&amp;"), F.lit("&"))

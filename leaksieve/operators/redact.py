@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalogue import RULES, Rule
-from ..functions.matching import lookup
+from ..catalogue import RULES, SHAPES, Rule
+from ..functions.matching import let, lookup
 from .detect import with_hits
 
 
@@ -16,13 +16,17 @@ def redact(units: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Replace what each rule matches by ``[REDACTED:type]``, rule after rule.
 
     A text that no rule hits cannot change, so only hit units run the chain. There
-    the rules are folded over the text; a rule is skipped where a word it implies
-    is absent from the text as it stands at that point. A match that detection drops for its right boundary is
-    redacted all the same: this errs on the side of hiding too much.
+    the rules are folded over the text; a rule is skipped where the text, as it stands
+    at that point, lacks what a match of the rule implies. A match that detection drops
+    for its right boundary is redacted all the same: this errs on the side of hiding
+    too much. The labels themselves are placeholders to ``drop_noise``, so a scan of
+    redacted text reports nothing.
     """
     text_rules = [rule for rule in rules if rule.target == "text"]
     # the longest word that a match of the rule cannot do without, '' where there is none
     words = [max(rule.literal or "", *(rule.words if len(rule.words) == 1 else ("",)), key=len).lower() for rule in text_rules]
+    # the cheap regex that it implies; the empty one matches always
+    implied = [rule.tail or (SHAPES[rule.shape] if rule.shape else "") for rule in text_rules]
     ordinals = F.sequence(F.lit(1), F.lit(len(text_rules)))
 
     def state(text: Column) -> Column:
@@ -31,8 +35,9 @@ def redact(units: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     def step(acc: Column, i: Column) -> Column:
         regex = lookup([rule.regex for rule in text_rules], i)
         label = F.concat(F.lit("$1[REDACTED:"), lookup([rule.type for rule in text_rules], i), F.lit("]"))
-        replaced = state(F.regexp_replace(acc["text"], regex, label))
-        return F.when(acc["lower"].contains(lookup(words, i)), replaced).otherwise(acc)
+        replaced = let(F.regexp_replace(acc["text"], regex, label), state)
+        possible = acc["lower"].contains(lookup(words, i)) & F.rlike(acc["text"], lookup(implied, i))
+        return F.when(possible, replaced).otherwise(acc)
 
     chain = F.aggregate(ordinals, state(F.col("text")), step, lambda acc: acc["text"])
     redacted = F.when(F.size("__hits") > 0, chain).otherwise(F.col("text")).alias("text")
