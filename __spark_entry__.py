@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve import sinks
+from leaksieve import sinks  # noqa: E402
 from leaksieve.catalogue import RULES, Rule, rules, select_rules, with_rules
 from leaksieve.functions.text import decode_entities, host
 from leaksieve.operators import grouping as grp
