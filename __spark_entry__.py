@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -251,7 +253,24 @@ def entry(spark: SparkSession) -> DataFrame:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _corpus_modules() -> list:
+    """The modules that register corpus queries, as far as they are installed."""
+    if importlib.util.find_spec("leaksieve.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+        return []
+    return [importlib.import_module("leaksieve.llm.queries"), importlib.import_module("corpus_pipeline")]
+
+
 def queries() -> dict[str, Query]:
+    corpus = {name: query for module in _corpus_modules() for name, query in module.queries().items()}
+    return _scan_queries() | corpus
+
+
+def oracle_sql() -> dict[str, str]:
+    corpus = {name: sql for module in _corpus_modules() for name, sql in module.oracle_sql().items() if sql}
+    return _scan_oracle_sql() | corpus
+
+
+def _scan_queries() -> dict[str, Query]:
     def pages(s, d):
         return _table(s, d, "pages")
 
@@ -372,7 +391,7 @@ def queries() -> dict[str, Query]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def _scan_oracle_sql() -> dict[str, str]:
     docs, conv = duck.DOCUMENTS, duck.CONVERSATIONS
     raw = duck.detect(docs)
     found = duck.masked(raw)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +28,8 @@ def local_session(cores: int | str = "*", app: str = "leaksieve", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``. A temporary folder is used only where that
-    is unset and the session is local, so that no cluster writes to a worker's disk.
+    Read from ``spark.checkpoint.dir``. Only where that is unset and the session is
+    local is a folder below the warehouse used.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
             return folder
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="leaksieve-")
+        folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "_scratch")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -78,14 +78,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores * 4, key)
 
 
-def semi_join(wide: DataFrame, keys: DataFrame, on: str, max_rows: int = 500_000) -> DataFrame:
+def semi_join(wide: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Keep the rows of ``wide`` whose key is in ``keys``.
 
-    ``wide`` carries texts, so moving it is what costs. The keys are written out and
-    counted first: up to ``max_rows`` short keys are broadcast and the texts stay
-    where they are; beyond that the join shuffles and AQE splits hot keys on the wide side.
+    The keys are written first, so that the planner knows their size in bytes and
+    broadcasts them only below its own threshold; else AQE splits hot keys of ``wide``.
     """
-    keys = written(keys.select(on).distinct(), "keys")
-    if keys.count() > max_rows:
-        return wide.join(keys, on, "left_semi")
-    return wide.join(F.broadcast(keys), on, "left_semi")
+    return wide.join(written(keys.select(on).distinct(), "keys"), on, "left_semi")
