@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leaksieve.llm import bpe
+from leaksieve.llm import bpe, language, quality, simhash, token_files
+from leaksieve.llm.held_out import held_out
+from leaksieve.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,13 +24,43 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokenizer("byte_bpe_50k.json")
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, machine).select(
+        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), distance=4, words_per_shingle=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_bpe": op2_bpe}
+    return {
+        "op1_token_files": op1_token_files,
+        "op2_bpe": op2_bpe,
+        "op7_quality": op7_quality,
+        "op8_simhash": op8_simhash,
+        "op9_language": op9_language,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
