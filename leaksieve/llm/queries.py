@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve.llm import bpe, language, quality, simhash, token_files
+from leaksieve.llm import bpe, language, quality, simhash, sketch, token_files
 from leaksieve.llm.held_out import held_out
 from leaksieve.session import scratch_path
 
@@ -53,6 +53,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
         "op9_language": op9_language,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
