@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve.llm import bpe, language, lines, quality, simhash, sketch, token_files
+from leaksieve.llm import bpe, language, leaks, lines, quality, simhash, sketch, token_files
 from leaksieve.llm.held_out import held_out
 from leaksieve.session import scratch_path
 
@@ -39,6 +39,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -66,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op1_token_files": op1_token_files,
         "op2_bpe": op2_bpe,
         "op5_lines": op5_lines,
+        "op6_leaks": op6_leaks,
         "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
         "op9_language": op9_language,
