@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve.llm import bpe, language, leaks, lines, quality, simhash, sketch, suffixes, token_files
+from leaksieve.llm import bpe, language, leaks, licenses, lines, quality, simhash, sketch, suffixes, token_files
 from leaksieve.llm.held_out import held_out
 from leaksieve.session import scratch_path
 
@@ -35,6 +35,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixes.remove_repeats(docs, length=400).select(
@@ -75,6 +79,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
         "op2_bpe": op2_bpe,
+        "op3_licenses": op3_licenses,
         "op4_suffixes": op4_suffixes,
         "op5_lines": op5_lines,
         "op6_leaks": op6_leaks,
