@@ -116,6 +116,7 @@ def fit(found: list[tuple], labels: np.ndarray, settings: Settings) -> Machine:
     """Logistic loss by AdaGrad over small batches. No rows leave the model at 0.5 for every text."""
     machine = Machine(settings)
     if not len(found):
+        machine.v[:] = 0
         return machine
     stats = np.array([f[2] for f in found])
     machine.mean, machine.scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
