@@ -51,7 +51,7 @@ PLANTS = (
     'bucket https://b{h:12}.s3.eu-west-1.amazonaws.com/x',
     'maps AIza{hh:35}',
     '1{h:0}2345-{h}.apps.googleusercontent.com',
-    '{{"type": "service_account", "id": 1}}',
+    '{{"private_key": "-----BEGIN PRIVATE KEY-----{hh}{hh}-----END PRIVATE KEY-----"}}',
     'tw 12345-{hh:40}',
     'slack xoxb-{h}',
     'hook https://hooks.slack.com/services/T{H:9}/B{H:9}/{h:24}',
@@ -72,6 +72,14 @@ PLANTS = (
     'Authorization: Bearer {hh}',
     'Cookie: PHPSESSID={h}; csrf_token={h}',
     '-----BEGIN OPENSSH PRIVATE KEY-----',
+    '-----BEGIN RSA PRIVATE KEY-----\n{hh}\n{hh}\n{hh}\n-----END RSA PRIVATE KEY-----',
+    'long token="{hh}{hh}{hh}{hh}{hh}{h:10}"',
+    'Authorization: Bearer {hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}',
+    'jwt eyJ{h}.eyJ{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}{hh}.{hh}',
+    'temporary ASIA{H:16} app xapp-{h} test sk_test_{h}',
+    'oauth GOCSPX-{h:28} ya29.{hh}',
+    'Authorization: Basic {h}==',
+    'db_password = "P@ss!{h:6}" api-key: "{h}"',
     'redis://:{h:10}@cache postgres://u:{h:12}@db mongodb+srv://u:{h:3}@m',
     'export APP_SECRET="{h:12}"',
     'heroku.api-key => {h} and openai_token := {h}',
@@ -80,12 +88,13 @@ PLANTS = (
 )
 
 
-# Markup for the contexts that the stored pages lack; {q} is a single quote.
+# Markup for the contexts that the stored pages lack; {q} is a single quote, {b} a backslash.
 PAGE_PLANTS = (
     '<button onclick="send({q}u{q}, token = &quot;{h}&quot;)" class="x">&amp;lt;</button>',
     '<script>var u="&quot;"; window.__env__ = {{"apiKey": "AIza{hh:35}",\n "n": 1}}; window.__cfg__={{}};</script>',
     '<script id="d" type="application/ld+json">{{"stripe_secret": "{hh:40}"}}</script>',
     '<meta name="v" content="csrf_token=&#39;{h}&#39;"><p onload = {q}go(){q}>&#x41;KIA{H:16} &#38;amp; &#233;</p>',
+    '<SCRIPT type="application/json">{{"token": "{h}{b}/{h}{b}u003d", "u": "{b}u0041KIA{H:16}"}}</SCRIPT><script>window.__a__ = {{"s": "x}};y", "k": "{h}"}}</script><script>open',
     '<style>a{{background:url(https://b{h:9}.s3.amazonaws.com/i.png)}}</style><a href="https://sub.example.com/a#b">&nbsp;</a>',
 )
 
@@ -93,7 +102,7 @@ PAGE_PLANTS = (
 def _render(template: str, column: str = "text") -> str:
     """A template as an SQL expression that both engines read alike."""
     digest = f"md5({column})"
-    sources = {"h": digest, "H": f"upper({digest})", "hh": f"concat({digest}, md5(reverse({digest})))", "d": "chr(36)", "q": "chr(39)"}
+    sources = {"h": digest, "H": f"upper({digest})", "hh": f"concat({digest}, md5(reverse({digest})))", "d": "chr(36)", "q": "chr(39)", "b": "chr(92)"}
     parts, rest = [], template.replace("{{", "\x01").replace("}}", "\x02")
     while rest:
         plain, brace, rest = rest.partition("{")
@@ -103,8 +112,27 @@ def _render(template: str, column: str = "text") -> str:
             name, _, rest = rest.partition("}")
             name, _, size = name.partition(":")
             parts.append(f"substring({sources[name]}, 1, {size})" if size else sources[name])
-    return f"concat({', '.join(parts)})"
-
+    return f"concat({', '.join([*parts, chr(39) * 2])})"
+
+
+# What some of the planted lines must give, written down without the rules: part of the line, rule, the value and the text before it.
+PLANTED_VALUES = (
+    ("key_id AKIA{H:16}", "aws_access_key_id", "key_id ", "AKIA{H:16}"),
+    ("slack xoxb-{h}", "slack_token", "slack ", "xoxb-{h}"),
+    ("GITHUB_TOKEN=ghp_{hh:36}", "github_token", "GITHUB_TOKEN=", "ghp_{hh:36}"),
+    ("pay sk_live_{h:24} and rk_live_{h:24}", "stripe_restricted_key", "pay sk_live_{h:24} and ", "rk_live_{h:24}"),
+    ("-----BEGIN RSA", "pem_private_key", "", "-----BEGIN RSA PRIVATE KEY-----\n{hh}\n{hh}\n{hh}\n-----END RSA PRIVATE KEY-----"),
+    ('{{"private_key"', "gcp_service_account", '{{"private_key": "', "-----BEGIN PRIVATE KEY-----{hh}{hh}-----END PRIVATE KEY-----"),
+    ("long token", "generic_secret", 'long token="', "{hh}{hh}{hh}{hh}{hh}{h:10}"),
+    ("Authorization: Bearer {hh}{hh}", "bearer_token", "Authorization: Bearer ", "{hh}" * 17),
+    ("jwt eyJ{h}.eyJ{hh}", "jwt", "jwt ", "eyJ{h}.eyJ" + "{hh}" * 17 + ".{hh}"),
+    ("temporary ASIA", "aws_access_key_id", "temporary ", "ASIA{H:16}"),
+    ("temporary ASIA", "slack_app_token", "temporary ASIA{H:16} app ", "xapp-{h}"),
+    ("oauth GOCSPX", "google_oauth_token", "oauth GOCSPX-{h:28} ", "ya29.{hh}"),
+    ("Authorization: Basic", "basic_auth", "Authorization: Basic ", "{h}=="),
+    ("db_password", "generic_password", 'db_password = "', "P@ss!{h:6}"),
+    ("db_password", "generic_secret", 'db_password = "P@ss!{h:6}" api-key: "', "{h}"),
+)
 
 PLANTED_TEXT = "concat(text, chr(10), CASE " + " ".join(
     f"WHEN doc_id % {len(PLANTS)} = {i} THEN {_render(t)}" for i, t in enumerate(PLANTS)
@@ -145,6 +173,22 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_documents(spark, sf_dir, text=PLANTED_TEXT))
 
 
+def _planted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in the planted lines, for the rules that PLANTED_VALUES names."""
+    docs = _table(spark, sf_dir, "documents").withColumn("plant", F.expr(f"doc_id % {len(PLANTS)}")).withColumn("n", F.length("text"))
+    units = units_from(docs.withColumn("text", F.expr(PLANTED_TEXT)), "doc_id", "text", "concat(source, '/', doc_id)", keep=["plant", "n"])
+    asked = F.lit(False)
+    for part, rule, _, _ in PLANTED_VALUES:
+        asked = asked | ((F.col("plant") == _plant(part)) & (F.col("rule_id") == rule))
+    found = detect(units, keep=("plant", "n")).filter(asked & (F.col("start") > F.col("n")))
+    return found.select("unit_id", "rule_id", "value", "start", "end")
+
+
+def _plant(part: str) -> int:
+    """The number of the planted line that begins with ``part``."""
+    return next(i for i, line in enumerate(PLANTS) if line.startswith(part))
+
+
 def _digest(units: DataFrame, *columns: str) -> DataFrame:
     return units.select("unit_id", "uri", "context", *columns, F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
@@ -322,6 +366,7 @@ def _scan_queries() -> dict[str, Query]:
         ).withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))),
         "d2_detect": lambda s, d: detect(_documents(s, d)),
         "d2_detect_every_family": _planted,
+        "d2_planted_values": _planted_values,
         "d2_detect_conversations": lambda s, d: detect(_conversations(s, d)),
         "d2_detect_config_files": lambda s, d: detect(named(s, d), select_rules(RULES, families=["config_file"])),
         "d3_positions": lambda s, d: detect(_documents(s, d), keep=("text",)).select(
@@ -460,6 +505,11 @@ def _scan_oracle_sql() -> dict[str, str]:
           LEFT JOIN (SELECT rule_id, count(*) AS n FROM ({planted}) GROUP BY 1) USING (rule_id)""",
         "d2_detect": raw,
         "d2_detect_every_family": planted,
+        "d2_planted_values": " UNION ALL ".join(
+            f"""SELECT CAST(doc_id AS VARCHAR) AS unit_id, '{rule}' AS rule_id, {_render(value)} AS value,
+              CAST(length(text) + 1 + length({_render(before)}) AS BIGINT) AS start,
+              CAST(length(text) + 1 + length({_render(before)}) + length({_render(value)}) AS BIGINT) AS "end"
+              FROM documents WHERE doc_id % {len(PLANTS)} = {_plant(part)}""" for part, rule, before, value in PLANTED_VALUES),
         "d2_detect_conversations": duck.detect(conv),
         "d2_detect_config_files": duck.detect(named, select_rules(RULES, families=["config_file"])),
         "d3_positions": f"""SELECT unit_id, start, "end", substring(text, start + 1, "end" - start) AS slice

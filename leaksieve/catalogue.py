@@ -85,7 +85,7 @@ _ASSIGN = r"""["']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}["']?"""
 _ASSIGN1 = r"""["']?[ \t]{0,4}[:=][ \t]{0,4}["']?"""
 
 FIXED_RULES: tuple[Rule, ...] = (
-    _fixed("aws_access_key_id", "AWS Access Key ID", "aws", r"()(AKIA[0-9A-Z]{16})", literal="AKIA", bounded=True),
+    _fixed("aws_access_key_id", "AWS Access Key ID", "aws", r"()((?:AKIA|ASIA)[0-9A-Z]{16})", literal="IA", bounded=True),
     _fixed(
         "aws_secret_key", "AWS Secret Key", "aws",
         rf"((?i:{_WORD_START}aws[A-Za-z0-9_.-]{{0,20}}secret[A-Za-z0-9_.-]{{0,20}}){_ASSIGN})([A-Za-z0-9/+]{{40}})",
@@ -93,7 +93,7 @@ FIXED_RULES: tuple[Rule, ...] = (
     ),
     _fixed(
         "aws_session_token", "AWS Session Token", "aws",
-        rf"((?i:{_WORD_START}aws[A-Za-z0-9_.-]{{0,20}}session[A-Za-z0-9_.-]{{0,20}}){_ASSIGN})([A-Za-z0-9/+=]{{100,900}})",
+        rf"((?i:{_WORD_START}aws[A-Za-z0-9_.-]{{0,20}}session[A-Za-z0-9_.-]{{0,20}}){_ASSIGN})([A-Za-z0-9/+=]{{100,}})",
         shape="assign", words=("aws",),
     ),
     _fixed(
@@ -111,28 +111,31 @@ FIXED_RULES: tuple[Rule, ...] = (
         r"()([0-9]{1,20}-[0-9A-Za-z_]{32}[.]apps[.]googleusercontent[.]com)",
         shape="dash", literal=".apps.googleusercontent.com",
     ),
+    _fixed("google_oauth_secret", "Google OAuth Client Secret", "google", r"()(GOCSPX-[0-9A-Za-z_-]{28})", shape="dash", literal="GOCSPX-", bounded=True),
+    _fixed("google_oauth_token", "Google OAuth Access Token", "google", r"((?:^|[^0-9A-Za-z]))(ya29[.][0-9A-Za-z_-]{30,})", literal="ya29."),
     _fixed(
         "gcp_service_account", "GCP Service Account", "google",
-        r"""("type"[ \t]*:[ \t]*")(service_account)""", literal="service_account",
+        r"""("private_key"[ \t]*:[ \t]*")(-----BEGIN PRIVATE KEY-----[^-"]{1,}-----END PRIVATE KEY-----)""", literal="-----BEGIN ", words=("private_key",),
     ),
     _fixed(
         "facebook_access_token", "Facebook Access Token", "social",
-        r"()(EAACEdEose0cBA[0-9A-Za-z]{1,400})", literal="EAACEdEose0cBA",
+        r"()(EAACEdEose0cBA[0-9A-Za-z]{1,})", literal="EAACEdEose0cBA",
     ),
     _fixed(
         "twitter_access_token", "Twitter Access Token", "social",
         r"((?:^|[^0-9A-Za-z]))([1-9][0-9]{1,20}-[0-9a-zA-Z]{40})",
         shape="dash", tail="-[0-9a-zA-Z]{40}", bounded=True,
     ),
-    _fixed("slack_token", "Slack Token", "social", r"()(xox[abeoprs]-[0-9A-Za-z-]{20,250})", shape="dash", literal="xox"),
+    _fixed("slack_token", "Slack Token", "social", r"()(xox[abeoprs]-[0-9A-Za-z-]{20,})", shape="dash", literal="xox"),
+    _fixed("slack_app_token", "Slack App Token", "social", r"()(xapp-[0-9A-Za-z-]{20,})", shape="dash", literal="xapp-"),
     _fixed(
         "slack_webhook", "Slack Webhook URL", "social",
-        r"()(https://hooks[.]slack[.]com/services/[A-Za-z0-9]{8,16}/[A-Za-z0-9]{8,16}/[A-Za-z0-9]{20,40})",
+        r"()(https://hooks[.]slack[.]com/services/[A-Za-z0-9]{8,16}/[A-Za-z0-9]{8,16}/[A-Za-z0-9]{20,})",
         literal="://", words=("hooks.slack.com/services/",),
     ),
     _fixed(
         "discord_webhook", "Discord Webhook URL", "social",
-        r"()(https://(?:[a-z]{1,10}[.])?discord(?:app)?[.]com/api/webhooks/[0-9]{15,21}/[A-Za-z0-9_-]{60,80})",
+        r"()(https://(?:[a-z]{1,10}[.])?discord(?:app)?[.]com/api/webhooks/[0-9]{15,21}/[A-Za-z0-9_-]{60,})",
         literal="://", words=("/api/webhooks/",),
     ),
     _fixed(
@@ -145,9 +148,9 @@ FIXED_RULES: tuple[Rule, ...] = (
         "github_fine_grained_token", "GitHub Fine-Grained Token", "code_hosting",
         r"()(github_pat_[0-9A-Za-z]{22}_[0-9A-Za-z]{59})", shape="underscore", literal="github_pat_", bounded=True,
     ),
-    _fixed("gitlab_token", "GitLab Token", "code_hosting", r"()(glpat-[0-9A-Za-z_-]{20,60})", shape="dash", literal="glpat-"),
-    _fixed("stripe_standard_key", "Stripe Standard Key", "commerce", r"()(sk_live_[0-9a-zA-Z]{24})", shape="underscore", literal="sk_live_", bounded=True),
-    _fixed("stripe_restricted_key", "Stripe Restricted Key", "commerce", r"()(rk_live_[0-9a-zA-Z]{24})", shape="underscore", literal="rk_live_", bounded=True),
+    _fixed("gitlab_token", "GitLab Token", "code_hosting", r"()(glpat-[0-9A-Za-z_-]{20,})", shape="dash", literal="glpat-"),
+    _fixed("stripe_standard_key", "Stripe Standard Key", "commerce", r"()(sk_(?:live|test)_[0-9a-zA-Z]{24,})", shape="underscore", literal="sk_"),
+    _fixed("stripe_restricted_key", "Stripe Restricted Key", "commerce", r"()(rk_(?:live|test)_[0-9a-zA-Z]{24,})", shape="underscore", literal="rk_"),
     _fixed("square_access_token", "Square Access Token", "commerce", r"()(sq0atp-[0-9A-Za-z_-]{22})", shape="dash", literal="sq0atp-", bounded=True),
     _fixed("square_oauth_secret", "Square OAuth Secret", "commerce", r"()(sq0csp-[0-9A-Za-z_-]{43})", shape="dash", literal="sq0csp-", bounded=True),
     _fixed(
@@ -158,17 +161,17 @@ FIXED_RULES: tuple[Rule, ...] = (
     _fixed("mailchimp_key", "Mailchimp Key", "commerce", r"((?:^|[^0-9A-Za-z]))([0-9a-f]{32}-us[0-9]{1,2})", literal="-us", bounded=True),
     _fixed("sendgrid_key", "SendGrid Key", "commerce", r"()(SG[.][0-9A-Za-z_-]{22}[.][0-9A-Za-z_-]{43})", literal="SG.", bounded=True),
     _fixed("shopify_token", "Shopify Token", "commerce", r"()(shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32})", shape="underscore", literal="shp", bounded=True),
-    _fixed("openai_key", "OpenAI Key", "platform", r"((?:^|[^0-9A-Za-z]))(sk-(?:proj-)?[0-9A-Za-z_-]{40,200})", shape="dash", literal="sk-"),
+    _fixed("openai_key", "OpenAI Key", "platform", r"((?:^|[^0-9A-Za-z]))(sk-(?:proj-)?[0-9A-Za-z_-]{40,})", shape="dash", literal="sk-"),
     _fixed("huggingface_token", "HuggingFace Token", "platform", r"((?:^|[^0-9A-Za-z]))(hf_[0-9A-Za-z]{34})", shape="underscore", literal="hf_", bounded=True),
     _fixed("docker_token", "Docker Token", "platform", r"()(dckr_pat_[0-9A-Za-z_-]{27})", shape="underscore", literal="dckr_pat_", bounded=True),
-    _fixed("vault_token", "Vault Token", "platform", r"((?:^|[^0-9A-Za-z]))(hvs[.][0-9A-Za-z_-]{24,200})", literal="hvs."),
+    _fixed("vault_token", "Vault Token", "platform", r"((?:^|[^0-9A-Za-z]))(hvs[.][0-9A-Za-z_-]{24,})", literal="hvs."),
     _fixed(
         "azure_storage_key", "Azure Storage Key", "enterprise_cloud",
         r"((?i:AccountKey)[ \t]{0,4}=[ \t]{0,4})([A-Za-z0-9/+]{86}==)", shape="assign", words=("accountkey",),
     ),
     _fixed(
         "teams_webhook", "Teams Webhook URL", "enterprise_cloud",
-        r"()(https://[a-z0-9-]{1,60}[.]webhook[.]office[.]com/webhookb2/[A-Za-z0-9@/_-]{40,300})",
+        r"()(https://[a-z0-9-]{1,60}[.]webhook[.]office[.]com/webhookb2/[A-Za-z0-9@/_-]{40,})",
         literal="://", words=(".webhook.office.com/",),
     ),
     _fixed("infura_url", "Infura Project URL", "web3", r"([.]infura[.]io/v3/)([0-9a-f]{32})", literal=".infura.io/v3/", bounded=True),
@@ -183,39 +186,53 @@ FIXED_RULES: tuple[Rule, ...] = (
     ),
     _fixed(
         "jwt", "JSON Web Token", "session",
-        r"()(eyJ[A-Za-z0-9_-]{4,1000}[.]eyJ[A-Za-z0-9_-]{4,1000}[.][A-Za-z0-9_-]{10,1000})", literal=".eyJ",
+        r"((?:^|[^A-Za-z0-9_-]))(eyJ[A-Za-z0-9_-]{4,}[.]eyJ[A-Za-z0-9_-]{4,}[.][A-Za-z0-9_-]{10,})", literal=".eyJ",
     ),
-    _fixed("bearer_token", "Bearer Token", "session", r"((?i:bearer)[ \t]{1,4})([A-Za-z0-9_.~+/=-]{16,1000})", shape="bearer", words=("bearer",)),
+    _fixed("bearer_token", "Bearer Token", "session", r"((?i:bearer)[ \t]{1,4})([A-Za-z0-9_.~+/=-]{16,})", shape="bearer", words=("bearer",)),
     _fixed(
         "session_cookie", "Session Cookie", "session",
-        rf"((?i:{_WORD_START}(?:sessionid|session_id|phpsessid|jsessionid|connect[.]sid)){_ASSIGN1})([A-Za-z0-9%_.-]{{16,512}})",
+        rf"((?i:{_WORD_START}(?:sessionid|session_id|phpsessid|jsessionid|connect[.]sid)){_ASSIGN1})([A-Za-z0-9%_.-]{{16,}})",
         shape="assign", words=("sess", "connect.sid"),
     ),
     _fixed(
         "csrf_token", "CSRF Token", "session",
-        rf"((?i:(?:csrf|xsrf)[_-]?token){_ASSIGN1})([A-Za-z0-9_./+=-]{{16,256}})", shape="assign", words=("srf",),
+        rf"((?i:(?:csrf|xsrf)[_-]?token){_ASSIGN1})([A-Za-z0-9_./+=-]{{16,}})", shape="assign", words=("srf",),
     ),
+    # A key is its header, body and end; where the end is missing, the header stands for it.
     _fixed(
         "pem_private_key", "PEM Private Key", "private_key",
-        r"()(-----BEGIN (?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY-----)", literal="-----BEGIN ",
+        r"()(-----BEGIN (?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
+        r"(?:(?:\s{1,4}Proc-Type:[^\n]{1,100})?(?:\s{1,4}DEK-Info:[^\n]{1,100})?[^-]{1,}-----END (?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY-----)?)",
+        literal="-----BEGIN ",
     ),
-    _fixed("pgp_private_key", "PGP Private Key", "private_key", r"()(-----BEGIN PGP PRIVATE KEY BLOCK-----)", literal="-----BEGIN "),
-    _fixed("uri_smtp", "SMTP URI Password", "service_uri", r"((?i:smtps?)://[^\s/:@]{1,100}:)([^\s/@]{3,100})", shape="userinfo", words=("smtp",)),
-    _fixed("uri_redis", "Redis URI Password", "service_uri", r"((?i:rediss?)://[^\s/:@]{0,100}:)([^\s/@]{3,100})", shape="userinfo", words=("redis",)),
-    _fixed("uri_amqp", "RabbitMQ URI Password", "service_uri", r"((?i:amqps?)://[^\s/:@]{1,100}:)([^\s/@]{3,100})", shape="userinfo", words=("amqp",)),
-    _fixed("uri_mongodb", "MongoDB URI Password", "service_uri", r"((?i:mongodb(?:[+]srv)?)://[^\s/:@]{1,100}:)([^\s/@]{3,100})", shape="userinfo", words=("mongodb",)),
-    _fixed("uri_postgres", "PostgreSQL URI Password", "service_uri", r"((?i:postgres(?:ql)?)://[^\s/:@]{1,100}:)([^\s/@]{3,100})", shape="userinfo", words=("postgres",)),
-    _fixed("uri_mysql", "MySQL URI Password", "service_uri", r"((?i:mysql)://[^\s/:@]{1,100}:)([^\s/@]{3,100})", shape="userinfo", words=("mysql",)),
-    _fixed("uri_elasticsearch", "Elasticsearch URI Password", "service_uri", r"((?i:https?)://(?i:elastic[A-Za-z0-9_]{0,20}):)([^\s/@]{3,100})", shape="userinfo", words=("elastic",)),
+    _fixed(
+        "pgp_private_key", "PGP Private Key", "private_key",
+        r"()(-----BEGIN PGP PRIVATE KEY BLOCK-----(?:(?:\s{1,4}(?:Version|Comment):[^\n]{1,100}){0,4}[^-]{1,}-----END PGP PRIVATE KEY BLOCK-----)?)",
+        literal="-----BEGIN ",
+    ),
+    _fixed("basic_auth", "Basic Authorization", "session", r"((?i:authorization)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?i:basic)[ \t]{1,4})([A-Za-z0-9+/]{8,}={0,2})", words=("basic",)),
+    _fixed("uri_smtp", "SMTP URI Password", "service_uri", r"((?i:smtps?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", shape="userinfo", words=("smtp",)),
+    _fixed("uri_redis", "Redis URI Password", "service_uri", r"((?i:rediss?)://[^\s/:@]{0,100}:)([^\s/@]{3,})", shape="userinfo", words=("redis",)),
+    _fixed("uri_amqp", "RabbitMQ URI Password", "service_uri", r"((?i:amqps?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", shape="userinfo", words=("amqp",)),
+    _fixed("uri_mongodb", "MongoDB URI Password", "service_uri", r"((?i:mongodb(?:[+]srv)?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", shape="userinfo", words=("mongodb",)),
+    _fixed("uri_postgres", "PostgreSQL URI Password", "service_uri", r"((?i:postgres(?:ql)?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", shape="userinfo", words=("postgres",)),
+    _fixed("uri_mysql", "MySQL URI Password", "service_uri", r"((?i:mysql)://[^\s/:@]{1,100}:)([^\s/@]{3,})", shape="userinfo", words=("mysql",)),
+    _fixed("uri_elasticsearch", "Elasticsearch URI Password", "service_uri", r"((?i:https?)://(?i:elastic[A-Za-z0-9_]{0,20}):)([^\s/@]{3,})", shape="userinfo", words=("elastic",)),
     _fixed(
         "dotenv_assignment", "Dotenv Assignment", "config_file",
-        r"""((?:^|[\r\n])(?:export )?[A-Z][A-Z0-9_]{0,40}(?:KEY|TOKEN|SECRET|PASSWORD)=["']?)([^\s"']{8,256})""",
+        r"""((?:^|[\r\n])[ \t]{0,40}(?:export )?[A-Z][A-Z0-9_]{0,40}(?:KEY|TOKEN|SECRET|PASSWORD)=["']?)([^\s"']{8,})""",
         shape="dotenv", tail="(?:KEY|TOKEN|SECRET|PASSWORD)=", kind="generic",
     ),
     _fixed(
         "generic_secret", "Generic Secret", "generic",
-        rf"""((?i:{_WORD_START}(?:api_?key|apikey|secret|token|password|passwd))["']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}["'])([A-Za-z0-9_./+=-]{{16,256}})""",
-        shape="assign", tail=r"""[=:>][ \t]{0,4}["'][A-Za-z0-9_./+=-]{16}""", kind="generic",
+        rf"""((?i:{_WORD_START}(?:api[_-]?key|secret|token|password|passwd))["']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}["'`])([A-Za-z0-9_./+=-]{{16,}})""",
+        tail=r"""[=:>][ \t]{0,4}["'`][A-Za-z0-9_./+=-]{16}""", words=("key", "secret", "token", "passw"), kind="generic",
+    ),
+    # quoted passwords may hold any character and be short
+    _fixed(
+        "generic_password", "Generic Password", "generic",
+        rf"""((?i:{_WORD_START}(?:[A-Za-z0-9]{{1,20}}_)?(?:password|passwd|pwd))["']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}["'`])([^\s"'`]{{8,}})""",
+        tail=r"""[=:>][ \t]{0,4}["'`][^\s"'`]{8}""", words=("passw", "pwd"), kind="generic",
     ),
     _fixed(
         "critical_config_file", "Critical Config File", "config_file",
@@ -300,7 +317,7 @@ KEYWORD_SERVICES: tuple[tuple[str, str, str, str], ...] = (
 KEYWORD_TEMPLATE = (
     rf"((?i:{_WORD_START}(?:%s)[A-Za-z0-9_.-]{{0,30}}"
     r"(?:key|token|secret|passwd|password|pwd|credential|auth|dsn|webhook)[A-Za-z0-9_.-]{0,20})"
-    rf"{_ASSIGN})([A-Za-z0-9_./+=-]{{16,128}})"
+    rf"{_ASSIGN})([A-Za-z0-9_./+=-]{{16,}})"
 )
 
 KEYWORD_RULES: tuple[Rule, ...] = tuple(

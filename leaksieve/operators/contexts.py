@@ -2,7 +2,7 @@
 
 Contexts are cut out by pattern, not by a DOM parser, so malformed markup is read
 approximately: a ``<script>`` without its end tag, for one, is only seen as part of
-the whole page. Everything here is a projection on the page row; there is no
+the whole page, and a tag ends at the next ``<`` even within quotes. Everything here is a projection on the page row; there is no
 shuffle, and a page is parsed where it is read.
 """
 
@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities
 
-SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
-STYLE = r"(?is)<style[^>]*>(.*?)</style>"
+# Every pattern stops at the next "<", so that a page of unclosed tags is read once, not once per tag.
+OPEN = r"(?is)<%s[^<>]*>"
+CLOSE = r"(?i)</%s>"
 HANDLER_DOUBLE = r"""(?is)\son[a-z]+\s*=\s*"([^"]*)\""""
 HANDLER_SINGLE = r"(?is)\son[a-z]+\s*=\s*'([^']*)'"
-META = r"(?is)<meta([^>]*)>"
-CONFIG = r"(?s)window\.(?:__[A-Za-z0-9_]+__)\s*=\s*(\{.*?\})\s*;"
-JSON_SCRIPT = r"""(?is)<script[^>]*type\s*=\s*["']application/(?:[a-z.+-]*[+])?json["'][^>]*>(.*?)</script>"""
+META = r"(?is)<meta([^<>]*)>"
+CONFIG = r"window[.]__[A-Za-z0-9_]+__\s*=\s*[{]"
+LAST_BRACE = r"(?s)\A(.*[}])"
+JSON_TYPE = r"""(?is)\A<script[^<>]*type\s*=\s*["']application/(?:[a-z.+-]*[+])?json["'][^<>]*>"""
 JSON_BODY = r"\A\s*[\[{]"
+JSON_CODE = r"\\u00([2-7][0-9A-Fa-f])"
 # Script and style bodies are not entity-encoded, all other text and attributes are.
-RAW_TEXT_ELEMENT = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>"
+RAW = "(?:script|style)"
 
 CONTEXTS = ("script", "css", "handler", "meta", "config", "json", "html")
 
@@ -33,30 +36,68 @@ def _all(html: Column, pattern: str) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
+def elements(html: Column, name: str) -> Column:
+    """The elements of a name, from the first open tag before each close tag, that tag included.
+
+    The page is cut at the close tags, and each piece is cut once more, so that the
+    work is linear. An element without its close tag is no element.
+    """
+    pieces = F.split(html, CLOSE % name, -1)
+    closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    cut = F.transform(closed, lambda piece: F.regexp_extract(piece, f"{OPEN % name}.*", 0))
+    return F.filter(cut, lambda element: element != "")
+
+
+def _body(element: Column, name: str) -> Column:
+    return F.regexp_replace(element, rf"\A{OPEN % name}", "")
+
+
 def decode_markup(html: Column) -> Column:
     """Decode entities in text and attributes and leave script and style bodies alone."""
-    outside = F.split(html, RAW_TEXT_ELEMENT, -1)
-    inside = F.regexp_extract_all(html, F.lit(RAW_TEXT_ELEMENT), F.lit(0))
-    pieces = F.zip_with(outside, inside, lambda o, i: F.concat(decode_entities(o), F.coalesce(i, F.lit(""))))
-    return F.when(html.contains("&"), F.array_join(pieces, "")).otherwise(html)
+    pieces, ends = F.split(html, CLOSE % RAW, -1), F.regexp_extract_all(html, F.lit(CLOSE % RAW), F.lit(0))
+
+    def decoded(piece: Column, end: Column) -> Column:
+        # what follows the last close tag holds no closed element
+        raw = F.when(end.isNull(), F.lit("")).otherwise(F.regexp_extract(piece, f"{OPEN % RAW}.*", 0))
+        outside = F.left(piece, F.length(piece) - F.length(raw))
+        return F.concat(decode_entities(outside), raw, F.coalesce(end, F.lit("")))
+
+    return F.when(html.contains("&"), F.array_join(F.zip_with(pieces, ends, decoded), "")).otherwise(html)
+
+
+def unescape_json(text: Column) -> Column:
+    """Undo ``\\/`` and the code escapes of printable ASCII, so that keys show as they are used."""
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(JSON_CODE), F.lit(1)))
+
+    def step(acc: Column, code: Column) -> Column:
+        return F.replace(acc, F.concat(F.lit("\\u00"), code), F.char(F.conv(code, 16, 10).cast("int")))
+
+    return F.when(text.contains("\\"), F.replace(F.aggregate(codes, text, step), F.lit("\\/"), F.lit("/"))).otherwise(text)
 
 
 def context_texts(html: Column, context: str) -> Column:
     """The texts of one context, as an array."""
     if context == "script":
-        return _all(html, SCRIPT)
+        return F.transform(elements(html, "script"), lambda e: _body(e, "script"))
     if context == "css":
-        return _all(html, STYLE)
+        return F.transform(elements(html, "style"), lambda e: _body(e, "style"))
     if context == "handler":
         handlers = F.concat(_all(html, HANDLER_DOUBLE), _all(html, HANDLER_SINGLE))
         return F.transform(handlers, decode_entities)
     if context == "meta":
         return F.transform(_all(html, META), decode_entities)
     if context == "config":
-        return F.flatten(F.transform(_all(html, SCRIPT), lambda body: _all(body, CONFIG)))
+        # an object ends with the last brace before the next one, or before the script's end
+        def objects(script: Column) -> Column:
+            parts = F.split(_body(script, "script"), CONFIG, -1)
+            ends = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda part: F.regexp_extract(part, LAST_BRACE, 1))
+            return F.transform(F.filter(ends, lambda end: end != ""), lambda end: F.concat(F.lit("{"), end))
+
+        return F.flatten(F.transform(elements(html, "script"), objects))
     if context == "json":
         body = F.when(html.rlike(JSON_BODY), F.array(html)).otherwise(F.array().cast("array<string>"))
-        return F.concat(_all(html, JSON_SCRIPT), body)
+        scripts = F.filter(elements(html, "script"), lambda e: e.rlike(JSON_TYPE))
+        return F.transform(F.concat(F.transform(scripts, lambda e: _body(e, "script")), body), unescape_json)
     if context == "html":
         return F.array(decode_markup(html))
     raise ValueError(f"unknown context {context!r}")

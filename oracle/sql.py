@@ -81,28 +81,51 @@ def decode(text: str) -> str:
     return f"replace({out}, '&amp;', '&')"
 
 
+def elements(html: str, name: str) -> str:
+    """Elements with their open tags: what precedes each close tag, from the first open tag on."""
+    pieces = f"string_split_regex({html}, {lit(ctx.CLOSE % name)})"
+    opened = lit(ctx.OPEN % name + ".*")
+    return f"list_filter(list_transform({pieces}[1:-2], lambda p: regexp_extract(p, {opened}, 0)), lambda e: e <> '')"
+
+
+def body(element: str, name: str) -> str:
+    return f"regexp_replace({element}, {lit(chr(92) + 'A' + ctx.OPEN % name)}, '')"
+
+
 def decode_markup(html: str) -> str:
-    re = lit(ctx.RAW_TEXT_ELEMENT)
-    return f"""array_to_string(list_transform(list_zip(string_split_regex({html}, {re}), regexp_extract_all({html}, {re}, 0)),
-      lambda z: concat({decode('z[1]')}, coalesce(z[2], ''))), '')"""
+    close, opened = lit(ctx.CLOSE % ctx.RAW), lit(ctx.OPEN % ctx.RAW + ".*")
+    raw = f"(CASE WHEN z[2] IS NULL THEN '' ELSE regexp_extract(z[1], {opened}, 0) END)"
+    outside = f"left(z[1], length(z[1]) - length({raw}))"
+    return f"""array_to_string(list_transform(list_zip(string_split_regex({html}, {close}), regexp_extract_all({html}, {close}, 0)),
+      lambda z: concat({decode(outside)}, {raw}, coalesce(z[2], ''))), '')"""
+
+
+def unescape_json(text: str) -> str:
+    codes = f"list_distinct(regexp_extract_all({text}, {lit(ctx.JSON_CODE)}, 1))"
+    return f"""replace(list_reduce(list_prepend({text}, {codes}), lambda acc, d:
+      replace(acc, concat('\\u00', d), chr(CAST(concat('0x', d) AS INTEGER)))), '\\/', '/')"""
 
 
 def context_texts(context: str, html: str = "html") -> str:
     def every(pattern: str, of: str = html) -> str:
         return f"regexp_extract_all({of}, {lit(pattern)}, 1)"
 
+    scripts = elements(html, "script")
     if context == "script":
-        return every(ctx.SCRIPT)
+        return f"list_transform({scripts}, lambda e: {body('e', 'script')})"
     if context == "css":
-        return every(ctx.STYLE)
+        return f"list_transform({elements(html, 'style')}, lambda e: {body('e', 'style')})"
     if context == "handler":
         return f"list_transform(list_concat({every(ctx.HANDLER_DOUBLE)}, {every(ctx.HANDLER_SINGLE)}), lambda h: {decode('h')})"
     if context == "meta":
         return f"list_transform({every(ctx.META)}, lambda h: {decode('h')})"
     if context == "config":
-        return f"flatten(list_transform({every(ctx.SCRIPT)}, lambda s: {every(ctx.CONFIG, 's')}))"
+        ends = f"list_transform(string_split_regex({body('s', 'script')}, {lit(ctx.CONFIG)})[2:], lambda p: regexp_extract(p, {lit(ctx.LAST_BRACE)}, 1))"
+        return f"flatten(list_transform({scripts}, lambda s: list_transform(list_filter({ends}, lambda x: x <> ''), lambda x: concat('{{', x))))"
     if context == "json":
-        return f"list_concat({every(ctx.JSON_SCRIPT)}, CASE WHEN regexp_matches({html}, {lit(ctx.JSON_BODY)}) THEN [{html}] ELSE [] END)"
+        json = f"list_transform(list_filter({scripts}, lambda e: regexp_matches(e, {lit(ctx.JSON_TYPE)})), lambda e: {body('e', 'script')})"
+        found = f"list_concat({json}, CASE WHEN regexp_matches({html}, {lit(ctx.JSON_BODY)}) THEN [{html}] ELSE [] END)"
+        return f"list_transform({found}, lambda j: {unescape_json('j')})"
     return f"[{decode_markup(html)}]"
 
 

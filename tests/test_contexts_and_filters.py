@@ -107,7 +107,12 @@ def test_wide_scope_without_broadcast(spark):
     from leaksieve.session import semi_join
     pages = scope_pages(spark).withColumn("k", F.col("page_id") % 3)
     keys = spark.createDataFrame([(0,), (1,)], "k bigint")
-    small, large = semi_join(pages, keys, "k"), semi_join(pages, keys, "k", max_rows=1)
+    small = semi_join(pages, keys, "k")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    large = semi_join(pages, keys, "k").persist()
+    large.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(small.collect()) == sorted(large.collect())
 
 
@@ -125,3 +130,16 @@ def test_scan_units_filters_then_masks(spark, units):
     assert [(r.uri, r.rule_id) for r in scan_units(df).collect()] == [("a.js", "generic_secret")]
     assert scan_units(df, include_all=True).count() == 2
     assert scan_units(df, best_only=True, keep_values=True).collect()[0].value == TOKEN
+
+
+def test_unclosed_tags_cost_linear_time(spark):
+    """A megabyte of tags that never close is read once, not once per tag."""
+    import time
+
+    from leaksieve.sources.tables import units_from_pages
+
+    for tag in ("<script>", "<meta x", "<style>", "<script type=", "<script>window.__a__ = {"):
+        page = spark.createDataFrame([(1, "https://e.com", tag * (1_000_000 // len(tag)))], "page_id long, url string, html string")
+        began = time.perf_counter()
+        units_from_pages(page, ["script", "css", "meta", "config", "json", "html"]).select(F.sum(F.length("text"))).collect()
+        assert time.perf_counter() - began < 20, tag

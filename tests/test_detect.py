@@ -144,3 +144,21 @@ def test_arbitrary_text(spark, units, texts):
 def test_detection_moves_no_data(spark, units):
     plan = detect(units(["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_long_values_are_found_whole_and_redacted_whole(spark, units):
+    from leaksieve.operators.detect import detect, mask
+    from leaksieve.operators.redact import redact
+
+    body = "\n".join(hexes(64, seed=i) for i in range(20))
+    keys = [f"-----BEGIN RSA PRIVATE KEY-----\n{b}\n-----END RSA PRIVATE KEY-----" for b in (body, body[::-1])]
+    long = [hexes(n, seed=n) for n in (300, 1500)]
+    texts = [f"a\n{keys[0]}\nb", f"a\n{keys[1]}\nb", f'token = "{long[0]}"', f"bearer {long[1]}", f"x eyJ{long[1]}.eyJ{long[1]}.{long[0]} y"]
+    found = {(r.unit_id, r.rule_id): r.value for r in detect(units(texts)).collect()}
+    assert [found[str(i), "pem_private_key"] for i in (0, 1)] == keys
+    assert found["2", "generic_secret"] == long[0] and found["3", "bearer_token"] == long[1]
+    assert found["4", "jwt"] == f"eyJ{long[1]}.eyJ{long[1]}.{long[0]}"
+    prints = {r.fingerprint for r in mask(detect(units(texts[:2]))).filter("rule_id = 'pem_private_key'").collect()}
+    assert len(prints) == 2
+    left = "".join(r.text for r in redact(units(texts)).collect())
+    assert not any(secret[k:k + 12] in left for secret in (*keys[0].split("\n")[1:-1], *long) for k in range(0, len(secret) - 12, 7))
