@@ -147,6 +147,12 @@ NAMED_URI = """concat(source, CASE doc_id % 6 WHEN 0 THEN '/app.min.js' WHEN 1 T
   WHEN 3 THEN '/.env' WHEN 4 THEN '/latest/contests.py' ELSE '/conf/id_rsa' END)"""
 
 
+# Addresses whose host, query or fragment look like file names; of the last kind the path is one.
+ADDRESSES = """CASE page_id % 6 WHEN 0 THEN concat(url, '?img=a.png') WHEN 1 THEN concat(url, '#x.zip') WHEN 2 THEN 'https://www.notion.so'
+  WHEN 3 THEN concat(url, '?next=/tests/x') WHEN 4 THEN concat(url, '#/app.min.js')
+  ELSE concat(regexp_replace(url, '[?#].*', ''), '/logo.png?v=1') END"""
+
+
 # --- inputs -----------------------------------------------------------------
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -223,9 +229,9 @@ def _per_source_file(units: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("n_findings"))
 
 
-def _report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _report_roundtrip(spark: SparkSession, sf_dir: str, verbose: bool = False) -> DataFrame:
     path = scratch_path(spark, "report")
-    sinks.write_report(_findings(spark, sf_dir), path)
+    sinks.write_report(_findings(spark, sf_dir), path, verbose=verbose)
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
@@ -250,7 +256,8 @@ def _even_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # a table may be one file or a folder of part files; file streams read folders and patterns
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
     return units_from(stream.withColumn("ts", F.timestamp_seconds("doc_id")), "doc_id", "text", "concat(source, '/', doc_id)", keep=["source", "ts"])
 
 
@@ -334,7 +341,7 @@ def _scan_queries() -> dict[str, Query]:
         return _documents(s, d, uri=NAMED_URI).drop("source")
 
     def history(s, d):
-        return mask(detect(units_from_history(_commits(s, d)), keep=HISTORY_COLUMNS))
+        return mask(detect(units_from_history(_commits(s, d)), keep=HISTORY_COLUMNS, uri_by=("uri", "repo", "commit_id", "path")))
 
     def sourced(s, d, parity=None):
         units = _documents(s, d)
@@ -358,6 +365,7 @@ def _scan_queries() -> dict[str, Query]:
         # sinks
         "k1_report_blocks": lambda s, d: sinks.report_blocks(_findings(s, d)),
         "k1_write_report": _report_roundtrip,
+        "k1_verbose_report": lambda s, d: _report_roundtrip(s, d, verbose=True),
         "k2_write_findings": _findings_roundtrip,
         "k3_gate": lambda s, d: grp.gate(_findings(s, d), max_allowed=20),
         # rules and detection
@@ -398,9 +406,12 @@ def _scan_queries() -> dict[str, Query]:
         "f5_in_scope_exact": lambda s, d: in_scope(pages(s, d), "thther.example.org", subdomains=False).select("page_id", "url"),
         "f6_in_list": lambda s, d: in_list(pages(s, d), _even_hosts(s, d)).select("page_id", "url"),
         "f7_include_all": lambda s, d: drop_likely_false_positives(named(s, d), include_all=True).select("unit_id", "uri"),
+        "f9_url_names": lambda s, d: drop_likely_false_positives(
+            pages(s, d).select(F.col("page_id").cast("string").alias("unit_id"), F.expr(ADDRESSES).alias("uri"))),
         "f8_default_filters": lambda s, d: scan_units(named(s, d)),
         # grouping
         "a1_by_unit": lambda s, d: grp.by_unit(_findings(s, d)).withColumn("types", F.array_join("types", ",")),
+        "a1_by_unit_pages": lambda s, d: grp.by_unit(mask(detect(units_from_pages(planted_pages(s, d))))).withColumn("types", F.array_join("types", ",")),
         "a1_listed_by_unit": lambda s, d: grp.listed_by_unit(mask(_planted(s, d))).withColumn("findings", F.array_join(F.transform(
             "findings", lambda f: F.concat_ws("|", f["start"], f["end"], f["type"], f["value_masked"])), ",")),
         "a2_by_type": lambda s, d: grp.by_type(mask(_planted(s, d))),
@@ -468,8 +479,9 @@ def _scan_oracle_sql() -> dict[str, str]:
     even = f"SELECT DISTINCT regexp_replace(domain, '^[^.]+[.]', '') AS domain FROM ({hosts}) WHERE length(domain) % 2 = 0"
     listed = f"SELECT * FROM pages WHERE EXISTS (SELECT 1 FROM ({even}) e WHERE {duck.host('url')} = e.domain OR ends_with({duck.host('url')}, '.' || e.domain))"
     scope = f"({duck.host('url')} = '{DOMAIN}' OR ends_with({duck.host('url')}, '.{DOMAIN}'))"
-    minified, tests = f"regexp_matches(uri, {re(duck.flt.MINIFIED)})", f"regexp_matches(uri, {re(duck.flt.TEST_PATH)})"
-    asset = f"lower(regexp_extract(uri, {re(duck.flt.EXTENSION)}, 1)) IN ({', '.join(map(re, duck.flt.ASSET_EXTENSIONS))})"
+    name = duck.name_of("uri")
+    minified, tests = f"regexp_matches({name}, {re(duck.flt.MINIFIED)})", f"regexp_matches({name}, {re(duck.flt.TEST_PATH)})"
+    asset = f"lower(regexp_extract({name}, {re(duck.flt.EXTENSION)}, 1)) IN ({', '.join(map(re, duck.flt.ASSET_EXTENSIONS))})"
     lines = """SELECT source AS repo, concat('c', doc_id) AS commit_id, doc_id AS seq, concat(lang, '.txt') AS path, text, i, l[i] AS line,
       (i - 1) % 3 AS mark, len(l) AS n, l FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents))"""
     added = f"""SELECT repo, commit_id, seq, path, CAST(11 + (i - 1) - i // 3 AS BIGINT) AS line_no, line AS text FROM ({lines}) WHERE mark = 0
@@ -532,8 +544,14 @@ def _scan_oracle_sql() -> dict[str, str]:
         "f5_in_scope_exact": f"SELECT page_id, url FROM pages WHERE {duck.host('url')} = 'thther.example.org'",
         "f6_in_list": f"SELECT page_id, url FROM ({listed})",
         "f7_include_all": f"SELECT unit_id, uri FROM ({named})",
+        # by construction: only the appended file name is one
+        "f9_url_names": f"SELECT CAST(page_id AS VARCHAR) AS unit_id, {ADDRESSES} AS uri FROM pages WHERE page_id % 6 <> 5",
         "f8_default_filters": duck.masked(duck.noise_free(duck.detect(f"SELECT * FROM ({named}) WHERE NOT ({minified} OR {asset} OR {tests})"))),
-        "a1_by_unit": f"SELECT uri, count(*) AS n_findings, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM ({found}) GROUP BY 1",
+        "a1_by_unit_pages": f"""SELECT uri, count(*) AS n_findings, count(DISTINCT fingerprint) AS n_secrets, string_agg(DISTINCT type, ',' ORDER BY type) AS types
+          FROM ({duck.masked(duck.detect(duck.contexts(pages=planted_pages)))}) GROUP BY 1""",
+        "k1_verbose_report": f"""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(concat(replace({block}, repeat('-', 50), ''), 'Context: ', context, chr(10),
+          'Unit: ', unit_id, chr(10), 'Rule: ', rule_id, chr(10), 'Fingerprint: ', fingerprint, chr(10), repeat('-', 50)), chr(10))) AS line FROM ({found})) GROUP BY 1""",
+        "a1_by_unit": f"SELECT uri, count(*) AS n_findings, count(DISTINCT fingerprint) AS n_secrets, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM ({found}) GROUP BY 1",
         "a1_listed_by_unit": f"""SELECT uri, unit_id, CAST(start // 65536 AS BIGINT) AS piece, count(*) AS n_findings, string_agg(concat_ws('|',
           CAST(start AS VARCHAR), CAST("end" AS VARCHAR), type, value_masked), ',' ORDER BY start, "end", type, value_masked) AS findings
           FROM ({duck.masked(planted)}) GROUP BY 1, 2, 3""",
@@ -558,7 +576,7 @@ def _scan_oracle_sql() -> dict[str, str]:
         "w5_scan_site": page_scan(site),
         "w5_scan_domains": page_scan(listed),
         "h1_added_lines": f"SELECT repo, commit_id, path, line_no, md5(text) AS digest FROM ({added})",
-        "h1_scan_history": duck.masked(duck.detect(hist_units, keep=HISTORY_COLUMNS)),
+        "h1_scan_history": duck.masked(duck.detect(hist_units, keep=HISTORY_COLUMNS, uri_by=("uri", "repo", "commit_id", "path"))),
         "h2_first_seen": f"""SELECT fingerprint, n_findings, seq, commit_id, uri, unit_id, start, type FROM (SELECT *, count(*) OVER (PARTITION BY fingerprint) AS n_findings,
           row_number() OVER (PARTITION BY fingerprint ORDER BY seq, commit_id, uri, unit_id, start, type) AS rn FROM ({sourced})) WHERE rn = 1""",
         "h3_history_only": f"""WITH f AS ({sourced}) SELECT * FROM f WHERE seq % 2 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE seq % 2 = 1)""",

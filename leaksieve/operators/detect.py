@@ -67,8 +67,27 @@ def with_hits(units: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return gated.withColumn("__hits", hits).drop("__shaped", "__gates", "__lower")
 
 
-def detect(units: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
-    """Apply all rules: one row per match, in batch and in streaming alike.
+def detect(units: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (), uri_by: Sequence[str] = ("uri",)) -> DataFrame:
+    """Apply all rules: one row per match.
+
+    Rules on names look at each ``uri`` once (at each combination of ``uri_by``, of which the columns
+    must be kept) and report its least unit. Streams have no such memory: there they report every unit.
+    """
+    named = [rule for rule in rules if rule.target == "uri"]
+    if units.isStreaming or not named:
+        return _detect(units, rules, keep)
+    units = _with_context(units)
+    kept = [c for c in keep if c not in uri_by]
+    hit = units.filter(any_of([F.col("uri").rlike(rule.regex) for rule in named])).select("unit_id", "uri", *keep)
+    first = hit.groupBy(*dict.fromkeys(["uri", *uri_by])).agg(F.min(F.struct("unit_id", *kept)).alias("first"))
+    files = first.select("first.*", *[c for c in first.columns if c != "first"], F.lit("uri").alias("context"), F.lit("").alias("text"))
+    texts = [rule for rule in rules if rule.target != "uri"]
+    found = _detect(files, named, keep)
+    return _detect(units, texts, keep).unionByName(found) if texts else found
+
+
+def _detect(units: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> DataFrame:
+    """Apply all rules to every unit: one row per match, in batch and in streaming alike.
 
     ``units`` has ``unit_id``, ``uri``, ``text`` and optionally ``context``; columns
     named in ``keep`` are carried along. Positions are 0-based code points, half

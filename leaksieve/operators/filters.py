@@ -34,16 +34,24 @@ PLACEHOLDER_WORDS = (
 VARIABLE = r"\A(?:[$][{(]?[A-Za-z_]|[{]{2}|%[A-Za-z_]+%)"
 
 
+URL = r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+
+
+def name_of(uri: Column) -> Column:
+    """What of a uri is a name: of a URL its path, without host, query and fragment; else all of it."""
+    return F.when(uri.rlike(URL) & ~uri.startswith("file:"), F.regexp_extract(uri, URL, 1)).otherwise(uri)
+
+
 def is_minified(uri: Column) -> Column:
-    return uri.rlike(MINIFIED)
+    return name_of(uri).rlike(MINIFIED)
 
 
 def is_asset(uri: Column) -> Column:
-    return F.lower(F.regexp_extract(uri, EXTENSION, 1)).isin(*ASSET_EXTENSIONS)
+    return F.lower(F.regexp_extract(name_of(uri), EXTENSION, 1)).isin(*ASSET_EXTENSIONS)
 
 
 def is_test_data(uri: Column) -> Column:
-    return uri.rlike(TEST_PATH)
+    return name_of(uri).rlike(TEST_PATH)
 
 
 def is_noise(value: Column) -> Column:

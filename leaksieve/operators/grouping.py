@@ -19,11 +19,15 @@ SPAN = 65_536
 
 
 def by_unit(findings: DataFrame) -> DataFrame:
-    """One row per file or URL: number of findings, and the types found."""
-    return findings.groupBy("uri").agg(
-        F.count("*").alias("n_findings"),
-        # at most one entry per type of the catalogue
-        F.array_sort(F.collect_set("type")).alias("types"),
+    """One row per file or URL: findings, different secrets, and the types found.
+
+    A secret that shows in several contexts of a page is several findings and one secret.
+    """
+    per_secret = findings.groupBy("uri", "fingerprint").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("type")).alias("types"))
+    return per_secret.groupBy("uri").agg(
+        F.sum("n").alias("n_findings"), F.count("*").alias("n_secrets"),
+        # no type of the catalogue more than once
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"),
     )
 
 

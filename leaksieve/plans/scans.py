@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..catalogue import RULES, Rule
 from ..operators.contexts import CONTEXTS
 from ..operators.detect import best_rule, detect, mask
-from ..operators.filters import drop_likely_false_positives, drop_noise, in_list, in_scope
+from ..operators.filters import drop_likely_false_positives, drop_noise, in_list, in_scope, is_likely_false_positive
 from ..operators.links import links, page_budget, reachable
-from ..session import semi_join, spread
+from ..session import semi_join
 from ..sources.files import read_dir, read_file
 from ..sources.history import HISTORY_COLUMNS, units_from_history
 from ..sources.tables import units_from_pages
@@ -20,14 +20,14 @@ from ..sources.tables import units_from_pages
 
 def scan_units(
     units: DataFrame, rules: Sequence[Rule] = RULES, include_all: bool = False, best_only: bool = False,
-    keep: Sequence[str] = (), keep_values: bool = False, salt: str | None = None,
+    keep: Sequence[str] = (), keep_values: bool = False, salt: str | None = None, uri_by: Sequence[str] = ("uri",),
 ) -> DataFrame:
     """Filters on the name, detection, noise filter, masking.
 
     ``include_all`` switches the filters on names off; noise in values is dropped
     either way. ``best_only`` keeps one rule per span, at the price of a shuffle of the findings.
     """
-    findings = drop_noise(detect(drop_likely_false_positives(units, include_all), rules, keep))
+    findings = drop_noise(detect(drop_likely_false_positives(units, include_all), rules, keep, uri_by))
     if best_only:
         findings = best_rule(findings, rules)
     return mask(findings, keep_values, salt)
@@ -43,13 +43,17 @@ def scan_dir(spark: SparkSession, path: str, include_all: bool = False, **option
     return scan_units(read_dir(spark, path, include_all), include_all=True, **options)
 
 
-def scan_history(commits: DataFrame, **options) -> DataFrame:
-    return scan_units(units_from_history(commits), keep=HISTORY_COLUMNS, **options)
+def scan_history(commits: DataFrame, include_all: bool = False, **options) -> DataFrame:
+    """Lines that patches add. Filters on names see the path, not the repository's name; rules on names see each file of a commit once."""
+    units = units_from_history(commits)
+    if not include_all:
+        units = units.filter(~is_likely_false_positive(F.col("path")))
+    return scan_units(units, include_all=True, keep=HISTORY_COLUMNS, uri_by=("uri", "repo", "commit_id", "path"), **options)
 
 
 def scan_domains(pages: DataFrame, domains: DataFrame, only: Sequence[str] = CONTEXTS, **options) -> DataFrame:
-    """Stored pages of every listed domain; ``pages`` is a scan of a table."""
-    return scan_units(units_from_pages(in_list(spread(pages, "page_id"), domains), only, spread_out=False), **options)
+    """Stored pages of every listed domain."""
+    return scan_units(units_from_pages(in_list(pages, domains), only, spread_out=False), **options)
 
 
 def site_pages(
@@ -83,6 +87,6 @@ def scan_site(
     pages: DataFrame, domain: str, depth: int | None = None, max_pages: int | None = None,
     seeds: DataFrame | None = None, include_all: bool = False, only: Sequence[str] = CONTEXTS, **options,
 ) -> DataFrame:
-    """Findings on the pages of one site, see :func:`site_pages`; ``pages`` is a scan of a table."""
-    chosen = site_pages(spread(pages, "page_id"), domain, depth, max_pages, seeds, include_all)
+    """Findings on the pages of one site, see :func:`site_pages`."""
+    chosen = site_pages(pages, domain, depth, max_pages, seeds, include_all)
     return scan_units(units_from_pages(chosen, only, spread_out=False), include_all=include_all, **options)

@@ -9,13 +9,15 @@ from .session import written
 
 # Layout of one finding in the text report.
 RULER = "-" * 50
+# Lines that a verbose report adds.
+VERBOSE = (("Context", "context"), ("Unit", "unit_id"), ("Rule", "rule_id"), ("Fingerprint", "fingerprint"))
 ORDER = ("uri", "start", "end", "type", "context", "unit_id")
 
 
-def report_blocks(findings: DataFrame, value_col: str = "value_masked") -> DataFrame:
+def report_blocks(findings: DataFrame, value_col: str = "value_masked", verbose: bool = False) -> DataFrame:
     """The text block of every finding, with the columns that order the report.
 
-    Units named by a URL are labelled ``URL``, all others ``File``.
+    Units named by a URL are labelled ``URL``, all others ``File``. ``verbose`` adds where and by which rule it was found.
     """
     label = F.when(F.col("uri").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") & ~F.col("uri").startswith("file:"), "URL").otherwise("File")
     block = F.concat_ws(
@@ -24,12 +26,13 @@ def report_blocks(findings: DataFrame, value_col: str = "value_masked") -> DataF
         F.concat(F.lit("Value: "), value_col),
         F.concat(F.lit("Position: "), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")),
         F.concat(label, F.lit(": "), "uri"),
+        *([F.concat(F.lit(f"{name}: "), column) for name, column in VERBOSE] if verbose else []),
         F.lit(RULER),
     )
     return findings.select(*[c for c in ORDER if c in findings.columns], block.alias("block"))
 
 
-def write_report(findings: DataFrame, path: str, value_col: str = "value_masked") -> None:
+def write_report(findings: DataFrame, path: str, value_col: str = "value_masked", verbose: bool = False) -> None:
     """Write the report, grouped by file or URL.
 
     The parts of the output, read in order of their names, are sorted by URI and
@@ -38,7 +41,7 @@ def write_report(findings: DataFrame, path: str, value_col: str = "value_masked"
     partitioning samples its input first; the blocks are written out before, so
     that the scan behind them runs once.
     """
-    blocks = written(report_blocks(findings, value_col), "report")
+    blocks = written(report_blocks(findings, value_col, verbose), "report")
     order = [c for c in ORDER if c in blocks.columns]
     blocks.repartitionByRange(*order).sortWithinPartitions(*order).select("block").write.mode("overwrite").text(path)
 

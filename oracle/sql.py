@@ -25,12 +25,16 @@ CONVERSATIONS = """SELECT concat(CAST(conv_id AS VARCHAR), '/', CAST(turn AS VAR
   concat('conv/', CAST(conv_id AS VARCHAR), '/', CAST(turn AS VARCHAR)) AS uri, 'raw' AS context, text, role FROM conversations"""
 
 
-def detect(units: str, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> str:
+def detect(units: str, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (), uri_by: Sequence[str] = ("uri",)) -> str:
     """A query over ``units`` (a query itself) with the raw finding columns."""
     kept = "".join(f", {c}" for c in keep)
     parts = []
     for rule in rules:
         subject = "uri" if rule.target == "uri" else "text"
+        # names once, with the least unit of each
+        first = "".join(f", arg_min({c}, unit_id) AS {c}" for c in keep if c not in uri_by)
+        by = ", ".join(dict.fromkeys(["uri", *uri_by]))
+        source = f"(SELECT {by}, 'uri' AS context, min(unit_id) AS unit_id{first} FROM u GROUP BY {by})" if rule.target == "uri" else "u"
         context = "'uri'" if rule.target == "uri" else "context"
         re = lit(rule.regex)
         bounded = f"WHERE NOT regexp_matches(substring(subj, \"end\" + 1, 1), '[A-Za-z0-9_]')" if rule.bounded else ""
@@ -45,7 +49,7 @@ SELECT uri, type, value, start, "end", context, unit_id, rule_id{kept} FROM (
         SELECT uri, context, unit_id{kept}, {subject} AS subj, regexp_extract_all({subject}, {re}, 0) AS m,
           regexp_extract_all({subject}, {re}, 1) AS l, regexp_extract_all({subject}, {re}, 2) AS v,
           string_split_regex({subject}, {re}) AS gaps
-        FROM u WHERE regexp_matches({subject}, {re})))) {bounded})""")
+        FROM {source} WHERE regexp_matches({subject}, {re})))) {bounded})""")
     return f"WITH u AS MATERIALIZED ({units}) " + " UNION ALL ".join(parts)
 
 
@@ -139,6 +143,10 @@ def contexts(only: Sequence[str] = ctx.CONTEXTS, pages: str = "SELECT * FROM pag
     return " UNION ALL ".join(parts)
 
 
+def name_of(uri: str) -> str:
+    return f"(CASE WHEN regexp_matches({uri}, {lit(flt.URL)}) AND NOT starts_with({uri}, 'file:') THEN regexp_extract({uri}, {lit(flt.URL)}, 1) ELSE {uri} END)"
+
+
 def host(url: str) -> str:
     return f"lower(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1))"
 
