@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import scratch_path, written
 from .components import components
 
 DISTANCE = 2
@@ -32,39 +32,41 @@ def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return lines.filter(F.length("line") >= shortest).select("doc_id", "line_no", F.xxhash64("line").alias("id"), "line")
 
 
-def _segments(length: Column, count: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and size of each segment; the last ones take the rest."""
-    size, longer = F.floor(length / count), length % count
-    out, start = [], F.lit(0)
-    for i in range(count):
-        own = size + F.when(F.lit(i) >= F.lit(count) - longer, 1).otherwise(0)
-        out.append((start, own))
-        start = start + own
-    return out
+def _places(distance: int) -> list[tuple[int, int, int, bool]]:
+    """What a line is cut and probed at: (characters fewer, segment, shift, indexed).
 
-
-def _key(line: Column, length: Column, number: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), F.substring(line, (start + 1).cast("int"), size.cast("int")))
+    Edits left of a segment and right of it must fit together: at most i before segment i
+    of distance + 1 (from 0), at most distance - i after it. Lines of one length meet at
+    their indexed segments, so that these need no probes.
+    """
+    own = [(0, i, 0, True) for i in range(distance + 1)]
+    return own + [
+        (shorter, i, shift, False)
+        for shorter in range(distance + 1) for i in range(distance + 1) for shift in range(-distance, distance + 1)
+        if abs(shift) <= i and abs(shorter - shift) <= distance - i and (shorter or shift)
+    ]
 
 
 def _keys(distance: int) -> Column:
-    """Keys of a line: structs (key, indexed). Repeated keys of a line are kept once."""
-    line, length = F.col("line"), F.length("line")
-    made = [
-        F.struct(_key(line, length, i, start, size).alias("key"), F.lit(True).alias("indexed"))
-        for i, (start, size) in enumerate(_segments(length, distance + 1))
-    ]
-    for shorter in range(distance + 1):
-        other = length - shorter
-        for i, (start, size) in enumerate(_segments(other, distance + 1)):
-            for shift in range(-distance, distance + 1):
-                # Edits left of the segment and right of it must fit together (0-based segment i of distance + 1):
-                # at most i before it, at most distance - i after it.
-                if abs(shift) <= i and abs(shorter - shift) <= distance - i:
-                    at = start + shift
-                    inside = (at >= 0) & (at + size <= length)
-                    made.append(F.when(inside, F.struct(_key(line, other, i, at, size).alias("key"), F.lit(False).alias("indexed"))))
-    return F.array_distinct(F.array_compact(F.array(*made)))
+    """Keys of a line, null where a substring would not lie within it. Needs columns line and length.
+
+    The last bit of a key tells whether its segment is indexed or probed with. Segments are
+    as long as each other, the last ones a character longer where that does not come out even.
+    """
+    line, length, count = F.col("line"), F.col("length"), distance + 1
+    places = F.array(*(
+        F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift"), F.lit(int(indexed)).cast("long").alias("bit"))
+        for shorter, i, shift, indexed in _places(distance)))
+
+    def key(p: Column) -> Column:
+        other = length - p["shorter"]
+        plain = count - other % count  # segments without an extra character
+        at = p["i"] * (other / count).cast("int") + F.greatest(p["i"] - plain, F.lit(0)) + p["shift"]
+        size = ((other + p["i"]) / count).cast("int")
+        hashed = F.xxhash64(other, p["i"], F.substring(line, at + 1, size))
+        return F.when((at >= 0) & (at + size <= length), hashed.bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(p["bit"]))
+
+    return F.transform(places, key)
 
 
 def bigram_parity(line: Column) -> Column:
@@ -134,20 +136,21 @@ def banded_distance(a: Column, b: Column, most: int) -> Column:
 def links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs (a, b), a < b, of ids of different lines at most ``distance`` edits apart; each once, none left out.
 
-    ``lines`` has id and line, each line once. Keys without a partner go before any
+    ``lines`` has id, line and length, each line once. Keys without a partner go before any
     text moves; the join of the rest compares character-pair parities, so that only likely pairs leave it.
     """
-    rows = lines.select("id", F.explode(_keys(distance)).alias("k")).select("k.key", "id", "k.indexed")
+    rows = lines.select("id", F.explode(_keys(distance)).alias("key")).filter("key IS NOT NULL")
+    rows = rows.select(F.expr("shiftright(key, 1)").alias("key"), "id", (F.col("key") % 2 != 0).alias("indexed"))
     met = W.partitionBy("key")
     shared = rows.withColumn("low", F.min("id").over(met)).withColumn("high", F.max("id").over(met)).withColumn("any", F.max("indexed").over(met))
-    active = written(shared.filter("low <> high AND any").select("key", "id", "indexed"), "active")
+    active = written(shared.filter("low <> high AND any").select("key", "id", "indexed").distinct(), "active")
     wanted = active.select("id").distinct()
     places = wanted.select(F.pmod("id", F.lit(FILTER_PLACES)).alias("place")).distinct()
     near = lines.join(F.broadcast(places), F.pmod("id", F.lit(FILTER_PLACES)) == F.col("place"), "left_semi")
     texts = written(near.join(wanted, "id", "left_semi").select("id", "line", bigram_parity(F.col("line")).alias("parity")), "texts")
     marked = active.join(texts.select("id", "parity"), "id")
     index = marked.filter("indexed").select("key", F.col("id").alias("a"), F.col("parity").alias("pa"))
-    probe = marked.filter("NOT indexed").select("key", F.col("id").alias("b"), F.col("parity").alias("pb"))
+    probe = marked.select("key", F.col("id").alias("b"), F.col("parity").alias("pb"))
     likely = (F.col("a") != F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * distance)
     on_key = index.join(probe, (index["key"] == probe["key"]) & likely)
     pairs = on_key.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -166,7 +169,9 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHOR
     ``kept`` is true for the first line of a class (of repeated rows for all that are first). Lines are known by 64-bit hashes.
     """
     lines = lines_of(docs, shortest)
-    distinct = written(lines.select("id", "line").distinct(), "lines")
+    path = scratch_path(docs.sparkSession, "lines")
+    lines.select("id", "line").distinct().withColumn("length", F.length("line")).write.option("compression", "zstd").parquet(path)
+    distinct = docs.sparkSession.read.parquet(path)
     pairs = written(links(distinct, distance), "line-links")
     degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = degrees.join(components(pairs).withColumnRenamed("node", "id"), "id")

@@ -203,7 +203,7 @@ def test_line_links_lose_none(spark):
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([20, 21, 22, 40, 90]))) for _ in range(30)]
     all_lines = sorted({edited_copy(rng, rng.choice(base), rng.randint(0, 4)) for _ in range(300)} | set(base))
-    df = spark.createDataFrame([(x,) for x in all_lines], "line string").select(F.xxhash64("line").alias("id"), "line")
+    df = spark.createDataFrame([(x,) for x in all_lines], "line string").select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("length"))
     got = {(r.a, r.b) for r in lines.links(df).collect()}
     ids = {r.line: r.id for r in df.collect()}
     x, y = df.alias("x"), df.alias("y")
