@@ -24,7 +24,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Words that a Python worker remembers. Bounds memory only.
@@ -54,7 +53,9 @@ class WordwiseTokenizer:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         if self.tokenizer.encode("a \n b", add_special_tokens=False).ids != self.tokenizer.encode("a b", add_special_tokens=False).ids:
             raise ValueError("this tokenizer keeps white space")
-        self.known: dict[str, bytes] = {"": b""}
+        self.lowers = self._ids("ABC ÀÉ") == self._ids("abc àé")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # A digit is a word of its own, so its id marks where the words around it end.
         self.mark = self._ids("0")[0] if len(self._ids("0")) == 1 else None
 
@@ -64,6 +65,19 @@ class WordwiseTokenizer:
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
 
+    def _words(self, text: str) -> list[str]:
+        """Words between blanks; in lower case where that can't change ids, so that fewer differ.
+
+        Latin-1 texts hold no marks that combine, and their letters have one lower case each.
+        """
+        if self.lowers:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
     def _learn(self, words: list[str]) -> None:
         """Encode new words in one call, apart from those that hold the mark."""
         joined = [w for w in words if "0" not in w] if self.mark is not None else []
@@ -80,11 +94,14 @@ class WordwiseTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; a null text counts as empty."""
         whole = [any(s in t for s in self.special) if t else False for t in texts]
-        words = [[] if w or not t else t.replace("\n", " ").split(" ") for t, w in zip(texts, whole)]
-        needed = set(chain.from_iterable(words))
-        missing = sorted(needed - self.known.keys())
-        if len(self.known) + len(missing) > REMEMBERED_WORDS:
-            self.known = {w: ids for w, ids in self.known.items() if w in needed or not w}
+        words = [[] if w or not t else self._words(t) for t, w in zip(texts, whole)]
+        if len(self.known) > REMEMBERED_WORDS // 2:
+            self.known, self.older = {}, self.known
+        missing = set(chain.from_iterable(words)).difference(self.known)
+        again = [w for w in missing if w in self.older]
+        self.known.update((w, self.older[w]) for w in again)
+        missing = list(missing.difference(again, ("",)))
+        self.known[""] = b""
         for k in range(0, len(missing), 2000):
             self._learn(missing[k:k + 2000])
         known = self.known
@@ -223,7 +240,9 @@ def read(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(f"{path}/segments")
     # one row for each part, of which there are as many as write() had partitions
     sums = segments.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    before = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
+    base, total = {}, 0
+    for row in sorted(sums.collect()):
+        base[row.part], total = total, total + row.n
     wanted = segments if doc_id is None else segments.filter(F.lit(doc_id).between(F.col("first_doc"), F.col("last_doc")))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +251,7 @@ def read(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame
             for row in batch.to_pylist():
                 if row["dictionary_sha256"] != digest:
                     raise ValueError("segment was written with another dictionary")
-                at, start, payload = row["offsets"], row["part_start"], memoryview(row["payload"])
+                at, start, payload = row["offsets"], base[row["part"]] + row["part_start"], memoryview(row["payload"])
                 out: list[list] = [[], [], [], []]
                 for k, (i, n) in enumerate(zip(row["doc_ids"], row["counts"])):
                     if doc_id is None or i == doc_id:
@@ -243,7 +262,6 @@ def read(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame
                             column.append(value)
                     start += n
                 columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(out[0]), pa.int32()), *columns], names=["part", "doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
 
-    found = wanted.mapInArrow(opened, "part int, doc_id long, start long, n_tokens long, ids binary")
-    return found.join(before, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
+    return wanted.mapInArrow(opened, "doc_id long, start long, n_tokens long, ids binary")
