@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 K = 256
 WORDS = 5
 # Ids that share a bucket of next_documents().
@@ -101,7 +103,8 @@ def next_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     numbered = docs.withColumn("__bucket", F.coalesce(F.floor(F.col("doc_id") / BUCKET), lowest)).withColumn("__guest", F.lit(False))
     tops = numbered.groupBy("__bucket").agg(F.max("doc_id").alias("__top"))
     higher = _next_higher(tops.select(F.col("__bucket").alias("id")), 4096)
-    hosts = tops.join(higher, F.col("__bucket") == F.col("id")).select("__top", F.col("higher").alias("__bucket"))
+    # written, so that the planner knows their size before it deals out texts to meet them
+    hosts = written(tops.join(higher, F.col("__bucket") == F.col("id")).select("__top", F.col("higher").alias("__bucket")), "hosts")
     guests = docs.join(hosts, F.col("doc_id").eqNullSafe(F.col("__top"))).drop("__top").withColumn("__guest", F.lit(True))
     order = W.partitionBy("__bucket").orderBy("__guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
     dealt = numbered.unionByName(guests).repartition("__bucket")
