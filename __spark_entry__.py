@@ -21,7 +21,7 @@ from leaksieve.operators.detect import best_rule, detect, mask
 from leaksieve.operators.filters import (
     drop_assets, drop_likely_false_positives, drop_minified, drop_noise, drop_test_data, in_list, in_scope,
 )
-from leaksieve.operators.history import added_lines, first_seen, history_only
+from leaksieve.operators.history import added_lines, first_seen, history_only, with_line_numbers
 from leaksieve.operators.links import links, page_budget, reachable, subdomains
 from leaksieve.operators.python_rule import with_python_rule
 from leaksieve.operators.redact import redact
@@ -153,6 +153,15 @@ ADDRESSES = """CASE page_id % 6 WHEN 0 THEN concat(url, '?img=a.png') WHEN 1 THE
   ELSE concat(regexp_replace(url, '[?#].*', ''), '/logo.png?v=1') END"""
 
 
+# Pages of references that take resolving, and what they lead to.
+LINKED_HTML = """concat('<base target="x" href="https://base.example.org/a/b/c?q">', '<a href="../up/', page_id, '.html">',
+  '<a href=plain/', page_id, '>', '<a href="./x/../y', page_id, '?z=1#f">', '<a  HREF = "/r/./s/', page_id, '/..">')"""
+LINKED_TO = (
+    ("https://base.example.org/a/up/", "page_id", ".html"), ("https://base.example.org/a/b/plain/", "page_id", ""),
+    ("https://base.example.org/a/b/y", "page_id", "?z=1"), ("https://base.example.org/r/s/", "''", ""),
+)
+
+
 # --- inputs -----------------------------------------------------------------
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -341,7 +350,8 @@ def _scan_queries() -> dict[str, Query]:
         return _documents(s, d, uri=NAMED_URI).drop("source")
 
     def history(s, d):
-        return mask(detect(units_from_history(_commits(s, d)), keep=HISTORY_COLUMNS, uri_by=("uri", "repo", "commit_id", "path")))
+        found = detect(units_from_history(_commits(s, d)), keep=(*HISTORY_COLUMNS, "text"), uri_by=("uri", "repo", "commit_id", "path"))
+        return mask(with_line_numbers(found))
 
     def sourced(s, d, parity=None):
         units = _documents(s, d)
@@ -425,6 +435,7 @@ def _scan_queries() -> dict[str, Query]:
             "unit_id", F.md5("text").alias("digest")),
         # page graph
         "w1_links": lambda s, d: links(pages(s, d)),
+        "w1_links_planted": lambda s, d: links(pages(s, d).withColumn("html", F.expr(LINKED_HTML))),
         "w2_subdomains": lambda s, d: subdomains(pages(s, d), DOMAIN),
         "w3_reachable_pages": lambda s, d: reachable(
             links(pages(s, d)), in_scope(pages(s, d), DOMAIN).select(F.regexp_replace("url", "#.*$", "").alias("url")), 2),
@@ -486,8 +497,11 @@ def _scan_oracle_sql() -> dict[str, str]:
       (i - 1) % 3 AS mark, len(l) AS n, l FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents))"""
     added = f"""SELECT repo, commit_id, seq, path, CAST(11 + (i - 1) - i // 3 AS BIGINT) AS line_no, line AS text FROM ({lines}) WHERE mark = 0
       UNION ALL SELECT repo, commit_id, seq, path, CAST(899 + i AS BIGINT) AS line_no, line AS text FROM ({lines})"""
+    # every third line stands alone in the first hunk, the second hunk adds the whole text
+    runs = f"""SELECT repo, commit_id, seq, path, CAST(11 + (i - 1) - i // 3 AS BIGINT) AS line_no, line AS text FROM ({lines}) WHERE mark = 0
+      UNION ALL SELECT source, concat('c', doc_id), doc_id, concat(lang, '.txt'), 900, text FROM documents"""
     hist_units = f"""SELECT concat_ws(':', repo, commit_id, path, CAST(line_no AS VARCHAR)) AS unit_id, concat(repo, '/', path) AS uri,
-      'raw' AS context, text, repo, commit_id, seq, path, line_no FROM ({added})"""
+      'raw' AS context, text, repo, commit_id, seq, path, line_no FROM ({runs})"""
     sourced = f"SELECT * EXCLUDE (doc_id), doc_id AS seq, unit_id AS commit_id FROM ({duck.masked(duck.detect(docs, keep=['source', 'doc_id']))})"
     thread = "SELECT concat(conv_id, '/', turn) AS url, turn AS depth FROM conversations"
     page_links = duck.links()
@@ -565,18 +579,22 @@ def _scan_oracle_sql() -> dict[str, str]:
         "a7_redact": redacted(docs),
         "a7_redact_every_family": redacted(planted_docs),
         "w1_links": page_links,
+        "w1_links_planted": " UNION ALL ".join(
+            f"SELECT DISTINCT {duck.address('url')} AS src, concat('{before}', {number}, '{after}') AS dst FROM pages" for before, number, after in LINKED_TO),
         "w2_subdomains": f"""SELECT DISTINCT host FROM (SELECT {duck.host('url')} AS host FROM pages UNION ALL
           SELECT {duck.host('dst')} AS host FROM ({page_links})) WHERE host = '{DOMAIN}' OR ends_with(host, '.{DOMAIN}')""",
         "w3_reachable_pages": f"""WITH RECURSIVE l AS MATERIALIZED ({page_links}), r(url, depth) AS (SELECT url, 0 AS depth FROM ({scoped_address}) UNION
           SELECT dst, depth + 1 FROM r JOIN l ON src = r.url WHERE depth < 2) SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1""",
         "w3_reachable_threads": f"""SELECT concat(conv_id, '/', turn) AS url, CAST(turn AS INTEGER) AS depth FROM conversations WHERE turn <= 3
           UNION SELECT concat(conv_id, '/', turn + 1), CAST(turn + 1 AS INTEGER) FROM conversations WHERE turn <= 2""",
-        "w4_page_budget": f"""SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY {duck.host('url')} ORDER BY url) AS rn FROM pages)
+        "w4_page_budget": f"""SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY {duck.host('url')} ORDER BY url, page_id) AS rn FROM pages)
           WHERE rn <= 3""",
         "w5_scan_site": page_scan(site),
         "w5_scan_domains": page_scan(listed),
         "h1_added_lines": f"SELECT repo, commit_id, path, line_no, md5(text) AS digest FROM ({added})",
-        "h1_scan_history": duck.masked(duck.detect(hist_units, keep=HISTORY_COLUMNS, uri_by=("uri", "repo", "commit_id", "path"))),
+        "h1_scan_history": duck.masked(f"""SELECT * EXCLUDE (text)
+          REPLACE (line_no + length(left(text, start)) - length(replace(left(text, start), chr(10), '')) AS line_no)
+          FROM ({duck.detect(hist_units, keep=[*HISTORY_COLUMNS, "text"], uri_by=("uri", "repo", "commit_id", "path"))})"""),
         "h2_first_seen": f"""SELECT fingerprint, n_findings, seq, commit_id, uri, unit_id, start, type FROM (SELECT *, count(*) OVER (PARTITION BY fingerprint) AS n_findings,
           row_number() OVER (PARTITION BY fingerprint ORDER BY seq, commit_id, uri, unit_id, start, type) AS rn FROM ({sourced})) WHERE rn = 1""",
         "h3_history_only": f"""WITH f AS ({sourced}) SELECT * FROM f WHERE seq % 2 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE seq % 2 = 1)""",

@@ -77,8 +77,8 @@ def detect(units: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str]
     if units.isStreaming or not named:
         return _detect(units, rules, keep)
     units = _with_context(units)
-    kept = [c for c in keep if c not in uri_by]
-    hit = units.filter(any_of([F.col("uri").rlike(rule.regex) for rule in named])).select("unit_id", "uri", *keep)
+    kept = [c for c in keep if c not in (*uri_by, "text")]
+    hit = units.filter(any_of([F.col("uri").rlike(rule.regex) for rule in named])).select("unit_id", *dict.fromkeys(["uri", *uri_by, *kept]))
     first = hit.groupBy(*dict.fromkeys(["uri", *uri_by])).agg(F.min(F.struct("unit_id", *kept)).alias("first"))
     files = first.select("first.*", *[c for c in first.columns if c != "first"], F.lit("uri").alias("context"), F.lit("").alias("text"))
     texts = [rule for rule in rules if rule.target != "uri"]

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HUNK = r"\n@@ -[0-9]+(?:,[0-9]+)? [+]([0-9]+)(?:,([0-9]+))? @@[^\n]*"
 
 
-def added_lines(commits: DataFrame) -> DataFrame:
-    """Every added line of every patch, with its line number in the new file.
+KEYS = ("repo", "commit_id", "seq", "ts", "path")
+FILE = r"\ndiff --git [^\n]*"
 
-    ``commits`` has ``repo, commit_id, seq, ts, path, patch``; a patch is a unified
-    diff of one file, with or without file headers. In a hunk, removed lines and
+
+def _hunks(commits: DataFrame) -> tuple[DataFrame, Column]:
+    """One row per hunk, and the lines that it leaves in the new file, in order.
+
+    In a hunk, removed lines and
     remarks do not exist in the new file; what is left is numbered from the start
     that the hunk header gives, and ends after the number of lines it gives. So a
     line knows its number without looking at other rows: no window, no shuffle, and
-    ``+++`` headers of a following file are not taken for content.
+    ``+++`` headers of a following file are not taken for content. A patch may hold
+    several files behind ``diff --git`` lines; each is booked under its own name.
     """
-    patch = F.concat(F.lit("\n"), F.col("patch"))
+    files = F.split(F.concat(F.lit("\n"), F.col("patch")), FILE, -1)
+    commits = commits.withColumn("__several", F.size(files) > 1).withColumn("__file", F.explode(files))
+    own = F.regexp_extract(F.regexp_extract("__file", r"(?s)\A(.*?)(?:\n@@ |\z)", 1), r"\n[+]{3} (?:b/)?([^\t\n]+)", 1)
+    commits = commits.withColumn("path", F.when(F.col("__several") & ~own.isin("", "/dev/null"), own).otherwise(F.col("path")))
+    patch = F.concat(F.lit("\n"), F.col("__file"))
     # piece 0 lies before the first hunk
     hunks = F.zip_with(
         F.slice(F.split(patch, HUNK, -1), F.lit(2), F.greatest(F.size(F.split(patch, HUNK, -1)) - 1, F.lit(0))),
@@ -28,26 +36,61 @@ def added_lines(commits: DataFrame) -> DataFrame:
         ),
         lambda body, head: F.struct(
             head["first"].cast("bigint").alias("first"),
-            F.when(head["count"] == "", F.lit(1)).otherwise(F.try_to_number(head["count"], F.lit("999999999")).cast("int")).alias("count"),
+            F.when(head["count"] == "", F.lit(1)).otherwise(F.least(head["count"].cast("bigint"), F.lit(2**31 - 1)).cast("int")).alias("count"),
             body.alias("body"),
         ),
     )
-    keys = ("repo", "commit_id", "seq", "ts", "path")
-    per_hunk = commits.select(*keys, F.inline(hunks))
+    per_hunk = commits.select(*KEYS, F.inline(hunks))
     lines = F.filter(
         F.split(F.expr("substring(body, 2)"), "\n", -1),
         lambda line: ~(line.startswith("-") | line.startswith("\\")),
     )
+    return per_hunk, F.slice(lines, F.lit(1), F.col("count"))
+
+
+
+def added_lines(commits: DataFrame) -> DataFrame:
+    """Every added line of every patch, with its line number in the new file.
+
+    ``commits`` has ``repo, commit_id, seq, ts, path, patch``; a patch is a unified
+    diff, with or without file headers.
+    """
+    per_hunk, lines = _hunks(commits)
     return (
-        per_hunk.select(*keys, "first", F.posexplode(F.slice(lines, F.lit(1), F.col("count"))).alias("pos", "line"))
+        per_hunk.select(*KEYS, "first", F.posexplode(lines).alias("pos", "line"))
         .filter(F.col("line").startswith("+"))
         .select(
-            *keys, (F.col("first") + F.col("pos")).cast("bigint").alias("line_no"),
+            *KEYS, (F.col("first") + F.col("pos")).cast("bigint").alias("line_no"),
             F.expr("substring(line, 2)").alias("text"),
         )
     )
 
 
+def added_runs(commits: DataFrame) -> DataFrame:
+    """Added lines that follow each other as one text each, with the number of the first line."""
+    per_hunk, lines = _hunks(commits)
+
+    def runs(own: Column) -> Column:
+        def added(i: Column) -> Column:
+            return F.coalesce(F.get(own, i).startswith("+"), F.lit(False))
+
+        places = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.size(own) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: added(i) & ~added(i - 1))
+        ends = F.filter(places, lambda i: added(i) & ~added(i + 1))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(
+            s.alias("pos"), F.array_join(F.transform(F.slice(own, s + 1, e - s + 1), lambda l: F.substring(l, 2, 2**31 - 1)), "\n").alias("text")))
+
+    found = per_hunk.select(*KEYS, "first", F.inline(F.get(F.transform(F.array(lines), runs), F.lit(0))))
+    return found.select(*KEYS, (F.col("first") + F.col("pos")).cast("bigint").alias("line_no"), "text")
+
+
+def with_line_numbers(findings: DataFrame) -> DataFrame:
+    """Findings that kept ``line_no`` and ``text`` of their run, with the number of the line that they begin on."""
+    before = F.substring(F.col("text"), F.lit(1), F.col("start").cast("int"))
+    breaks = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    return findings.withColumn("line_no", F.col("line_no") + breaks).drop("text")
+
+
 def first_seen(findings: DataFrame) -> DataFrame:
     """First commit of each secret.
 

@@ -8,22 +8,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.matching import let
 from ..functions.text import decode_entities, host, origin
 from ..session import written
 
 REFERENCE_DOUBLE = r"""(?is)\s(?:href|src)\s*=\s*"([^"]*)\""""
 REFERENCE_SINGLE = r"(?is)\s(?:href|src)\s*=\s*'([^']*)'"
+REFERENCE_PLAIN = r"""(?is)\s(?:href|src)\s*=\s*([^\s"'<>=`]+)"""
+BASE = r"""(?is)<base\s[^<>]*href\s*=\s*["']?([^\s"'<>]+)"""
 ABSOLUTE = r"^(?i:https?)://"
 OTHER_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 SALTS = 64
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute URL with the ``.`` and ``..`` segments of its path carried out."""
+    lead = origin(url)
+    rest = F.substring(url, F.length(lead) + 1, F.length(url))
+    path = F.regexp_extract(rest, r"\A([^?#]*)", 1)
+    tail = F.substring(rest, F.length(path) + 1, F.length(rest))
+    segments = F.split(path, "/", -1)
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == ".", kept).when(segment == "..", up).otherwise(F.array_append(kept, segment))
+
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array().cast("array<string>"), step)
+    # a path that ends with such a segment names a folder
+    kept = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(url.rlike(r"/[.]"), F.concat(lead, F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(url)
+
+
 def resolve(base: Column, reference: Column) -> Column:
-    """Absolute URL of a reference found on page ``base``; null if it is not a link to a page.
+    """Absolute URL of a reference found on page ``base``; null if it is not a link to a page. The fragment is dropped."""
+    return let(_joined(base, reference), without_dots)
 
-    The fragment is dropped. ``.`` and ``..`` segments are kept as they are.
-    """
-    ref = F.regexp_replace(F.trim(reference), r"#[^\n]*\z", "")
+
+def _joined(base: Column, reference: Column) -> Column:
+    return let(F.regexp_replace(F.trim(reference), r"#[^\n]*\z", ""), lambda ref: _joined_to(base, ref))
+
+
+def _joined_to(base: Column, ref: Column) -> Column:
     page = F.regexp_replace(base, r"[?#][^\n]*\z", "")
     folder = F.when(page == origin(base), F.concat(page, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*\z", ""))
     return (
@@ -39,14 +64,15 @@ def resolve(base: Column, reference: Column) -> Column:
 
 def _references(pages: DataFrame) -> DataFrame:
     """Links of each page, without repeats on the page. Narrow."""
-    references = F.concat(
-        F.regexp_extract_all("html", F.lit(REFERENCE_DOUBLE), F.lit(1)),
-        F.regexp_extract_all("html", F.lit(REFERENCE_SINGLE), F.lit(1)),
-    )
-    src = F.regexp_replace("url", r"#[^\n]*\z", "")
-    found = pages.select(src.alias("src"), F.explode(F.array_distinct(references)).alias("reference"))
+    # a base address is no link
+    references = let(F.regexp_replace("html", BASE, ""), lambda html: F.concat(*(
+        F.regexp_extract_all(html, F.lit(pattern), F.lit(1)) for pattern in (REFERENCE_DOUBLE, REFERENCE_SINGLE, REFERENCE_PLAIN))))
+    read = pages.select(
+        F.regexp_replace("url", r"#[^\n]*\z", "").alias("src"), F.regexp_extract("html", BASE, 1).alias("given"), references.alias("references"))
+    base = F.when(F.col("given") == "", F.col("src")).otherwise(F.coalesce(resolve(F.col("src"), let(F.col("given"), decode_entities)), F.col("src")))
+    found = read.select("src", base.alias("base"), F.explode(F.array_distinct("references")).alias("reference"))
     return (
-        found.select("src", resolve(F.col("src"), decode_entities(F.col("reference"))).alias("dst"))
+        found.select("src", resolve(F.col("base"), let(F.col("reference"), decode_entities)).alias("dst"))
         .filter(F.col("dst").isNotNull())
     )
 
@@ -103,6 +129,8 @@ def page_budget(pages: DataFrame, n: int, by: str | None = None, url_col: str =
     """
     key = host(F.col(url_col)) if by is None else F.col(by)
     order = [F.col(url_col)] if "depth" not in pages.columns else [F.col("depth"), F.col(url_col)]
+    # several copies of one address: the least page_id, or a hash of the row where there is none
+    order.append(F.col("page_id") if "page_id" in pages.columns else F.xxhash64(*pages.columns))
     salted = pages.withColumns({"__key": key, "__salt": F.pmod(F.xxhash64(url_col), F.lit(SALTS))})
     within_salt = F.row_number().over(W.partitionBy("__key", "__salt").orderBy(*order))
     overall = F.row_number().over(W.partitionBy("__key").orderBy(*order))

@@ -11,6 +11,7 @@ from ..catalogue import RULES, Rule
 from ..operators.contexts import CONTEXTS
 from ..operators.detect import best_rule, detect, mask
 from ..operators.filters import drop_likely_false_positives, drop_noise, in_list, in_scope, is_likely_false_positive
+from ..operators.history import with_line_numbers
 from ..operators.links import links, page_budget, reachable
 from ..session import semi_join
 from ..sources.files import read_dir, read_file
@@ -48,7 +49,8 @@ def scan_history(commits: DataFrame, include_all: bool = False, **options) -> Da
     units = units_from_history(commits)
     if not include_all:
         units = units.filter(~is_likely_false_positive(F.col("path")))
-    return scan_units(units, include_all=True, keep=HISTORY_COLUMNS, uri_by=("uri", "repo", "commit_id", "path"), **options)
+    found = scan_units(units, include_all=True, keep=(*HISTORY_COLUMNS, "text"), uri_by=("uri", "repo", "commit_id", "path"), **options)
+    return with_line_numbers(found)
 
 
 def scan_domains(pages: DataFrame, domains: DataFrame, only: Sequence[str] = CONTEXTS, **options) -> DataFrame:

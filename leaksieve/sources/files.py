@@ -28,9 +28,10 @@ def read_file(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def read_dir(spark: SparkSession, path: str, include_all: bool = False, hidden: bool = True) -> DataFrame:
     """A directory, recursively, without empty files.
 
-    By default minified files, assets and test data are dropped by name, and files
-    that are not valid UTF-8 by content. ``include_all`` keeps every file and
-    replaces bytes that do not decode. Files with hidden names, ``.env`` for one,
+    By default minified files, assets and test data are dropped by name, and binary
+    files by content: those with NUL bytes and no UTF-16 mark. Texts are UTF-8; others are read as
+    UTF-16, of which only characters below U+0100 come out right, or else as Latin-1. ``include_all``
+    keeps every file. Files with hidden names, ``.env`` for one,
     are read too unless ``hidden`` is off, see :mod:`leaksieve.sources.hidden`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -44,10 +45,12 @@ def read_dir(spark: SparkSession, path: str, include_all: bool = False, hidden:
     files = files.select("path", "content")
     if hidden:
         files = files.unionByName(hidden_files(spark, path, include_all))
-    content = F.col("content").cast("string")
-    if include_all:
-        return _units(files.select(F.col("path").alias("__path"), F.make_valid_utf8(content).alias("text")))
-    return _units(files.filter(F.is_valid_utf8(content)).select(F.col("path").alias("__path"), content.alias("text")))
+    plain, latin = F.col("content").cast("string"), F.decode("content", "ISO-8859-1")
+    wide = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    text = F.when(wide, F.replace(F.substring(latin, 3, 2**31 - 1), F.lit("\0"), F.lit(""))).when(F.is_valid_utf8(plain), plain).otherwise(latin)
+    if not include_all:
+        files = files.filter(wide | ~latin.contains("\0"))
+    return _units(files.select(F.col("path").alias("__path"), text.alias("text")))
 
 
 def read_domains(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ DataFrame of directories, listed and read in tasks through Arrow's file systems
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from ..operators.filters import is_likely_false_positive
 from ..session import written
 
+# Entries of a folder that are passed on at a time.
+FRAME = 10_000
 # Directories below which Spark lists nothing, seen from the root: a hidden component.
 HIDDEN = r"/(?:[.]|_(?![^/]*=))"
 # History is scanned from patches, not from the object store.
@@ -35,7 +38,7 @@ def _open(uri: str):
     from pyarrow import fs
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,12 +46,16 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for uri in batch["path"]:
             system, folder = _open(uri)
-            entries = system.get_file_info(fs.FileSelector(folder))
-            yield pd.DataFrame({
-                "path": [f"{uri.rstrip('/')}/{e.base_name}" for e in entries],
-                "is_dir": [e.type == fs.FileType.Directory for e in entries],
-                "n_bytes": [e.size or 0 for e in entries],
-            }).astype({"path": "str", "is_dir": "bool", "n_bytes": "int64"})
+            found = system.get_file_info(fs.FileSelector(folder))
+            # a link to a folder may lead back above it
+            entries = [e for e in found if e.type != fs.FileType.Directory or not os.path.islink(e.path) or not uri.startswith("file:")]
+            for k in range(0, len(entries) or 1, FRAME):
+                part = entries[k:k + FRAME]
+                yield pd.DataFrame({
+                    "path": [f"{uri.rstrip('/')}/{e.base_name}" for e in part],
+                    "is_dir": [e.type == fs.FileType.Directory for e in part],
+                    "n_bytes": [e.size or 0 for e in part],
+                }).astype({"path": "str", "is_dir": "bool", "n_bytes": "int64"})
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.history import added_lines
+from ..operators.history import added_runs
 
 HISTORY_COLUMNS = ("repo", "commit_id", "seq", "path", "line_no")
 
 
 def units_from_history(commits: DataFrame) -> DataFrame:
-    """Added lines as units, so that a secret is found in the commit that brought it.
+    """Runs of added lines as units, so that a secret of several lines is found in the commit that brought it.
 
-    Carry ``HISTORY_COLUMNS`` through detection with ``keep``.
+    ``line_no`` is that of a run's first line, see :func:`leaksieve.operators.history.with_line_numbers`. Carry ``HISTORY_COLUMNS`` through detection with ``keep``.
     """
-    lines = added_lines(commits)
+    lines = added_runs(commits)
     return lines.select(
         F.concat_ws(":", "repo", "commit_id", "path", F.col("line_no").cast("string")).alias("unit_id"),
         F.concat_ws("/", "repo", "path").alias("uri"),

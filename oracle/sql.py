@@ -32,7 +32,7 @@ def detect(units: str, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (),
     for rule in rules:
         subject = "uri" if rule.target == "uri" else "text"
         # names once, with the least unit of each
-        first = "".join(f", arg_min({c}, unit_id) AS {c}" for c in keep if c not in uri_by)
+        first = "".join(f", '' AS text" if c == "text" else f", arg_min({c}, unit_id) AS {c}" for c in keep if c not in uri_by)
         by = ", ".join(dict.fromkeys(["uri", *uri_by]))
         source = f"(SELECT {by}, 'uri' AS context, min(unit_id) AS unit_id{first} FROM u GROUP BY {by})" if rule.target == "uri" else "u"
         context = "'uri'" if rule.target == "uri" else "context"
@@ -156,16 +156,24 @@ def address(url: str) -> str:
 
 
 def links(pages: str = "SELECT * FROM pages") -> str:
-    double, single = lit(lnk.REFERENCE_DOUBLE), lit(lnk.REFERENCE_SINGLE)
-    return f"""SELECT DISTINCT src, dst FROM (SELECT src, CASE
+    patterns = ", ".join(f"regexp_extract_all(html, {lit(p)}, 1)" for p in (lnk.REFERENCE_DOUBLE, lnk.REFERENCE_SINGLE, lnk.REFERENCE_PLAIN))
+    origin = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
+    return f"""SELECT DISTINCT src, CASE WHEN regexp_matches(raw, '/[.]') THEN concat(lead, '/', array_to_string(CASE WHEN segments[-1] IN ('.', '..')
+      THEN list_append(kept, '') ELSE kept END, '/'), tail) ELSE raw END AS dst
+  FROM (SELECT *, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(segments[2:], lambda s: [s])), lambda acc, s:
+      CASE s[1] WHEN '.' THEN acc WHEN '..' THEN acc[1:len(acc) - 1] ELSE list_concat(acc, s) END) AS kept
+  FROM (SELECT *, string_split(path, '/') AS segments, substring(rest, length(path) + 1) AS tail
+  FROM (SELECT *, regexp_extract(rest, '^[^?#]*') AS path
+  FROM (SELECT src, raw, regexp_extract(raw, '{origin}') AS lead, regexp_replace(raw, '{origin}', '') AS rest
+  FROM (SELECT src, CASE
     WHEN ref = '' THEN NULL
     WHEN regexp_matches(ref, '^(?i:https?)://') THEN ref
     WHEN starts_with(ref, '//') THEN concat(regexp_extract(src, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1), ref)
     WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-    WHEN starts_with(ref, '/') THEN concat(regexp_extract(src, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*'), ref)
+    WHEN starts_with(ref, '/') THEN concat(regexp_extract(src, '{origin}'), ref)
     WHEN starts_with(ref, '?') THEN concat(regexp_replace(src, '[?][^\\n]*\\z', ''), ref)
-    ELSE concat(regexp_replace(regexp_replace(src, '[?][^\\n]*\\z', ''), '[^/]*\\z', ''), ref) END AS dst
+    ELSE concat(regexp_replace(regexp_replace(src, '[?][^\\n]*\\z', ''), '[^/]*\\z', ''), ref) END AS raw
   FROM (SELECT src, regexp_replace(trim({decode('r')}), '#[^\\n]*\\z', '') AS ref FROM (
-    SELECT {address('url')} AS src, unnest(list_concat(regexp_extract_all(html, {double}, 1), regexp_extract_all(html, {single}, 1))) AS r
+    SELECT {address('url')} AS src, unnest(list_concat(list_concat({patterns.split(", regexp")[0]}, regexp{patterns.split(", regexp")[1]}), regexp{patterns.split(", regexp")[2]})) AS r
     FROM ({pages}))))
-  WHERE dst IS NOT NULL"""
+  WHERE raw IS NOT NULL))))"""

@@ -100,7 +100,9 @@ def tree(tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
     (tmp_path / "logo.png").write_bytes(b"\x89PNG\r\n\xff\xfe")
-    (tmp_path / "blob").write_bytes(b"\xff\xfe\x00token")
+    (tmp_path / "blob").write_bytes(b"\xff\xfet\x00o\x00")
+    (tmp_path / "binary").write_bytes(b"\x00\x01token\xff")
+    (tmp_path / "latin.py").write_bytes(f'# caf\xe9\ntoken = "{token}"\n'.encode("latin-1"))
     return token
 
 
@@ -112,15 +114,16 @@ def test_files(spark, tmp_path):
     assert len(one) == 1 and one[0].text == f'token = "{token}"\n' and one[0].uri.endswith("/app.js")
 
     kept = {r.uri.split("/site/")[1]: r.text for r in read_dir(spark, str(root)).collect()}
-    assert set(kept) == {"app.js", "sub/deep/b.py", ".env", ".aws/credentials", "sub/_private/c=d"}
+    assert set(kept) == {"app.js", "sub/deep/b.py", ".env", ".aws/credentials", "sub/_private/c=d", "blob", "latin.py"}
+    assert kept["blob"] == "to" and kept["latin.py"].startswith("# café")
     assert set(r.uri.split("/site/")[1] for r in read_dir(spark, str(root), include_all=True).collect()) == set(kept) | {
-        "app.min.js", "tests/x.py", "logo.png", "blob", ".git/config"}
-    assert set(r.uri.split("/site/")[1] for r in read_dir(spark, str(root), hidden=False).collect()) == {"app.js", "sub/deep/b.py"}
+        "app.min.js", "tests/x.py", "logo.png", "binary", ".git/config"}
+    assert set(r.uri.split("/site/")[1] for r in read_dir(spark, str(root), hidden=False).collect()) == {"app.js", "sub/deep/b.py", "blob", "latin.py"}
 
     found = scan_dir(spark, str(root)).collect()
     assert sorted((r.uri.split("/")[-1], r.type) for r in found) == [
-        (".env", "Critical Config File"), ("app.js", "Generic Secret"), ("b.py", "Generic Secret")]
-    assert scan_dir(spark, str(root), include_all=True).filter("type = 'Generic Secret'").count() == 4
+        (".env", "Critical Config File"), ("app.js", "Generic Secret"), ("b.py", "Generic Secret"), ("latin.py", "Generic Secret")]
+    assert scan_dir(spark, str(root), include_all=True).filter("type = 'Generic Secret'").count() == 5
     assert scan_file(spark, [str(root / "app.min.js"), str(root / "app.js")]).count() == 2
 
 

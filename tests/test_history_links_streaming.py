@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from leaksieve.catalogue import RULES
 from leaksieve.operators.detect import detect, mask
 from leaksieve.operators.history import added_lines, first_seen, history_only
 from leaksieve.operators.links import links, page_budget, reachable, resolve, subdomains
@@ -73,11 +74,25 @@ def test_history_operators(spark):
 
 
 def test_history_is_narrow(spark):
-    plan = detect(units_from_history(commits(spark, "")), keep=HISTORY_COLUMNS)._jdf.queryExecution().executedPlan().toString()
+    """Only rules on names aggregate, over names."""
+    texts = [rule for rule in RULES if rule.target == "text"]
+    plan = detect(units_from_history(commits(spark, "")), texts, keep=HISTORY_COLUMNS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
 
 
+def test_a_key_over_several_added_lines_and_files(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(hexes(64, seed=i) for i in range(3)) + "\n-----END RSA PRIVATE KEY-----"
+    lines = "\n".join("+" + line for line in key.split("\n"))
+    patch = (f"diff --git a/x.txt b/x.txt\n--- a/x.txt\n+++ b/x.txt\n@@ -1 +1,2 @@\n one\n+two\n"
+             f"diff --git a/k.pem b/k.pem\n--- /dev/null\n+++ b/k.pem\n@@ -0,0 +1,6 @@\n+first\n{lines}\n"
+             "diff --git a/.env b/.env\n--- /dev/null\n+++ b/.env\n@@ -0,0 +1,3 @@\n" + "+a\n" * 3)
+    found = scan_history(commits(spark, patch), keep_values=True).collect()
+    assert {(r.path, r.line_no, r.value) for r in found if r.rule_id == "pem_private_key"} == {("k.pem", 2, key)}
+    assert [r.path for r in found if r.rule_id == "critical_config_file"] == [".env"]
+
+
 @pytest.mark.parametrize("base,ref,want", [
+    ("https://h.com/a/b/c", "../d/./e?x=../y", "https://h.com/a/d/e?x=../y"), ("https://h.com/a", "../../b/..", "https://h.com/"),
     ("https://h.com/a/b?q=1", "c", "https://h.com/a/c"), ("https://h.com/a/b", "/c#f", "https://h.com/c"), ("https://h.com", "c", "https://h.com/c"),
     ("http://h.com/a", "//o.org/x", "http://o.org/x"), ("http://h.com/a", "HTTPS://o.org", "HTTPS://o.org"), ("http://h.com/a?x=1", "?y=2", "http://h.com/a?y=2"),
     ("http://h.com/a", "#top", None), ("http://h.com/a", "mailto:x@y", None), ("http://h.com/a", "javascript:void(0)", None), ("http://h.com/a", " b ", "http://h.com/b"),
