@@ -258,9 +258,9 @@ def _domains_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _even_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts whose name has an even length, without their first label: a derived list of domains."""
+    """Hosts whose name has an even length: a derived list of domains that leaves the others out."""
     name = host(F.col("url"))
-    return _table(spark, sf_dir, "pages").filter(F.length(name) % 2 == 0).select(F.regexp_replace(name, r"^[^.]+[.]", "").alias("domain")).distinct()
+    return _table(spark, sf_dir, "pages").filter(F.length(name) % 2 == 0).select(name.alias("domain")).distinct()
 
 
 def _stream_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,7 +487,7 @@ def _scan_oracle_sql() -> dict[str, str]:
     block = """concat('Type: ', type, chr(10), 'Value: ', value_masked, chr(10), 'Position: ', CAST(start AS VARCHAR), '-',
       CAST("end" AS VARCHAR), chr(10), 'File: ', uri, chr(10), repeat('-', 50))"""
     hosts = f"SELECT DISTINCT {duck.host('url')} AS domain FROM pages"
-    even = f"SELECT DISTINCT regexp_replace(domain, '^[^.]+[.]', '') AS domain FROM ({hosts}) WHERE length(domain) % 2 = 0"
+    even = f"SELECT domain FROM ({hosts}) WHERE length(domain) % 2 = 0"
     listed = f"SELECT * FROM pages WHERE EXISTS (SELECT 1 FROM ({even}) e WHERE {duck.host('url')} = e.domain OR ends_with({duck.host('url')}, '.' || e.domain))"
     scope = f"({duck.host('url')} = '{DOMAIN}' OR ends_with({duck.host('url')}, '.{DOMAIN}'))"
     name = duck.name_of("uri")

@@ -35,8 +35,8 @@ def _hunks(commits: DataFrame) -> tuple[DataFrame, Column]:
             F.regexp_extract_all(patch, F.lit(HUNK), F.lit(2)).alias("count"),
         ),
         lambda body, head: F.struct(
-            head["first"].cast("bigint").alias("first"),
-            F.when(head["count"] == "", F.lit(1)).otherwise(F.least(head["count"].cast("bigint"), F.lit(2**31 - 1)).cast("int")).alias("count"),
+            head["first"].try_cast("bigint").alias("first"),
+            F.when(head["count"] == "", F.lit(1)).otherwise(F.coalesce(F.least(head["count"].try_cast("bigint"), F.lit(2**31 - 1)), F.lit(2**31 - 1)).cast("int")).alias("count"),
             body.alias("body"),
         ),
     )
