@@ -24,12 +24,13 @@ FILTER_PLACES = 1 << 18
 
 
 def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """(doc_id, line_no, id, line) of all lines of at least ``shortest`` characters.
+    """(doc_id, line_no, id, line) of all lines of at least ``shortest`` characters, before them columns that ``docs`` has besides text.
 
     The id is the line's 64-bit hash. Null and empty texts have none.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.filter(F.length("line") >= shortest).select("doc_id", "line_no", F.xxhash64("line").alias("id"), "line")
+    own = [c for c in docs.columns if c != "text"]
+    lines = docs.select(*own, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.filter(F.length("line") >= shortest).select(*own, "line_no", F.xxhash64("line").alias("id"), "line")
 
 
 def _places(distance: int) -> list[tuple[int, int, int, bool]]:
@@ -160,13 +161,10 @@ def links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return verified.select("a", "b")
 
 
-def line_classes(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST) -> DataFrame:
-    """Every line of at least ``shortest`` characters: doc_id, line_no, first_doc, first_line, n_links, kept.
+def _placed(docs: DataFrame, row: list[str], distance: int, shortest: int) -> DataFrame:
+    """(*row, line_no, n_links, first) of every line of at least ``shortest`` characters in ``docs`` (columns ``row`` and text).
 
-    Equal lines and lines linked through at most ``distance`` edits, over any number
-    of steps, form a class. It is named by its first line, that with the least doc_id and
-    then line_no (null doc_ids last); ``n_links`` counts the different lines that a line is linked to.
-    ``kept`` is true for the first line of a class (of repeated rows for all that are first). Lines are known by 64-bit hashes.
+    ``first`` is (null id, doc_id, line_no, rest of the row) of the first line of its class.
     """
     lines = lines_of(docs, shortest)
     path = scratch_path(docs.sparkSession, "lines")
@@ -175,28 +173,45 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHOR
     pairs = written(links(distinct, distance), "line-links")
     degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = degrees.join(components(pairs).withColumnRenamed("node", "id"), "id")
-    placed = lines.select("doc_id", "line_no", "id").join(known, "id", "left").select(
-        "doc_id", "line_no", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    placed = lines.select(*row, "line_no", "id").join(known, "id", "left").select(
+        *row, "line_no", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     placed = written(placed, "placed")
-    where = F.struct(F.col("doc_id").isNull(), "doc_id", "line_no")
+    where = F.struct(F.col("doc_id").isNull(), "doc_id", "line_no", *row[1:])
     # only classes met more than once need their first line looked up
     first = placed.groupBy("class_id").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    found = placed.join(first, "class_id", "left").select(
-        "doc_id", "line_no", "n_links", F.coalesce("first", where).alias("first"))
+    return placed.join(first, "class_id", "left").select(*row, "line_no", "n_links", F.coalesce("first", where).alias("first"))
+
+
+def _is_first() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
+
+
+def line_classes(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST) -> DataFrame:
+    """Every line of at least ``shortest`` characters: doc_id, line_no, first_doc, first_line, n_links, kept.
+
+    Equal lines and lines linked through at most ``distance`` edits, over any number
+    of steps, form a class. It is named by its first line, that with the least doc_id and
+    then line_no (null doc_ids last); ``n_links`` counts the different lines that a line is linked to.
+    ``kept`` is true for the first line of a class (of repeated rows for all that are first). Lines are known by 64-bit hashes.
+    """
+    found = _placed(docs.select("doc_id", "text"), ["doc_id"], distance, shortest)
     return found.select(
         "doc_id", "line_no", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "n_links",
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"))
+        _is_first().alias("kept"))
 
 
 def drop_repeated(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with the lines that are not kept taken out of ``text``; all rows and columns stay.
 
     Other lines keep their order, null texts stay null, and a text all of whose lines go
-    becomes empty. If doc_ids repeat, a line goes from all rows of that id. A column n_chars is counted anew.
+    becomes empty. A row is known by doc_id and text: other texts under a repeated or null doc_id keep their
+    own lines, equal rows are treated alike. Of a class all but the first line go, so that the end of a chain of links may
+    be further than ``distance`` from the line that stays. A column n_chars is counted anew.
     """
-    gone = line_classes(docs, distance, shortest).filter("NOT kept")
-    per_doc = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("__th"), "text")
+    gone = _placed(keyed, ["doc_id", "__th"], distance, shortest).filter(~(_is_first() & (F.col("__th") == F.col("first.__th"))))
+    per_doc = gone.groupBy(F.col("doc_id").alias("__id"), "__th").agg(F.collect_set("line_no").alias("__gone"))
+    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     rest = F.transform(F.array(lines), lambda own: F.array_join(F.transform(left, lambda i: own[i]), "\n"))[0]

@@ -264,10 +264,17 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words_per_shingle: int =
 
 
 def keep_first(docs: DataFrame, distance: int = 4, words_per_shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group; columns unchanged.
+    """One row of ``docs`` per group of linked fingerprints: that of the least doc_id (null last), then text hash; columns unchanged.
 
-    Of repeated rows with that doc_id one stays, as of rows without a doc_id that resemble no other.
+    A row is known by doc_id and text: other texts under a repeated or null doc_id are documents of their own,
+    and of equal rows one stays.
     """
-    kept = near_duplicates(docs, distance, words_per_shingle).filter("doc_id <=> component_id").select("doc_id", "fingerprint").distinct()
-    chosen = docs.join(kept.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("__th"), "text")
+    prints = written(fingerprints(keyed, words_per_shingle=words_per_shingle), "prints")
+    roots = components(links(prints, distance)).withColumnRenamed("node", "fingerprint")
+    group = prints.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    first = group.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__th")).alias("first"))
+    kept = written(first.select(F.col("first.doc_id").alias("__id"), F.col("first.__th").alias("__kept")).distinct(), "kept")
+    own = docs.withColumn("__th", F.xxhash64("text"))
+    chosen = own.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__kept")), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)

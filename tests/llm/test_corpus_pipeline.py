@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from leaksieve.llm import near_copies  # noqa: E402
+from leaksieve.llm import lines, near_copies, simhash  # noqa: E402
 from leaksieve.session import written  # noqa: E402
 
 WORDS = [f"w{chr(97 + i % 26)}{i}" for i in range(300)]
@@ -190,3 +190,19 @@ def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     got = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.text for r in got) == sorted(texts) and len({tuple(r) for r in got} & set(rows)) == 6
     assert (2, texts[4]) in {tuple(r) for r in got}
+
+
+def test_lines_of_rows_that_share_an_id_go_one_by_one(spark):
+    rng = random.Random(7)
+    copied, *own = (prose(rng, 15) for _ in range(5))
+    rows = [(0, copied), (None, f"{copied}\n{own[0]}"), (None, f"{own[1]}\n{copied}."), (3, f"{own[2]}\n{own[2]}"), (3, f"{own[3]}\nx")]
+    left = lines.drop_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in left} == {(0, copied), (None, own[0]), (None, own[1]), (3, own[2]), (3, f"{own[3]}\nx")}
+
+
+def test_simhash_keeps_texts_that_share_an_id(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (1, texts[3])]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == sorted(texts)
