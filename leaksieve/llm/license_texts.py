@@ -1,5 +1,7 @@
 """Licence templates: short notices, headers and whole texts, without copyright lines."""
 
+from .license_full_texts import FULL_TEXTS
+
 # Public licence texts and the usual notices that name them.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -57,3 +59,54 @@ MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVE
 LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
 DEALINGS IN THE SOFTWARE.""",
 }
+
+_GNU_END = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with
+this program. If not, see <https://www.gnu.org/licenses/>."""
+_GNU_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free
+Software Foundation, either version {1} of the License, or (at your option) any later version. """ + _GNU_END
+_GNU = [("GPL", "General Public License", "2", "2.0"), ("LGPL", "Lesser General Public License", "2.1", "2.1"),
+        ("LGPL", "Lesser General Public License", "3", "3.0"), ("AGPL", "Affero General Public License", "3", "3.0")]
+
+for _short, _long, _v, _id in _GNU:
+    TEMPLATES[f"{_short}-{_id} header"] = _GNU_HEADER.format(_long, _v)
+    TEMPLATES[f"{_short}-{_id} notice"] = f"This work is licensed under the GNU {_long}, version {_v}."
+for _short, _long, _v, _id in [("GPL", "General Public License", "3", "3.0"), *_GNU]:
+    TEMPLATES[f"{_short}-{_id} short notice"] = f"Licensed under the GNU {_long} v{_v}."
+    TEMPLATES[f"{_short}-{_id} release notice"] = f"Released under the {_short} v{_v} license."
+    TEMPLATES[f"{_short}-{_id} short name notice"] = f"Licensed under the {_short}-{_id} license."
+    TEMPLATES[f"{_short}-{_id} SPDX"] = f"SPDX-License-Identifier: {_short}-{_id}-or-later"
+    TEMPLATES[f"{_short}-{_id} only SPDX"] = f"SPDX-License-Identifier: {_short}-{_id}-only"
+
+# Names of licences in notices: "the ... license", after the usual verbs
+_NAMED = {
+    "MIT": ["MIT License"], "ISC": ["ISC License"], "Zlib": ["zlib License"],
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "EPL-1.0": ["Eclipse Public License 1.0"], "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0"],
+}
+_VERBS = {"notice": "Licensed under the", "release notice": "Released under the", "project notice": "This project is licensed under the",
+          "project release notice": "This project is released under the", "available notice": "available under the"}
+for _id, _names in _NAMED.items():
+    for _i, _name in enumerate(_names):
+        for _kind, _verb in _VERBS.items():
+            TEMPLATES.setdefault(f"{_id} {_kind}" + (f" {_i + 1}" if _i or f"{_id} {_kind}" in TEMPLATES else ""), f"{_verb} {_name}.")
+    TEMPLATES[f"{_id} SPDX"] = f"SPDX-License-Identifier: {_id}"
+
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _id, _name in _CC.items():
+    for _v, _area in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES.setdefault(f"CC-{_id}-{_v} notice", f"This work is licensed under a Creative Commons {_name} {_v} {_area} License.")
+        TEMPLATES[f"CC-{_id}-{_v} long notice"] = f"This work is licensed under a Creative Commons {_name} {_v} {_area} License."
+        TEMPLATES[f"CC-{_id}-{_v} short notice"] = f"Licensed under CC {_id} {_v}."
+        TEMPLATES[f"CC-{_id}-{_v} release notice"] = f"Released under a CC {_id} {_v} license."
+TEMPLATES["CC0-1.0 notice"] = "Licensed under CC0 1.0 Universal."
+TEMPLATES["CC0-1.0 dedication"] = """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this
+work."""
+
+_BSD_HEAD, _BSD_TAIL = TEMPLATES["BSD-2-Clause"].split("THIS SOFTWARE", 1)
+TEMPLATES["BSD-3-Clause"] = f"""{_BSD_HEAD}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. THIS SOFTWARE{_BSD_TAIL}"""
+TEMPLATES |= FULL_TEXTS

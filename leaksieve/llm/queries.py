@@ -36,7 +36,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    return licenses.scan(_table(spark, sf_dir, "documents"), likeliest=True)
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

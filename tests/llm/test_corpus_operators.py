@@ -138,6 +138,24 @@ def test_licences_equal_brute_force(spark, clashing, empty):
     assert licenses.scan(clashing).count() == 0 and licenses.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("text, license", [
+    ("Licensed under the MIT License.", "MIT"), ("This project is released under the MIT License.", "MIT"),
+    ("Licensed under the Apache License 2.0.", "Apache-2.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("we note that all of the code here is Licensed under the MIT License as far as it is ours", "MIT"),
+    (licenses.TEMPLATES["BSD-3-Clause"], "BSD-3-Clause"), (licenses.TEMPLATES["BSD-2-Clause"], "BSD-2-Clause"),
+    *((licenses.TEMPLATES.get(n, ""), n) for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "CC0-1.0")),
+])
+def test_licences_are_named_by_the_likeliest_template(text, license):
+    found = list(licenses.Templates(licenses.TEMPLATES, licenses.LIKENESS).likeliest(text))
+    assert found and found[0][0].split()[0] == license
+    if len(text) < 200:
+        assert {f[0].split()[0] for f in found} == {license}
+
+
 # --- 4 repeated strings ---
 
 def repeats_by_hand(texts, length):
