@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL."""
+"""The registered queries of the operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve.llm import bpe, language, leaks, licenses, lines, quality, simhash, sketch, suffixes, token_files
+from leaksieve.llm import bpe, language, leaks, licenses, lines, prefix_trie, quality, simhash, sketch, suffixes, token_files
 from leaksieve.llm.held_out import held_out
-from leaksieve.session import scratch_path
+from leaksieve.session import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.trie(*prefix_trie.with_shared_heads(turns, every=20, most=3))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
@@ -87,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_language": op9_language,
         "op10_fingerprints": op10_fingerprints,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -115,6 +121,35 @@ FROM lines JOIN classes USING (line) LEFT JOIN degrees USING (line)
 """
 
 
+# The trie from scratch: every prefix of every rebuilt conversation is a row, grouped by the whole of what it holds.
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(struct_pack(role, text) ORDER BY pos) AS l FROM turns GROUP BY c),
+ids AS (
+  SELECT c, l, xor(4294967295, list_reduce(flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+    lambda s, e: CASE WHEN xor(s, e) % 2 = 1 THEN xor(xor(s, e) // 2, 3988292384) ELSE xor(s, e) // 2 END, 4294967295::BIGINT)) % 4 AS h
+  FROM own),
+rebuilt AS (
+  SELECT x.c, list_concat(coalesce(b.l[1:x.h], []), x.l[x.h + 1:]) AS l FROM ids x LEFT JOIN own b ON b.c = x.c - x.c % 20),
+prefixes AS (SELECT c, len(l) AS n, d, l[1:d] AS p FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, p, min(c) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * coalesce(len(regexp_extract_all(p[d].text, '[^\\x20\\x09-\\x0D]+')), 0) AS saved,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256, max(n) = d AS leaf
+  FROM prefixes GROUP BY d, p),
+below AS (
+  SELECT a, p[1:a] AS p, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves, count(*) FILTER (d = a + 1) AS n_children
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM nodes) GROUP BY a, p[1:a])
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN below y ON y.a = x.d AND y.p = x.p LEFT JOIN nodes u ON u.d = x.d - 1 AND u.p = x.p[1:x.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express on whole tables."""
-    return {"op5_lines": LINES_SQL}
+    return {"op5_lines": LINES_SQL, "op13_prefix_trie": TRIE_SQL}
