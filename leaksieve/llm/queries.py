@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve.llm import bpe, language, leaks, licenses, lines, prefix_trie, quality, simhash, sketch, suffixes, token_files
+from leaksieve.llm import bpe, collocations, language, leaks, licenses, lines, prefix_trie, quality, simhash, sketch, suffixes, token_files, weak_rules
 from leaksieve.llm.held_out import held_out
 from leaksieve.session import scratch_path, written
 
@@ -75,6 +75,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judge(_table(spark, sf_dir, "documents")).select("doc_id", *weak_rules.STATISTICS, "base_failed", "kept")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), most_words=3, least=10, best=2000)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = written(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")), "turns")
     return prefix_trie.trie(*prefix_trie.with_shared_heads(turns, every=20, most=3))
@@ -92,6 +100,8 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_language": op9_language,
         "op10_fingerprints": op10_fingerprints,
+        "op11_rules": op11_rules,
+        "op12_collocations": op12_collocations,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
@@ -121,6 +131,34 @@ FROM lines JOIN classes USING (line) LEFT JOIN degrees USING (line)
 """
 
 
+# Phrases from scratch: every window of one to three words of every piece is a row.
+PHRASES_SQL = """
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(p, '[ \\t]+'), lambda w: w <> '') AS l
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+places AS (SELECT lang, l, unnest(range(1, len(l) + 1)) AS i FROM pieces),
+ones AS MATERIALIZED (SELECT lang, l[i] AS x, count(*) AS n FROM places GROUP BY 1, 2),
+twos AS MATERIALIZED (SELECT lang, l[i] AS x, l[i + 1] AS y, count(*) AS n FROM places WHERE i < len(l) GROUP BY 1, 2, 3),
+threes AS MATERIALIZED (SELECT lang, l[i] AS x, l[i + 1] AS y, l[i + 2] AS z, count(*) AS n FROM places WHERE i + 1 < len(l) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+longer AS (SELECT lang, x, y, max(n) AS most FROM (SELECT lang, x, y, n FROM threes UNION ALL SELECT lang, y, z, n FROM threes) GROUP BY 1, 2, 3),
+cuts AS (
+  SELECT lang, concat(t.x, ' ', t.y) AS phrase, t.n AS a, p.n AS l, q.n AS r, 1 AS k
+  FROM twos t JOIN ones p USING (lang, x) JOIN ones q ON q.lang = t.lang AND q.x = t.y LEFT JOIN longer o ON o.lang = t.lang AND o.x = t.x AND o.y = t.y
+  WHERE t.n >= 10 AND NOT coalesce(100 * most >= 50 * t.n, false)
+  UNION ALL
+  SELECT t.lang, concat(t.x, ' ', t.y, ' ', t.z), t.n, p.n, q.n, 1 FROM threes t JOIN ones p ON p.lang = t.lang AND p.x = t.x
+    JOIN twos q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+  UNION ALL
+  SELECT t.lang, concat(t.x, ' ', t.y, ' ', t.z), t.n, p.n, q.n, 2 FROM threes t JOIN twos p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y
+    JOIN ones q ON q.lang = t.lang AND q.x = t.z),
+scored AS (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest),
+totals AS (SELECT lang, sum(n) AS n FROM ones GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 # The trie from scratch: every prefix of every rebuilt conversation is a row, grouped by the whole of what it holds.
 TRIE_SQL = """
 WITH turns AS (
@@ -152,4 +190,4 @@ FROM nodes x JOIN below y ON y.a = x.d AND y.p = x.p LEFT JOIN nodes u ON u.d =
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express on whole tables."""
-    return {"op5_lines": LINES_SQL, "op13_prefix_trie": TRIE_SQL}
+    return {"op5_lines": LINES_SQL, "op12_collocations": PHRASES_SQL, "op13_prefix_trie": TRIE_SQL}
