@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 from ..session import written
 
 # Ids that all tasks share, of words and of phrases of each length.
-WORD_IDS, PHRASE_IDS = 1 << 18, 1 << 19
+WORD_IDS, PHRASE_IDS = 1 << 17, 1 << 18
 # Longer words, in bytes, get their ids in tasks.
 LONGEST = 64
 FILTER_BITS = 1 << 25
 # Side of a tile, tiles along a side that may be dense, how many of them are at a time, and the share of cells that a buffer fills to make one so.
-SIDE, GRID, DENSE, FULL = 512, 64, 32, 1 / 16
-BUFFER, MOST_CELLS = 1 << 20, 1 << 21
+SIDE, GRID, DENSE, FULL = 512, 64, 16, 1 / 16
+BUFFER, MOST_CELLS = 1 << 19, 1 << 20
+# Rows of counts handed on at a time.
+ROWS = 1 << 16
 # Entries that a task remembers for itself before it hands on what it has counted.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 _COUNTS = "lang string, phrase string, n long"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -303,46 +305,57 @@ def _filter(phrases: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def count_phrases(docs: DataFrame, shared: Shared) -> DataFrame:
-    """(lang, phrase, n) of the phrases one word longer than those that ``shared`` knows, as far as their parts are frequent."""
-    sent = docs.sparkSession.sparkContext.broadcast(shared.sent())
+class Task:
+    """What one task counts: phrases one word longer than those it has ids for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, strings, word_bits, levels = sent.value
-        words = Words(list(langs), list(strings), word_bits)
-        phrases, tiles = [Ids(*level) for level in levels], Tiles()
+    def __init__(self, langs: list[str], words: list[bytes], word_bits: np.ndarray | None, levels: list[tuple]) -> None:
+        self.words, self.phrases, self.tiles = Words(list(langs), list(words), word_bits), [Ids(*level) for level in levels], Tiles()
+
+    def add(self, lang: str, texts: list[str | None]) -> None:
+        ids = self.words.find(lang, texts)
+        held, before = ids, self.words
+        for reach, level in enumerate(self.phrases, start=1):
+            held, before = level.find(held[:len(ids) - reach], ids[reach:], before, self.words), level
+        reach = len(self.phrases) + 1
+        if len(ids) > reach:
+            first, following, last = held[:-1], held[1:], ids[reach:]
+            both = (first >= 0) & (following >= 0) & (last >= 0)
+            self.tiles.add(first[both], last[both])
+
+    def full(self) -> bool:
+        return len(self.tiles.codes) > MOST_CELLS or self.words.remembered + sum(len(level.own) for level in self.phrases) > REMEMBERED
+
+    def counted(self) -> Iterator[pa.RecordBatch]:
+        """All counts so far with their phrases; ids of the task's own are given up."""
+        names, langs = pa.array(self.words.words, pa.binary()).cast(pa.string()), pa.array(self.words.langs, pa.string())
 
         def named(level: int, ids: np.ndarray) -> pa.Array:
             if level == 0:
-                return pa.array(words.words, pa.binary()).cast(pa.string()).take(pa.array(ids))
-            own = phrases[level - 1]
-            return pc.binary_join_element_wise(named(level - 1, own.first[ids]), named(0, own.second[ids]), " ")
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for first, second, n in tiles.taken():
-                for k in range(0, len(n), 1 << 18):
-                    a, b, of = (x[k:k + (1 << 18)] for x in (first, second, n))
-                    lang = pa.array(words.langs, pa.string()).take(pa.array(b))
-                    joined = pc.binary_join_element_wise(named(len(phrases), a), named(0, b), " ")
-                    yield pa.RecordBatch.from_arrays([lang, joined, pa.array(of)], names=["lang", "phrase", "n"])
+                return names.take(pa.array(ids))
+            own = self.phrases[level - 1]
+            return pc.binary_join_element_wise(named(level - 1, own.first[ids]), names.take(pa.array(own.second[ids])), " ")
 
+        for first, second, n in self.tiles.taken():
+            for k in range(0, len(n), ROWS):
+                a, b, of = (x[k:k + ROWS] for x in (first, second, n))
+                phrase = pc.binary_join_element_wise(named(len(self.phrases), a), named(0, b), " ")
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(b)), phrase, pa.array(of)], names=["lang", "phrase", "n"])
+        for table in (self.words, *self.phrases):
+            table.forget()
+
+
+def count_phrases(docs: DataFrame, shared: Shared) -> DataFrame:
+    """(lang, phrase, n) of the phrases one word longer than those that ``shared`` knows, as far as their parts are frequent."""
+    sent = docs.sparkSession.sparkContext.broadcast(shared.sent())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = Task(*sent.value)
         for batch in batches:
             for lang, texts in _by_language(batch):
-                ids = words.find(lang, texts)
-                held, before = ids, words
-                for reach, level in enumerate(phrases, start=1):
-                    held, before = level.find(held[:len(ids) - reach], ids[reach:], before, words), level
-                reach = len(phrases) + 1
-                if len(ids) <= reach:
-                    continue
-                first, following, last = held[:-1], held[1:], ids[reach:]
-                both = (first >= 0) & (following >= 0) & (last >= 0)
-                tiles.add(first[both], last[both])
-                if len(tiles.codes) > MOST_CELLS or words.remembered + sum(len(level.own) for level in phrases) > REMEMBERED:
-                    yield from rows()
-                    for table in (words, *phrases):
-                        table.forget()
-        yield from rows()
+                task.add(lang, texts)
+                if task.full():
+                    yield from task.counted()
+        yield from task.counted()
 
     return _texts(docs).mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
