@@ -34,6 +34,20 @@ WORDS = (
 )
 
 
+def newer_letters() -> str:
+    """Letters and digits that the ``regex`` package knows and Unicode 15.1, which the tokenizers library follows, doesn't.
+
+    To the library they are neither, like marks.
+    """
+    import sys
+    import unicodedata
+
+    import regex
+
+    unassigned = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    return "".join(regex.findall(r"[\p{L}\p{N}\p{White_Space}]", unassigned))
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -90,6 +104,13 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.to_alphabet = {b: alphabet[b] for b in range(256)}
         self.words = regex.compile(WORDS)
+        newer = newer_letters()
+        self.newer = regex.compile(f"[{newer}]") if newer else None
+        older = {r"\p{L}": rf"[\p{{L}}--[{newer}]]", r"\p{N}": rf"[\p{{N}}--[{newer}]]"}
+        # class differences are slower, so that only texts with such letters are split this way
+        self.words_of_newer = regex.compile(
+            rf" ?{older[r'\p{L}']}+|'s|'t|'re|'ve|'m|'ll|'d| ?{older[r'\p{N}']}+| ?[^\p{{White_Space}}{older[r'\p{L}']}{older[r'\p{N}']}]+"
+            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+", regex.V1)
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.compatible: dict[tuple[int, int], bool] = {}
@@ -175,6 +196,8 @@ class Vocabulary:
         return b"".join([self.known_words[w] for w in self.words.findall(piece)])
 
     def _plain(self, text: str) -> bytes:
+        if self.newer is not None and not text.isascii() and self.newer.search(text):
+            return b"".join([self.known_words[w] for w in self.words_of_newer.findall(text)])
         # A blank between two other characters always starts a word, so that texts
         # of such blanks can be taken apart at them, which is faster than the pattern.
         first, *rest = text.split(" ")
