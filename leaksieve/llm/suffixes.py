@@ -213,7 +213,8 @@ def _level(pieces: DataFrame, k: int, length: int, cells: int) -> tuple[DataFram
             for i in range(batch.num_rows):
                 doc_id, th, piece, n, single, data = (c[i].as_py() for c in batch.columns)
                 for lo, m, key, inner in cells_of(data, n, k, length) if n > 0 else ():
-                    digest = hashlib.blake2b(data[lo:lo + m - 1 + length], digest_size=16).digest()
+                    # at k = length a cell is one string, however often it follows itself
+                    digest = hashlib.blake2b(data[lo:lo + (length if k == length else m - 1 + length)], digest_size=16).digest()
                     occ = hashlib.blake2b(b"%d,%d,%d" % (doc_id or 0, th, piece + lo), digest_size=8).digest()
                     rows.append((doc_id, th, piece, piece + lo, m, key, *np.frombuffer(digest, "<i8").tolist(), int.from_bytes(occ, "little", signed=True), single, inner))
                 if len(rows) > 20_000:
