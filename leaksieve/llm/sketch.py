@@ -16,8 +16,8 @@ from ..session import written
 
 K = 256
 WORDS = 5
-# Ids that share a bucket of next_documents().
-BUCKET = 256
+# Rows that share a bucket of next_documents(), about, and runs that ids are cut into first.
+BUCKET, SEGMENTS = 256, 256
 _HALF = float(2 ** 63)
 
 
@@ -92,23 +92,52 @@ def _next_higher(ids: DataFrame, span: int) -> DataFrame:
     return placed.join(between, "run").select("id", F.coalesce("higher", "after").alias("higher"))
 
 
+def _buckets(docs: DataFrame) -> Column:
+    """Numbers that rise with doc_id and that about ``BUCKET`` rows share, however ids are spread.
+
+    Ids are cut at quantiles into ``SEGMENTS`` runs of about as many rows, each run evenly into buckets. Null ids are below all
+    others, in buckets by their texts' hashes. Bounds reach the driver, one per segment.
+    """
+    n, n_null = docs.agg(F.count("doc_id"), F.count("*") - F.count("doc_id")).first()
+    per_segment = max(1, -(-n // (SEGMENTS * BUCKET)))
+    bounds = sorted(set(docs.select("doc_id").stat.approxQuantile("doc_id", [i / SEGMENTS for i in range(SEGMENTS + 1)], 1 / (8 * SEGMENTS)))) if n else []
+    hashed = (F.xxhash64("text").cast("double") + _HALF) / (2 * _HALF)
+    null = (-1 - F.least(F.floor(hashed * max(1, n_null // BUCKET)), F.lit(max(1, n_null // BUCKET) - 1))).cast("long")
+    if len(bounds) < 2:
+        return F.when(F.col("doc_id").isNull(), null).otherwise(F.lit(0).cast("long"))
+    at = F.col("doc_id").cast("double")
+    lows, widths = F.array(*map(F.lit, bounds[:-1])), F.array(*(F.lit((high - low) / per_segment) for low, high in zip(bounds, bounds[1:])))
+    segment = F.greatest(F.size(F.filter(lows, lambda low: low <= at)) - 1, F.lit(0))
+
+    def place(s: Column) -> Column:
+        inside = F.floor((at - F.get(lows, s)) / F.get(widths, s))
+        return (s * per_segment + F.greatest(F.lit(0), F.least(inside, F.lit(per_segment - 1)))).cast("long")
+
+    return F.when(F.col("doc_id").isNull(), null).otherwise(_let(segment, place))
+
+
 def next_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with ``next_<column>`` of the next document in descending doc_id order; the first follows the last.
 
-    Null doc_ids come last; rows with equal ids follow each other in the order of their texts' hashes. A
+    Null doc_ids come last; rows with equal ids follow each other in the order of their texts' hashes, in one task. A
     single row follows itself. Documents are shuffled once, by runs of ids, and only
     the highest of each run is copied to the run above it.
     """
-    lowest = F.lit(-(2 ** 55))
-    numbered = docs.withColumn("__bucket", F.coalesce(F.floor(F.col("doc_id") / BUCKET), lowest)).withColumn("__guest", F.lit(False))
-    tops = numbered.groupBy("__bucket").agg(F.max("doc_id").alias("__top"))
+    numbered = docs.withColumn("__bucket", _buckets(docs)).withColumn("__hash", F.xxhash64("text")).withColumn("__guest", F.lit(False))
+    # the first of each bucket, in the order of the result
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("back"), F.col("__hash").alias("hash"))
+    tops = numbered.groupBy("__bucket").agg(F.min(place).alias("top"))
     higher = _next_higher(tops.select(F.col("__bucket").alias("id")), 4096)
+    top = F.when(~F.col("top.none"), F.bitwise_not(F.col("top.back")))
     # written, so that the planner knows their size before it deals out texts to meet them
-    hosts = written(tops.join(higher, F.col("__bucket") == F.col("id")).select("__top", F.col("higher").alias("__bucket")), "hosts")
-    guests = docs.join(hosts, F.col("doc_id").eqNullSafe(F.col("__top"))).drop("__top").withColumn("__guest", F.lit(True))
-    order = W.partitionBy("__bucket").orderBy("__guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    hosts = written(tops.join(higher, F.col("__bucket") == F.col("id")).select(top.alias("__top"), F.col("top.hash").alias("__first"), F.col("higher").alias("__bucket")), "hosts")
+    own = docs.withColumn("__hash", F.xxhash64("text"))
+    guests = own.join(hosts, F.col("doc_id").eqNullSafe(F.col("__top")) & (F.col("__hash") == F.col("__first")))
+    guests = guests.drop("__top", "__first").dropDuplicates(["__bucket"]).withColumn("__guest", F.lit(True))
+    order = W.partitionBy("__bucket").orderBy("__guest", F.col("doc_id").desc_nulls_last(), "__hash", "text")
     dealt = numbered.unionByName(guests).repartition("__bucket")
-    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).filter("NOT __guest").drop("__bucket", "__guest")
+    found = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).filter("NOT __guest")
+    return found.drop("__bucket", "__guest", "__hash")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -117,8 +146,13 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
+def as_text(a: Column) -> Column:
+    """A sketch as 16 hexadecimal digits per hash, in order."""
+    return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+
+
 def compare_with_next(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
-    """Fingerprints of documents and of their edited texts, and how alike they are.
+    """Fingerprints of documents and of their edited texts, as text, and how alike they are.
 
     Reads doc_id and text; null texts count as empty. All rows stay, repeated ones too. An
     empty table gives no rows.
@@ -127,11 +161,10 @@ def compare_with_next(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFr
     paired = next_documents(texts, ["text"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     marked = paired.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        sketch(F.col("text"), k, words).alias("fingerprint"), sketch(F.col("edited"), k, words).alias("edited_fingerprint"),
-        sketch(F.col("next_text"), k, words).alias("next_fingerprint"),
+        sketch(F.col("text"), k, words).alias("own"), sketch(F.col("edited"), k, words).alias("changed"), sketch(F.col("next_text"), k, words).alias("following"),
     )
+    own, changed, following = (F.col(c) for c in ("own", "changed", "following"))
     return marked.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        resemblance(F.col("fingerprint"), F.col("edited_fingerprint"), k).alias("near_edited"),
-        resemblance(F.col("fingerprint"), F.col("next_fingerprint"), k).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(changed).alias("edited_fingerprint"),
+        resemblance(own, changed, k).alias("near_edited"), resemblance(own, following, k).alias("near_next"),
     )
