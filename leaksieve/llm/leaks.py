@@ -23,14 +23,16 @@ WINDOW = 13
 SUBSTITUTIONS = 2
 # Word offsets that a seed takes in. Together they meet every choice of two places in a window.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-# Items of fewer words are not looked for; between this and WINDOW they must occur whole and unchanged.
-LEAST = 8
+# Items of this many words and more, but fewer than WINDOW, may have one word substituted: then one of two runs of four words is whole.
+SHORT, RUN = 8, (0, 1, 2, 3)
 # Places in the filter on document seeds: what is broadcast has at most so many bits.
 FILTER_BITS = 1 << 25
 # Places in the filter on doc_ids that are read again.
 DOC_PLACES = 1 << 18
 
-_WORD = re.compile(r"[^\W_]+")
+# Fixed value: scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han). Each of their characters is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W_{UNSPACED}]+|[{UNSPACED}]")
 
 
 class WordHashes:
@@ -56,16 +58,28 @@ class WordHashes:
         return np.array(found, dtype=np.uint64)
 
 
-def seeds(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each mask: the positions where it fits, and the seeds there."""
-    for number, mask in enumerate(MASKS):
+def kinds(n: int) -> dict[int, tuple[int, ...]]:
+    """The masks for an item of ``n`` words, by number: two spaced ones, a run of words, or all its words."""
+    if n >= WINDOW:
+        return dict(enumerate(MASKS, start=1))
+    return {len(MASKS) + 1: RUN} if n >= SHORT else {EXACT + n: tuple(range(n))} if n else {}
+
+
+# Masks of whole items are numbered from here.
+EXACT = 100
+ALL_KINDS = {number: mask for n in range(1, WINDOW + 1) for number, mask in kinds(n).items()}
+
+
+def seeds(words: np.ndarray, masks: dict[int, tuple[int, ...]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each mask: its number, the positions where it fits, and the seeds there."""
+    for number, mask in masks.items():
         n = len(words) - mask[-1]
         if n > 0:
-            mixed = np.full(n, number + 1, dtype=np.uint64)
+            mixed = np.full(n, number, dtype=np.uint64)
             for offset in mask:
                 mixed = (mixed ^ words[offset:offset + n]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
-            yield np.arange(n), mixed
+            yield number, np.arange(n), mixed
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -74,7 +88,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     The words from the first to the last window that qualifies. None if no window does.
     """
     low, high = max(0, diagonal), min(len(doc), diagonal + len(item))
-    window, allowed = (WINDOW, SUBSTITUTIONS) if len(item) >= WINDOW else (len(item), 0)
+    window, allowed = (WINDOW, SUBSTITUTIONS) if len(item) >= WINDOW else (len(item), int(len(item) >= SHORT))
     if high - low < window:
         return None
     same = doc[low:high] == item[low - diagonal:high - diagonal]
@@ -88,18 +102,18 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     return low + first, last - first, int(sums[last] - sums[first])
 
 
-def _item_seeds(benchmark: DataFrame) -> DataFrame:
+def _item_seeds(benchmark: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = hashes(text)
-                for at, found in seeds(words) if len(words) >= LEAST else ():
+                for number, at, found in seeds(words, kinds(len(words)) if len(words) >= least else {}):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(found.view(np.int64)), pa.array([item] * len(at), pa.int64()), pa.array(at, pa.int64()),
-                    ], names=["seed", "item_id", "item_at"])
+                        pa.array(found.view(np.int64)), pa.array([item] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([number] * len(at), pa.int32()),
+                    ], names=["seed", "item_id", "item_at", "kind"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "seed long, item_id long, item_at long")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "seed long, item_id long, item_at long, kind int")
 
 
 def _filter(found: DataFrame) -> np.ndarray:
@@ -112,17 +126,18 @@ def _filter(found: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, n_same): benchmark items found in documents, the longest overlap of each.
 
     An item leaks into a document if ``WINDOW`` words in a row (words in lower case, without marks) agree but for at most
-    ``SUBSTITUTIONS`` of them; shorter items must occur whole. Items under ``LEAST``
-    words, null and empty texts give nothing; repeated rows count once; of equal overlaps the first
-    counts. The benchmark may have any size: its seeds are joined, not broadcast; only a filter of fixed size is.
+    ``SUBSTITUTIONS`` of them; items of ``SHORT`` words and more but for one, shorter items as they are. Characters of
+    scripts without spaces are words. Items of under ``least`` words, null and empty texts give nothing; repeated rows and rows of one id
+    count once; of overlaps of equal length the one with more words alike counts, then the first. The benchmark may have any size: its seeds are joined, not broadcast; only a filter of fixed size is.
     """
     spark = docs.sparkSession
-    item_seeds = written(_item_seeds(benchmark).distinct(), "seeds")
+    item_seeds = written(_item_seeds(benchmark, least).distinct(), "seeds")
     shared = spark.sparkContext.broadcast(_filter(item_seeds))
+    masks = {r.kind: ALL_KINDS[r.kind] for r in item_seeds.select("kind").distinct().collect()}
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = WordHashes(), shared.value
@@ -131,7 +146,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 256):
                 out = [], [], []
                 for doc, text in zip(ids.slice(k, 256).to_pylist(), texts.slice(k, 256).to_pylist()):
-                    for at, found in seeds(hashes(text)):
+                    for _, at, found in seeds(hashes(text), masks):
                         place = (found % np.uint64(FILTER_BITS)).astype(np.int64)
                         for i in np.flatnonzero((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)):
                             for column, value in zip(out, (found[i].view(np.int64), doc, at[i])):
@@ -140,8 +155,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hits = texts.mapInArrow(hit, "seed long, doc_id long, doc_at long")
-    met = hits.join(item_seeds, "seed").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct()
-    met = written(met, "hits")
+    met = hits.join(item_seeds, "seed").select("doc_id", "item_id", "kind", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+    # whole items: one place will do
+    exact = met.filter(F.col("kind") >= EXACT).groupBy("doc_id", "item_id").agg(F.min("diagonal").alias("diagonal"))
+    met = written(met.filter(F.col("kind") < EXACT).select("doc_id", "item_id", "diagonal").distinct().unionByName(exact), "hits")
     # documents with hits are read again; a filter of fixed size keeps most others from being shuffled
     places = met.select(F.pmod("doc_id", F.lit(DOC_PLACES)).alias("place")).distinct()
     again = texts.join(F.broadcast(places), F.pmod("doc_id", F.lit(DOC_PLACES)) == F.col("place"), "left_semi")
@@ -167,7 +184,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "item_id", (-F.col("best.back")).alias("first_word"), "best.n_words", "best.n_same")
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` into which no item leaks; columns unchanged. Rows without a doc_id stay."""
-    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct(), "leaked")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, least: int = SHORT) -> DataFrame:
+    """The rows of ``docs`` into which no item of at least ``least`` words leaks; columns unchanged.
+
+    Items of fewer words occur in clean texts, too. A row is known by doc_id and text: other texts under a repeated or null doc_id
+    are rows of their own, equal rows go or stay together.
+    """
+    key = F.xxhash64(F.struct("doc_id", "text"))
+    found = written(leaks(docs.select(key.alias("doc_id"), "text"), benchmark, least).select(F.col("doc_id").alias("__row")).distinct(), "leaked")
+    return docs.join(found, key == F.col("__row"), "left_anti")
