@@ -17,20 +17,22 @@ from ..session import scratch_path, written
 from .components import components
 
 DISTANCE = 2
-# Shorter lines are left alone: two edits make other lines of them.
+# Shorter lines are alike only if they are equal: two edits make other lines of them.
 SHORTEST = 20
+# A line with a character besides white space.
+FILLED = r"[^ \t\r\x0B\x0C]"
 # Places in the filter on line ids: bounds what is broadcast, to a few MB.
 FILTER_PLACES = 1 << 18
 
 
-def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """(doc_id, line_no, id, line) of all lines of at least ``shortest`` characters, before them columns that ``docs`` has besides text.
+def lines_of(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, line_no, id, line) of all lines of at least ``least`` characters that aren't blank, before them columns that ``docs`` has besides text.
 
     The id is the line's 64-bit hash. Null and empty texts have none.
     """
     own = [c for c in docs.columns if c != "text"]
     lines = docs.select(*own, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.filter(F.length("line") >= shortest).select(*own, "line_no", F.xxhash64("line").alias("id"), "line")
+    return lines.filter((F.length("line") >= least) & F.col("line").rlike(FILLED)).select(*own, "line_no", F.xxhash64("line").alias("id"), "line")
 
 
 def _places(distance: int) -> list[tuple[int, int, int, bool]]:
@@ -161,14 +163,14 @@ def links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return verified.select("a", "b")
 
 
-def _placed(docs: DataFrame, row: list[str], distance: int, shortest: int) -> DataFrame:
-    """(*row, line_no, n_links, first) of every line of at least ``shortest`` characters in ``docs`` (columns ``row`` and text).
+def _placed(docs: DataFrame, row: list[str], distance: int, shortest: int, least: int) -> DataFrame:
+    """(*row, line_no, n_links, first) of every line of at least ``least`` characters in ``docs`` (columns ``row`` and text).
 
-    ``first`` is (null id, doc_id, line_no, rest of the row) of the first line of its class.
+    Lines below ``shortest`` are linked to none. ``first`` is (null id, doc_id, line_no, rest of the row) of the first line of its class.
     """
-    lines = lines_of(docs, shortest)
+    lines = lines_of(docs, least)
     path = scratch_path(docs.sparkSession, "lines")
-    lines.select("id", "line").distinct().withColumn("length", F.length("line")).write.option("compression", "zstd").parquet(path)
+    lines.filter(F.length("line") >= shortest).select("id", "line").distinct().withColumn("length", F.length("line")).write.option("compression", "zstd").parquet(path)
     distinct = docs.sparkSession.read.parquet(path)
     pairs = written(links(distinct, distance), "line-links")
     degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
@@ -187,14 +189,14 @@ def _is_first() -> Column:
 
 
 def line_classes(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST) -> DataFrame:
-    """Every line of at least ``shortest`` characters: doc_id, line_no, first_doc, first_line, n_links, kept.
+    """Every line that isn't blank: doc_id, line_no, first_doc, first_line, n_links, kept.
 
-    Equal lines and lines linked through at most ``distance`` edits, over any number
+    Equal lines, and lines of at least ``shortest`` characters linked through at most ``distance`` edits, over any number
     of steps, form a class. It is named by its first line, that with the least doc_id and
     then line_no (null doc_ids last); ``n_links`` counts the different lines that a line is linked to.
     ``kept`` is true for the first line of a class (of repeated rows for all that are first). Lines are known by 64-bit hashes.
     """
-    found = _placed(docs.select("doc_id", "text"), ["doc_id"], distance, shortest)
+    found = _placed(docs.select("doc_id", "text"), ["doc_id"], distance, shortest, least=1)
     return found.select(
         "doc_id", "line_no", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "n_links",
         _is_first().alias("kept"))
@@ -203,13 +205,13 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHOR
 def drop_repeated(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with the lines that are not kept taken out of ``text``; all rows and columns stay.
 
-    Other lines keep their order, null texts stay null, and a text all of whose lines go
+    Lines below ``shortest`` characters stay, as they are common in clean texts. Other lines keep their order, null texts stay null, and a text all of whose lines go
     becomes empty. A row is known by doc_id and text: other texts under a repeated or null doc_id keep their
     own lines, equal rows are treated alike. Of a class all but the first line go, so that the end of a chain of links may
     be further than ``distance`` from the line that stays. A column n_chars is counted anew.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("__th"), "text")
-    gone = _placed(keyed, ["doc_id", "__th"], distance, shortest).filter(~(_is_first() & (F.col("__th") == F.col("first.__th"))))
+    gone = _placed(keyed, ["doc_id", "__th"], distance, shortest, least=shortest).filter(~(_is_first() & (F.col("__th") == F.col("first.__th"))))
     per_doc = gone.groupBy(F.col("doc_id").alias("__id"), "__th").agg(F.collect_set("line_no").alias("__gone"))
     joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
     lines = F.split("text", "\n", -1)

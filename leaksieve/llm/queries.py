@@ -112,11 +112,11 @@ LINES_SQL = """
 WITH RECURSIVE lines AS MATERIALIZED (
   SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
-  WHERE length(l[i]) >= 20),
+  WHERE regexp_matches(l[i], '[^ \\t\\r\\x0B\\x0C]')),
 firsts AS MATERIALIZED (SELECT line, min((doc_id, line_no)) AS first FROM lines GROUP BY line),
 near AS MATERIALIZED (
   SELECT x.line AS a, y.line AS b, x.first AS fa, y.first AS fb FROM firsts x JOIN firsts y
-  ON length(y.line) BETWEEN length(x.line) AND length(x.line) + 2 AND x.line <> y.line
+  ON length(x.line) >= 20 AND length(y.line) BETWEEN length(x.line) AND length(x.line) + 2 AND x.line <> y.line
   AND (contains(y.line, left(x.line, length(x.line) // 3)) OR contains(y.line, substring(x.line, length(x.line) // 3 + 1, length(x.line) // 3))
     OR contains(y.line, right(x.line, length(x.line) // 3)))),
 pairs AS MATERIALIZED (SELECT DISTINCT a, b, fa, fb FROM (
