@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.llm import bpe, leaks, lines, near_copies, quality
+from leaksieve.llm import bpe, leaks, lines, quality, simhash
 from leaksieve.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: Jaccard resemblance of five-word shingles of 0.8 or more, chains included."""
-    return near_copies.keep_first(docs, likeness=0.8, words_per_shingle=5)
+    """One document of each group of linked fingerprints: four-word shingles, at most 4 of 64 bits apart, chains included."""
+    return simhash.keep_first(docs, distance=4, words_per_shingle=4)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", keep_quality),
     ("line dedup", drop_repeated_lines),
-    ("shingle near-dedup", drop_near_duplicates),
+    ("simhash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_benchmark_leaks),
     ("bpe encoding", encode_tokens),
 ]
