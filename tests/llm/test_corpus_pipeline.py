@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from leaksieve.llm import lines, near_copies, simhash  # noqa: E402
+from leaksieve.llm import leaks, lines, simhash  # noqa: E402
 from leaksieve.session import written  # noqa: E402
 
 WORDS = [f"w{chr(97 + i % 26)}{i}" for i in range(300)]
@@ -93,7 +93,7 @@ def test_one_document_of_each_group_stays(made):
 
     def fingerprint(text):
         split = (text or "").lower().split()
-        hashes = [xxhash.xxh64_intdigest(" ".join(split[i:i + 5]).encode(), 42) for i in range(max(1, len(split) - 4))] if split else []
+        hashes = [xxhash.xxh64_intdigest(" ".join(split[i:i + 4]).encode(), 42) for i in range(max(1, len(split) - 3))] if split else []
         return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
     prints = {i: fingerprint(r.text) for i, r in before.items()}
@@ -141,55 +141,16 @@ def test_no_documents_no_rows(made, spark):
         assert docs.count() == 0
 
 
-def shingle_set(text):
-    split = (text or "").lower().split()
-    return {" ".join(split[i:i + 5]) for i in range(max(1, len(split) - 4))} if split else set()
-
-
-@pytest.mark.parametrize("part", [2048, 7])
-def test_near_copies_above_the_likeness_go(spark, part):
-    rng, texts = random.Random(5), []
-    for k in range(150):
-        own = prose(rng, 200).split()
-        texts.append(" ".join(own))
-        for i in rng.sample(range(200), k % 9):
-            own[i] = "changed"
-        texts.append(" ".join(own))
-    for _ in range(3):  # large groups: copies of one text, and a chain that drifts away
-        own = prose(rng, 120).split()
-        for k in range(40):
-            own[rng.randrange(120)] = f"x{k}"
-            texts.append(" ".join(own))
-    texts += [texts[0], None, "", "one two"]
-    ids = [*range(len(texts) - 3), None, None, None]
-    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
-    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    bands = [0] * 4
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        shared, whole = len(sets[a] & sets[b]), len(sets[a] | sets[b])
-        if 5 * shared >= 4 * whole:
-            bands[min(3, int((shared / whole - 0.8) * 20 + 1e-9) if whole else 3)] += 1
-            root[max(find(a), find(b))] = min(find(a), find(b))
-    assert min(bands) > 10
-    got = near_copies.keep_first(docs, part=part).collect()
-    want = {i for i in range(len(texts)) if find(i) == i}
-    assert {r.doc_id for r in got if r.doc_id is not None} == {i for i in want if ids[i] is not None} and len(got) == len(want)
-    assert near_copies.keep_first(docs.limit(0)).count() == 0
-
-
-def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+def test_leaks_are_known_by_id_and_text(spark):
+    """A clean text under the id of a leaked one stays, a leaked text without an id goes; clashing columns stay as they are."""
     rng = random.Random(6)
-    texts = [prose(rng, 50) for _ in range(6)]
-    rows = list(zip([None, None, 1, 1, 2, 2], texts)) + [(1, texts[3]), (None, texts[4])]
-    got = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r.text for r in got) == sorted(texts) and len({tuple(r) for r in got} & set(rows)) == 6
-    assert (2, texts[4]) in {tuple(r) for r in got}
+    item, clean = prose(rng, 20), [prose(rng, 40) for _ in range(4)]
+    rows = [(1, clean[0]), (1, f"{clean[1]} {item}"), (None, f"{item} {clean[2]}"), (None, clean[2]), (2, clean[3]), (2, clean[3]), (3, None)]
+    docs = spark.createDataFrame([(*r, "s", "k") for r in rows], "doc_id long, text string, seed string, kind string")
+    items = spark.createDataFrame([(1, item), (2, "w"), (3, clean[3].split()[0])], "item_id long, text string")
+    left = leaks.drop_leaked(docs, items)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == sorted([(1, clean[0]), (-1, clean[2]), (2, clean[3]), (2, clean[3]), (3, "")])
 
 
 def test_lines_of_rows_that_share_an_id_go_one_by_one(spark):
