@@ -25,7 +25,7 @@ from leaksieve.operators.history import added_lines, first_seen, history_only, w
 from leaksieve.operators.links import links, page_budget, reachable, subdomains
 from leaksieve.operators.python_rule import with_python_rule
 from leaksieve.operators.redact import redact
-from leaksieve.plans.scans import scan_domains, scan_site, scan_units
+from leaksieve.plans.scans import scan_domains, scan_site, scan_units, sites_pages
 from leaksieve.session import scratch_path
 from leaksieve.sources.files import read_dir, read_domains, read_file
 from leaksieve.sources.history import HISTORY_COLUMNS, units_from_history
@@ -153,6 +153,8 @@ ADDRESSES = """CASE page_id % 6 WHEN 0 THEN concat(url, '?img=a.png') WHEN 1 THE
   ELSE concat(regexp_replace(url, '[?#].*', ''), '/logo.png?v=1') END"""
 
 
+CROSSED_HTML = f"""concat({PLANTED_HTML}, '<a href="', coalesce(following, ''), '"></a><a href="', coalesce(further, ''), '#x"></a>')"""
+
 # Pages of references that take resolving, and what they lead to.
 LINKED_HTML = """concat('<base target="x" href="https://base.example.org/a/b/c?q">', '<a href="../up/', page_id, '.html">',
   '<a href=plain/', page_id, '>', '<a href="./x/../y', page_id, '?z=1#f">', '<a  HREF = "/r/./s/', page_id, '/..">')"""
@@ -263,6 +265,15 @@ def _even_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").filter(F.length(name) % 2 == 0).select(name.alias("domain")).distinct()
 
 
+def _crossed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that link to the page after them and to one further on, often of another site."""
+    pages = _table(spark, sf_dir, "pages")
+    other = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("following"))
+    further = pages.select((F.col("page_id") - 7).alias("page_id"), F.col("url").alias("further"))
+    linked = pages.join(other, "page_id", "left").join(further, "page_id", "left")
+    return linked.select("page_id", "url", F.expr(CROSSED_HTML).alias("html"))
+
+
 def _stream_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "documents").schema
     # a table may be one file or a folder of part files; file streams read folders and patterns
@@ -337,6 +348,9 @@ def _scan_queries() -> dict[str, Query]:
     def docs(s, d):
         return _table(s, d, "documents")
 
+    def crossed(s, d):
+        return _crossed_pages(s, d)
+
     def planted_pages(s, d):
         return pages(s, d).withColumn("html", F.expr(PLANTED_HTML))
 
@@ -350,7 +364,7 @@ def _scan_queries() -> dict[str, Query]:
         return _documents(s, d, uri=NAMED_URI).drop("source")
 
     def history(s, d):
-        found = detect(units_from_history(_commits(s, d)), keep=(*HISTORY_COLUMNS, "text"), uri_by=("uri", "repo", "commit_id", "path"))
+        found = detect(units_from_history(_commits(s, d)), keep=(*HISTORY_COLUMNS, "text"))
         return mask(with_line_numbers(found))
 
     def sourced(s, d, parity=None):
@@ -445,6 +459,8 @@ def _scan_queries() -> dict[str, Query]:
         "w5_scan_site": lambda s, d: scan_site(pages(s, d), DOMAIN, depth=2, max_pages=60, seeds=in_scope(pages(s, d), DOMAIN).select(
             F.regexp_replace("url", "#.*$", "").alias("url"))),
         "w5_scan_domains": lambda s, d: scan_domains(pages(s, d), _even_hosts(s, d)),
+        "w5_sites_pages": lambda s, d: sites_pages(crossed(s, d), _even_hosts(s, d), depth=2, max_pages=3, seeds=crossed(s, d).filter("page_id % 5 = 0").select("url")).select("page_id", F.md5("html").alias("digest")),
+        "w5_scan_domains_limited": lambda s, d: scan_domains(crossed(s, d), _even_hosts(s, d), depth=2, max_pages=3, seeds=crossed(s, d).filter("page_id % 5 = 0").select("url")),
         # history
         "h1_added_lines": lambda s, d: added_lines(_commits(s, d)).select(
             "repo", "commit_id", "path", "line_no", F.md5("text").alias("digest")),
@@ -480,7 +496,7 @@ def _scan_oracle_sql() -> dict[str, str]:
         text = "text"
         for rule in RULES:
             if rule.target == "text":
-                text = f"regexp_replace({text}, {re(rule.regex)}, {re(chr(92) + '1[REDACTED:' + rule.type + ']')}, 'g')"
+                text = f"regexp_replace({text}, {re(rule.regex + rule.followed)}, {re(chr(92) + '1[REDACTED:' + rule.type + ']' + rule.followed)}, 'g')"
         return f"SELECT unit_id, md5({text}) AS digest FROM ({units})"
 
     per_file = f"SELECT source, type, fingerprint, count(*) AS n_findings FROM ({duck.masked(duck.detect(docs, keep=['source']))}) GROUP BY ALL"
@@ -509,9 +525,22 @@ def _scan_oracle_sql() -> dict[str, str]:
     site = f"""SELECT * FROM pages WHERE {scope} AND {duck.address('url')} IN
       (SELECT url FROM ({scoped_address}) ORDER BY url LIMIT 60)"""
 
+    crossed = f"""SELECT p.page_id, p.url, {CROSSED_HTML} AS html FROM pages p LEFT JOIN (SELECT page_id - 1 AS page_id, url AS following FROM pages) USING (page_id)
+      LEFT JOIN (SELECT page_id - 7 AS page_id, url AS further FROM pages) USING (page_id)"""
+    of_site = f"({{0}} = e.domain OR ends_with({{0}}, '.' || e.domain))"
+    limited = f"""WITH RECURSIVE crossed AS MATERIALIZED ({crossed}), even AS MATERIALIZED ({even}), hops AS MATERIALIZED ({duck.links(pages='SELECT * FROM crossed')}),
+      stored AS MATERIALIZED (SELECT DISTINCT e.domain AS site, {duck.address('url')} AS url FROM crossed JOIN even e ON {of_site.format(duck.host('url'))}),
+      walk(site, url, depth) AS (
+        SELECT DISTINCT domain, {duck.address('url')}, 0 FROM crossed JOIN even e ON {duck.host('url')} = e.domain WHERE page_id % 5 = 0
+        UNION SELECT w.site, h.dst, w.depth + 1 FROM walk w JOIN stored s ON s.site = w.site AND s.url = w.url JOIN hops h ON h.src = w.url
+          JOIN even e ON e.domain = w.site AND {of_site.format(duck.host('h.dst'))} WHERE w.depth < 2),
+      near AS (SELECT site, url, min(depth) AS depth FROM walk JOIN stored USING (site, url) GROUP BY 1, 2),
+      chosen AS (SELECT url FROM near QUALIFY row_number() OVER (PARTITION BY site ORDER BY depth, url) <= 3)
+      SELECT * FROM crossed WHERE {duck.address('url')} IN (SELECT url FROM chosen)"""
+
     def page_scan(pages: str) -> str:
         units = f"SELECT * FROM ({duck.contexts(pages=pages)}) WHERE NOT ({minified} OR {asset} OR {tests})"
-        return duck.masked(duck.noise_free(duck.detect(units)))
+        return duck.masked(duck.noise_free(duck.detect(units, named="named")))
 
     catalogue = ", ".join(f"({re(r.rule_id)}, {re(r.type)}, {re(r.family)}, {re(r.kind)})" for r in RULES)
     out = {
@@ -548,8 +577,8 @@ def _scan_oracle_sql() -> dict[str, str]:
         **{f"c{i}_{label}": digest(duck.contexts([name], planted_pages)) for i, (label, name) in enumerate(
             [("scripts", "script"), ("css", "css"), ("handlers", "handler"), ("meta", "meta"), ("config", "config"), ("json", "json"), ("html", "html")], start=1)},
         "c8_decode_entities": f"SELECT page_id, md5({duck.decode('html')}) AS digest FROM ({planted_pages})",
-        "c9_scan_pages": duck.masked(duck.detect(duck.contexts())),
-        "c9_scan_every_context": duck.masked(duck.detect(duck.contexts(pages=planted_pages))),
+        "c9_scan_pages": duck.masked(duck.detect(duck.contexts(), named="named")),
+        "c9_scan_every_context": duck.masked(duck.detect(duck.contexts(pages=planted_pages), named="named")),
         "f1_drop_minified": f"SELECT unit_id, uri FROM ({named}) WHERE NOT {minified}",
         "f2_drop_assets": f"SELECT unit_id, uri FROM ({named}) WHERE NOT {asset}",
         "f3_drop_test_data": f"SELECT unit_id, uri FROM ({named}) WHERE NOT {tests}",
@@ -562,7 +591,7 @@ def _scan_oracle_sql() -> dict[str, str]:
         "f9_url_names": f"SELECT CAST(page_id AS VARCHAR) AS unit_id, {ADDRESSES} AS uri FROM pages WHERE page_id % 6 <> 5",
         "f8_default_filters": duck.masked(duck.noise_free(duck.detect(f"SELECT * FROM ({named}) WHERE NOT ({minified} OR {asset} OR {tests})"))),
         "a1_by_unit_pages": f"""SELECT uri, count(*) AS n_findings, count(DISTINCT fingerprint) AS n_secrets, string_agg(DISTINCT type, ',' ORDER BY type) AS types
-          FROM ({duck.masked(duck.detect(duck.contexts(pages=planted_pages)))}) GROUP BY 1""",
+          FROM ({duck.masked(duck.detect(duck.contexts(pages=planted_pages), named="named"))}) GROUP BY 1""",
         "k1_verbose_report": f"""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(concat(replace({block}, repeat('-', 50), ''), 'Context: ', context, chr(10),
           'Unit: ', unit_id, chr(10), 'Rule: ', rule_id, chr(10), 'Fingerprint: ', fingerprint, chr(10), repeat('-', 50)), chr(10))) AS line FROM ({found})) GROUP BY 1""",
         "a1_by_unit": f"SELECT uri, count(*) AS n_findings, count(DISTINCT fingerprint) AS n_secrets, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM ({found}) GROUP BY 1",
@@ -591,10 +620,12 @@ def _scan_oracle_sql() -> dict[str, str]:
           WHERE rn <= 3""",
         "w5_scan_site": page_scan(site),
         "w5_scan_domains": page_scan(listed),
+        "w5_sites_pages": f"SELECT page_id, md5(html) AS digest FROM ({limited})",
+        "w5_scan_domains_limited": page_scan(limited),
         "h1_added_lines": f"SELECT repo, commit_id, path, line_no, md5(text) AS digest FROM ({added})",
         "h1_scan_history": duck.masked(f"""SELECT * EXCLUDE (text)
           REPLACE (line_no + length(left(text, start)) - length(replace(left(text, start), chr(10), '')) AS line_no)
-          FROM ({duck.detect(hist_units, keep=[*HISTORY_COLUMNS, "text"], uri_by=("uri", "repo", "commit_id", "path"))})"""),
+          FROM ({duck.detect(hist_units, keep=[*HISTORY_COLUMNS, "text"])})"""),
         "h2_first_seen": f"""SELECT fingerprint, n_findings, seq, commit_id, uri, unit_id, start, type FROM (SELECT *, count(*) OVER (PARTITION BY fingerprint) AS n_findings,
           row_number() OVER (PARTITION BY fingerprint ORDER BY seq, commit_id, uri, unit_id, start, type) AS rn FROM ({sourced})) WHERE rn = 1""",
         "h3_history_only": f"""WITH f AS ({sourced}) SELECT * FROM f WHERE seq % 2 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE seq % 2 = 1)""",

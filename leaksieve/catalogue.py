@@ -66,6 +66,7 @@ class Rule:
     words: tuple[str, ...] = ()
     tail: str | None = None
     bounded: bool = False  # drop matches followed by a letter, digit or underscore
+    followed: str = ""  # drop matches that this character doesn't follow
     target: str = "text"  # "uri" rules look at the name of the unit instead
 
     @property
@@ -82,6 +83,8 @@ def _fixed(rule_id: str, type_: str, family: str, regex: str, **gates) -> Rule:
 # ---------------------------------------------------------------------------
 _WORD_START = r"(?:^|[^A-Za-z0-9])"
 _ASSIGN = r"""["']?[ \t]{0,4}(?:=>|:=|=|:)[ \t]{0,4}["']?"""
+# header lines of a key block, each on a line of its own
+_HEADERS = r"(?:[ \t]{0,4}[\r\n]{1,4}[A-Za-z][A-Za-z0-9-]{0,40}:[^\r\n]{0,}){0,}"
 _ASSIGN1 = r"""["']?[ \t]{0,4}[:=][ \t]{0,4}["']?"""
 
 FIXED_RULES: tuple[Rule, ...] = (
@@ -202,22 +205,27 @@ FIXED_RULES: tuple[Rule, ...] = (
     _fixed(
         "pem_private_key", "PEM Private Key", "private_key",
         r"()(-----BEGIN (?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
-        r"(?:(?:\s{1,4}Proc-Type:[^\n]{1,100})?(?:\s{1,4}DEK-Info:[^\n]{1,100})?[^-]{1,}-----END (?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY-----)?)",
+        rf"(?:{_HEADERS}[^-]{{1,}}-----END (?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY-----)?)",
         literal="-----BEGIN ",
     ),
     _fixed(
         "pgp_private_key", "PGP Private Key", "private_key",
-        r"()(-----BEGIN PGP PRIVATE KEY BLOCK-----(?:(?:\s{1,4}(?:Version|Comment):[^\n]{1,100}){0,4}[^-]{1,}-----END PGP PRIVATE KEY BLOCK-----)?)",
+        rf"()(-----BEGIN PGP PRIVATE KEY BLOCK-----(?:{_HEADERS}[^-]{{1,}}-----END PGP PRIVATE KEY BLOCK-----)?)",
         literal="-----BEGIN ",
     ),
+    _fixed(
+        "ssh2_private_key", "SSH2 Private Key", "private_key",
+        rf"()(---- BEGIN SSH2 (?:ENCRYPTED )?PRIVATE KEY ----(?:{_HEADERS}[^-]{{1,}}---- END SSH2 (?:ENCRYPTED )?PRIVATE KEY ----)?)",
+        literal="---- BEGIN SSH2 ",
+    ),
     _fixed("basic_auth", "Basic Authorization", "session", r"((?i:authorization)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?i:basic)[ \t]{1,4})([A-Za-z0-9+/]{8,}={0,2})", words=("basic",)),
-    _fixed("uri_smtp", "SMTP URI Password", "service_uri", r"((?i:smtps?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", shape="userinfo", words=("smtp",)),
-    _fixed("uri_redis", "Redis URI Password", "service_uri", r"((?i:rediss?)://[^\s/:@]{0,100}:)([^\s/@]{3,})", shape="userinfo", words=("redis",)),
-    _fixed("uri_amqp", "RabbitMQ URI Password", "service_uri", r"((?i:amqps?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", shape="userinfo", words=("amqp",)),
-    _fixed("uri_mongodb", "MongoDB URI Password", "service_uri", r"((?i:mongodb(?:[+]srv)?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", shape="userinfo", words=("mongodb",)),
-    _fixed("uri_postgres", "PostgreSQL URI Password", "service_uri", r"((?i:postgres(?:ql)?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", shape="userinfo", words=("postgres",)),
-    _fixed("uri_mysql", "MySQL URI Password", "service_uri", r"((?i:mysql)://[^\s/:@]{1,100}:)([^\s/@]{3,})", shape="userinfo", words=("mysql",)),
-    _fixed("uri_elasticsearch", "Elasticsearch URI Password", "service_uri", r"((?i:https?)://(?i:elastic[A-Za-z0-9_]{0,20}):)([^\s/@]{3,})", shape="userinfo", words=("elastic",)),
+    _fixed("uri_smtp", "SMTP URI Password", "service_uri", r"((?i:smtps?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", followed="@", shape="userinfo", words=("smtp",)),
+    _fixed("uri_redis", "Redis URI Password", "service_uri", r"((?i:rediss?)://[^\s/:@]{0,100}:)([^\s/@]{3,})", followed="@", shape="userinfo", words=("redis",)),
+    _fixed("uri_amqp", "RabbitMQ URI Password", "service_uri", r"((?i:amqps?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", followed="@", shape="userinfo", words=("amqp",)),
+    _fixed("uri_mongodb", "MongoDB URI Password", "service_uri", r"((?i:mongodb(?:[+]srv)?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", followed="@", shape="userinfo", words=("mongodb",)),
+    _fixed("uri_postgres", "PostgreSQL URI Password", "service_uri", r"((?i:postgres(?:ql)?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", followed="@", shape="userinfo", words=("postgres",)),
+    _fixed("uri_mysql", "MySQL URI Password", "service_uri", r"((?i:mysql)://[^\s/:@]{1,100}:)([^\s/@]{3,})", followed="@", shape="userinfo", words=("mysql",)),
+    _fixed("uri_elasticsearch", "Elasticsearch URI Password", "service_uri", r"((?i:https?)://(?i:elastic[A-Za-z0-9_]{0,20}):)([^\s/@]{3,})", followed="@", shape="userinfo", words=("elastic",)),
     _fixed(
         "dotenv_assignment", "Dotenv Assignment", "config_file",
         r"""((?:^|[\r\n])[ \t]{0,40}(?:export )?[A-Z][A-Z0-9_]{0,40}(?:KEY|TOKEN|SECRET|PASSWORD)=["']?)([^\s"']{8,})""",

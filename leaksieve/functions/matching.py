@@ -38,10 +38,10 @@ def entry_gate(rule: Rule) -> tuple[str, str] | None:
     return None
 
 
-def gate_column(gate: tuple[str, str], text: Column, uri: Column, shaped: Column) -> Column:
+def gate_column(gate: tuple[str, str], text: Column, uri: Column, named: Column, shaped: Column) -> Column:
     kind, arg = gate
     if kind == "uri":
-        return uri.rlike(arg)
+        return named & uri.rlike(arg)
     if kind == "shape":
         return shaped & text.rlike(SHAPES[arg])
     if kind == "literal":

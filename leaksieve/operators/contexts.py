@@ -112,7 +112,7 @@ def _labelled(texts: Column, name: str) -> Column:
 def contexts(
     pages: DataFrame, only: Sequence[str] = CONTEXTS, id_col: str = "page_id", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Units of text per page and context.
+    """Units of text per page and context. The first of a page is ``named``: rules on names look at its address.
 
     Positions found later refer to the text of the unit: the decoded page for
     ``html``, the extracted piece for the other contexts. A value that occurs in
@@ -120,12 +120,7 @@ def contexts(
     """
     html = F.col("html")
     # each array is an expression inside one inline(), so a page is parsed once
-    pieces = F.flatten(F.array(*[_labelled(context_texts(html, name), name) for name in only]))
-    return (
-        pages.select(F.col(id_col).cast("string").alias("__id"), F.col("url").alias("uri"), *keep, F.inline(pieces))
-        .filter(F.col("text") != "")
-        .select(
-            F.concat_ws(":", "__id", "context", F.col("piece").cast("string")).alias("unit_id"),
-            "uri", "context", "text", *keep,
-        )
-    )
+    pieces = F.filter(F.flatten(F.array(*[_labelled(context_texts(html, name), name) for name in only])), lambda p: p["text"] != "")
+    numbered = F.transform(pieces, lambda p, i: F.struct(p["context"].alias("context"), p["piece"].alias("piece"), p["text"].alias("text"), (i == 0).alias("named")))
+    return pages.select(F.col(id_col).cast("string").alias("__id"), F.col("url").alias("uri"), *keep, F.inline(numbered)).select(
+        F.concat_ws(":", "__id", "context", F.col("piece").cast("string")).alias("unit_id"), "uri", "context", "text", "named", *keep)

@@ -40,7 +40,7 @@ def _expressions(rules: tuple[Rule, ...], session: int) -> tuple[Column, Column,
     passed = {gate: F.get(F.col("__gates"), F.lit(i)) for gate, i in gates.items()}
     lowering = dict.fromkeys(entry_gate(rule) for rule in rules if rule.words)
     shaped = text.rlike(ANY_SHAPE) if any(kind == "shape" for kind, _ in gates) else F.lit(False)
-    gated = F.array(*[gate_column(gate, text, uri, F.col("__shaped")) for gate in gates]).cast("array<boolean>")
+    gated = F.array(*[gate_column(gate, text, uri, F.col("__named"), F.col("__shaped")) for gate in gates]).cast("array<boolean>")
     lower = F.when(any_of([passed[gate] for gate in lowering]), F.lower(text))
 
     groups: dict[tuple[str, str] | None, list[Column]] = {}
@@ -63,41 +63,27 @@ def _gated(units: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, Column]:
 
 def with_hits(units: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add ``__hits``, the ordinals (from 1) of the rules that match each unit."""
-    gated, hits = _gated(units, rules)
-    return gated.withColumn("__hits", hits).drop("__shaped", "__gates", "__lower")
-
-
-def detect(units: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (), uri_by: Sequence[str] = ("uri",)) -> DataFrame:
-    """Apply all rules: one row per match.
-
-    Rules on names look at each ``uri`` once (at each combination of ``uri_by``, of which the columns
-    must be kept) and report its least unit. Streams have no such memory: there they report every unit.
-    """
-    named = [rule for rule in rules if rule.target == "uri"]
-    if units.isStreaming or not named:
-        return _detect(units, rules, keep)
-    units = _with_context(units)
-    kept = [c for c in keep if c not in (*uri_by, "text")]
-    hit = units.filter(any_of([F.col("uri").rlike(rule.regex) for rule in named])).select("unit_id", *dict.fromkeys(["uri", *uri_by, *kept]))
-    first = hit.groupBy(*dict.fromkeys(["uri", *uri_by])).agg(F.min(F.struct("unit_id", *kept)).alias("first"))
-    files = first.select("first.*", *[c for c in first.columns if c != "first"], F.lit("uri").alias("context"), F.lit("").alias("text"))
-    texts = [rule for rule in rules if rule.target != "uri"]
-    found = _detect(files, named, keep)
-    return _detect(units, texts, keep).unionByName(found) if texts else found
+    gated, hits = _gated(units.withColumn("__named", F.lit(True)), rules)
+    return gated.withColumn("__hits", hits).drop("__shaped", "__gates", "__lower", "__named")
 
 
-def _detect(units: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> DataFrame:
+def detect(units: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
     """Apply all rules to every unit: one row per match, in batch and in streaming alike.
 
-    ``units`` has ``unit_id``, ``uri``, ``text`` and optionally ``context``; columns
+    ``units`` has ``unit_id``, ``uri``, ``text`` and optionally ``context`` and ``named``; columns
     named in ``keep`` are carried along. Positions are 0-based code points, half
     open, and span the value. Matches of one rule do not overlap; matches of
     different rules may, see :func:`best_rule`.
 
+    Rules on names look at the ``uri`` of units that are ``named``: sources that make several units of one page or
+    file set it on the first of them, so that a name is reported once without a look at other rows. Without that column all units are.
+
     The whole operator is narrow. Projections decide which rules hit; only the
     (unit, rule) pairs that hit go on to the part that extracts values and positions.
     """
-    units = _with_context(units).select("unit_id", "uri", "context", "text", *keep)
+    units = _with_context(units)
+    named = F.col("named") if "named" in units.columns else F.lit(True)
+    units = units.select("unit_id", "uri", "context", "text", named.alias("__named"), *keep)
     # The array goes into explode as an expression: over a named column Spark would
     # infer a filter on its size and evaluate all the regexes a second time. There is
     # no filter on the gates either: it would be pushed below the repartitioning of a
@@ -144,6 +130,9 @@ def _detect(units: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> Dat
 
     found = ends.select("unit_id", "uri", *keep, "context", "__rule", F.inline(F.transform("__match", row)))
     cut = bounded & F.coalesce(F.col("__next").rlike(BOUNDARY), F.lit(False))
+    for following in sorted({rule.followed for rule in rules if rule.followed}):
+        asked = is_one_of([i for i, rule in enumerate(rules, start=1) if rule.followed == following])
+        cut = cut | (asked & (F.coalesce(F.col("__next"), F.lit("")) != following))
     return found.filter(~cut).select(
         "uri", of_rule("type").alias("type"), "value", "start", "end", "context", "unit_id",
         of_rule("rule_id").alias("rule_id"), *keep,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matching import let
+
 HUNK = r"\n@@ -[0-9]+(?:,[0-9]+)? [+]([0-9]+)(?:,([0-9]+))? @@[^\n]*"
 
 
@@ -40,7 +42,12 @@ def _hunks(commits: DataFrame) -> tuple[DataFrame, Column]:
             body.alias("body"),
         ),
     )
-    per_hunk = commits.select(*KEYS, F.inline(hunks))
+    def numbered(own: Column) -> Column:
+        # the first hunk that adds a line speaks for the file's name
+        first = F.array_position(F.transform(own, lambda h: h["body"].contains("\n+")), F.lit(True))
+        return F.transform(own, lambda h, i: F.struct(h["first"].alias("first"), h["count"].alias("count"), h["body"].alias("body"), (i + 1 == first).alias("leading")))
+
+    per_hunk = commits.select(*KEYS, F.inline(let(hunks, numbered)))
     lines = F.filter(
         F.split(F.expr("substring(body, 2)"), "\n", -1),
         lambda line: ~(line.startswith("-") | line.startswith("\\")),
@@ -67,7 +74,7 @@ def added_lines(commits: DataFrame) -> DataFrame:
 
 
 def added_runs(commits: DataFrame) -> DataFrame:
-    """Added lines that follow each other as one text each, with the number of the first line."""
+    """Added lines that follow each other as one text each, with the number of the first line; ``named`` is the first run of a file."""
     per_hunk, lines = _hunks(commits)
 
     def runs(own: Column) -> Column:
@@ -77,18 +84,23 @@ def added_runs(commits: DataFrame) -> DataFrame:
         places = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.size(own) - 1)).otherwise(F.array().cast("array<int>"))
         starts = F.filter(places, lambda i: added(i) & ~added(i - 1))
         ends = F.filter(places, lambda i: added(i) & ~added(i + 1))
-        return F.zip_with(starts, ends, lambda s, e: F.struct(
-            s.alias("pos"), F.array_join(F.transform(F.slice(own, s + 1, e - s + 1), lambda l: F.substring(l, 2, 2**31 - 1)), "\n").alias("text")))
+        whole = F.arrays_zip(starts.alias("s"), ends.alias("e"))
+        return F.transform(whole, lambda r, i: _run(own, r["s"], r["e"], i))
+
+    def _run(own: Column, s: Column, e: Column, i: Column) -> Column:
+        return F.struct(
+            s.alias("pos"), (i == 0).alias("initial"), F.array_join(F.transform(F.slice(own, s + 1, e - s + 1), lambda l: F.substring(l, 2, 2**31 - 1)), "\n").alias("text"))
 
-    found = per_hunk.select(*KEYS, "first", F.inline(F.get(F.transform(F.array(lines), runs), F.lit(0))))
-    return found.select(*KEYS, (F.col("first") + F.col("pos")).cast("bigint").alias("line_no"), "text")
+    found = per_hunk.select(*KEYS, "first", "leading", F.inline(F.get(F.transform(F.array(lines), runs), F.lit(0))))
+    return found.select(*KEYS, (F.col("first") + F.col("pos")).cast("bigint").alias("line_no"), "text", (F.col("leading") & F.col("initial")).alias("named"))
 
 
 def with_line_numbers(findings: DataFrame) -> DataFrame:
     """Findings that kept ``line_no`` and ``text`` of their run, with the number of the line that they begin on."""
     before = F.substring(F.col("text"), F.lit(1), F.col("start").cast("int"))
     breaks = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    return findings.withColumn("line_no", F.col("line_no") + breaks).drop("text")
+    # a name has its place in the name
+    return findings.withColumn("line_no", F.when(F.col("context") == "uri", F.col("line_no")).otherwise(F.col("line_no") + breaks)).drop("text")
 
 
 def first_seen(findings: DataFrame) -> DataFrame:

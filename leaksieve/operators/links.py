@@ -120,6 +120,28 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return reduce(DataFrame.unionAll, levels)
 
 
+def reachable_by_site(edges: DataFrame, stored: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """For many sites at once, pages within ``depth`` links of a site's seeds: ``(site, url, depth)`` with the smallest depth.
+
+    ``edges`` is ``(src, dst)``, ``stored`` the pages of each site ``(site, url)``, ``seeds`` has the same columns. A walk goes on
+    from stored pages only and stays on the site: its domain and subdomains. As in :func:`reachable` each level is one join and
+    is written, and what a site has seen it does not visit again; links to one target collapse before they are shuffled.
+    """
+    hops = written(edges.select("src", "dst", host(F.col("dst")).alias("__to")), "edges")
+    level = written(seeds.select("site", "url").distinct().withColumn("depth", F.lit(0)), "level")
+    levels = [level]
+    on_site = (F.col("__to") == F.col("site")) | F.col("__to").endswith(F.concat(F.lit("."), F.col("site")))
+    for step in range(1, depth + 1):
+        frontier = level.join(stored.select("site", "url"), ["site", "url"], "left_semi").select("site", F.col("url").alias("src"))
+        visited = reduce(DataFrame.unionAll, levels).select("site", "url")
+        reached = hops.join(frontier, "src").filter(on_site).select("site", F.col("dst").alias("url")).distinct()
+        level = written(reached.join(visited, ["site", "url"], "left_anti").withColumn("depth", F.lit(step)), "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionAll, levels)
+
+
 def page_budget(pages: DataFrame, n: int, by: str | None = None, url_col: str = "url") -> DataFrame:
     """At most ``n`` pages per host, or per column ``by``: nearest first, then by URL.
 

@@ -33,8 +33,9 @@ def redact(units: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         return F.struct(text.alias("text"), F.lower(text).alias("lower"))
 
     def step(acc: Column, i: Column) -> Column:
-        regex = lookup([rule.regex for rule in text_rules], i)
-        label = F.concat(F.lit("$1[REDACTED:"), lookup([rule.type for rule in text_rules], i), F.lit("]"))
+        # what must follow the value is matched, too, and put back
+        regex = lookup([rule.regex + rule.followed for rule in text_rules], i)
+        label = F.concat(F.lit("$1[REDACTED:"), lookup([f"{rule.type}]{rule.followed}" for rule in text_rules], i))
         replaced = let(F.regexp_replace(acc["text"], regex, label), state)
         possible = acc["lower"].contains(lookup(words, i)) & F.rlike(acc["text"], lookup(implied, i))
         return F.when(possible, replaced).otherwise(acc)

@@ -12,8 +12,9 @@ from ..operators.contexts import CONTEXTS
 from ..operators.detect import best_rule, detect, mask
 from ..operators.filters import drop_likely_false_positives, drop_noise, in_list, in_scope, is_likely_false_positive
 from ..operators.history import with_line_numbers
-from ..operators.links import links, page_budget, reachable
-from ..session import semi_join
+from ..functions.text import host, host_suffixes
+from ..operators.links import links, page_budget, reachable, reachable_by_site
+from ..session import semi_join, written
 from ..sources.files import read_dir, read_file
 from ..sources.history import HISTORY_COLUMNS, units_from_history
 from ..sources.tables import units_from_pages
@@ -21,14 +22,14 @@ from ..sources.tables import units_from_pages
 
 def scan_units(
     units: DataFrame, rules: Sequence[Rule] = RULES, include_all: bool = False, best_only: bool = False,
-    keep: Sequence[str] = (), keep_values: bool = False, salt: str | None = None, uri_by: Sequence[str] = ("uri",),
+    keep: Sequence[str] = (), keep_values: bool = False, salt: str | None = None,
 ) -> DataFrame:
     """Filters on the name, detection, noise filter, masking.
 
     ``include_all`` switches the filters on names off; noise in values is dropped
     either way. ``best_only`` keeps one rule per span, at the price of a shuffle of the findings.
     """
-    findings = drop_noise(detect(drop_likely_false_positives(units, include_all), rules, keep, uri_by))
+    findings = drop_noise(detect(drop_likely_false_positives(units, include_all), rules, keep))
     if best_only:
         findings = best_rule(findings, rules)
     return mask(findings, keep_values, salt)
@@ -49,13 +50,48 @@ def scan_history(commits: DataFrame, include_all: bool = False, **options) -> Da
     units = units_from_history(commits)
     if not include_all:
         units = units.filter(~is_likely_false_positive(F.col("path")))
-    found = scan_units(units, include_all=True, keep=(*HISTORY_COLUMNS, "text"), uri_by=("uri", "repo", "commit_id", "path"), **options)
+    found = scan_units(units, include_all=True, keep=(*HISTORY_COLUMNS, "text"), **options)
     return with_line_numbers(found)
 
 
-def scan_domains(pages: DataFrame, domains: DataFrame, only: Sequence[str] = CONTEXTS, **options) -> DataFrame:
-    """Stored pages of every listed domain."""
-    return scan_units(units_from_pages(in_list(pages, domains), only, spread_out=False), **options)
+def sites_pages(
+    pages: DataFrame, domains: DataFrame, depth: int | None = None, max_pages: int | None = None, seeds: DataFrame | None = None,
+) -> DataFrame:
+    """Stored pages of every listed domain: per domain within ``depth`` links of its seeds and within its own budget.
+
+    All sites are walked at once: the frontier holds (site, url) pairs, so that there is a join per level and none per
+    domain. A link counts for a site if the page it is on and the page it leads to are on the domain or a subdomain of it; a page
+    below two listed domains belongs to both. Seeds default to all pages on the domain's own host; others are taken for the site of
+    that host. Which pages to take is decided on URLs; the pages themselves join that list last.
+    """
+    if depth is None and max_pages is None:
+        return in_list(pages, domains)
+    address = F.regexp_replace("url", r"#[^\n]*\z", "")
+    sites = domains.select(F.lower(F.trim("domain")).alias("site")).filter("site <> ''").distinct()
+    hosts = pages.select(host(F.col("url")).alias("host")).distinct()
+    # hosts and the sites that they belong to; written, so that the planner knows how few they are
+    member = written(hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("site")).join(sites, "site", "left_semi").distinct(), "sites")
+    stored = written(pages.select(address.alias("url"), host(F.col("url")).alias("host")).distinct().join(member, "host").select("site", "url", "host"), "stored")
+    if depth is None:
+        chosen = stored.select("site", "url")
+    else:
+        start = stored.filter("host = site").select("site", "url")
+        if seeds is not None:
+            start = seeds.select(address.alias("url"), host(F.col("url")).alias("site")).join(sites, "site", "left_semi").select("site", "url")
+        chosen = reachable_by_site(links(semi_join(pages.withColumn("__host", host(F.col("url"))), member.select(F.col("host").alias("__host")), "__host")), stored, start, depth)
+    if max_pages is not None:
+        # pages only: a link to a page that is not stored takes nothing from the budget
+        chosen = page_budget(chosen.join(stored.select("site", "url"), ["site", "url"], "left_semi"), max_pages, by="site")
+    keys = chosen.select(F.col("url").alias("__address"))
+    return semi_join(pages.withColumn("__address", address), keys, "__address").drop("__address")
+
+
+def scan_domains(
+    pages: DataFrame, domains: DataFrame, only: Sequence[str] = CONTEXTS, depth: int | None = None, max_pages: int | None = None,
+    seeds: DataFrame | None = None, **options,
+) -> DataFrame:
+    """Findings on the pages of every listed domain, see :func:`sites_pages`."""
+    return scan_units(units_from_pages(sites_pages(pages, domains, depth, max_pages, seeds), only, spread_out=False), **options)
 
 
 def site_pages(

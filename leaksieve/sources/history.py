@@ -20,5 +20,5 @@ def units_from_history(commits: DataFrame) -> DataFrame:
         F.concat_ws(":", "repo", "commit_id", "path", F.col("line_no").cast("string")).alias("unit_id"),
         F.concat_ws("/", "repo", "path").alias("uri"),
         F.lit("raw").alias("context"),
-        "text", *HISTORY_COLUMNS,
+        "text", "named", *HISTORY_COLUMNS,
     )

@@ -25,19 +25,17 @@ CONVERSATIONS = """SELECT concat(CAST(conv_id AS VARCHAR), '/', CAST(turn AS VAR
   concat('conv/', CAST(conv_id AS VARCHAR), '/', CAST(turn AS VARCHAR)) AS uri, 'raw' AS context, text, role FROM conversations"""
 
 
-def detect(units: str, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (), uri_by: Sequence[str] = ("uri",)) -> str:
-    """A query over ``units`` (a query itself) with the raw finding columns."""
+def detect(units: str, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (), named: str = "true") -> str:
+    """A query over ``units`` (a query itself) with the raw finding columns. Rules on names look at the units that are ``named``."""
     kept = "".join(f", {c}" for c in keep)
     parts = []
     for rule in rules:
         subject = "uri" if rule.target == "uri" else "text"
-        # names once, with the least unit of each
-        first = "".join(f", '' AS text" if c == "text" else f", arg_min({c}, unit_id) AS {c}" for c in keep if c not in uri_by)
-        by = ", ".join(dict.fromkeys(["uri", *uri_by]))
-        source = f"(SELECT {by}, 'uri' AS context, min(unit_id) AS unit_id{first} FROM u GROUP BY {by})" if rule.target == "uri" else "u"
+        source = f"(SELECT * FROM u WHERE {named})" if rule.target == "uri" else "u"
         context = "'uri'" if rule.target == "uri" else "context"
         re = lit(rule.regex)
         bounded = f"WHERE NOT regexp_matches(substring(subj, \"end\" + 1, 1), '[A-Za-z0-9_]')" if rule.bounded else ""
+        bounded = f"WHERE substring(subj, \"end\" + 1, 1) = {lit(rule.followed)}" if rule.followed else bounded
         parts.append(f"""
 SELECT uri, type, value, start, "end", context, unit_id, rule_id{kept} FROM (
   SELECT *, start + length(value) AS "end" FROM (
@@ -140,7 +138,8 @@ def contexts(only: Sequence[str] = ctx.CONTEXTS, pages: str = "SELECT * FROM pag
   FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM (SELECT page_id, url{kept}, {context_texts(c)} AS t FROM ({pages}))) WHERE t[i] <> ''"""
         for c in only
     ]
-    return " UNION ALL ".join(parts)
+    order = f"list_position([{', '.join(map(lit, only))}], context), CAST(split_part(unit_id, ':', 3) AS INTEGER)"
+    return f"""SELECT *, row_number() OVER (PARTITION BY uri, split_part(unit_id, ':', 1) ORDER BY {order}) = 1 AS named FROM ({" UNION ALL ".join(parts)})"""
 
 
 def name_of(uri: str) -> str:

@@ -29,7 +29,7 @@ def generated(rule, n, seed=0):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         draw()
-    return [t for t in found if "\x0b" not in t][:n]
+    return [t + rule.followed for t in found if "\x0b" not in t][:n]
 
 
 def value_of(rule, text):
@@ -45,6 +45,8 @@ def expected(units, rules=RULES):
             for m in compiled(rule).finditer(subject or ""):
                 if rule.bounded and BOUNDARY.match(subject[m.end(2):m.end(2) + 1]):
                     continue
+                if rule.followed and subject[m.end(2):m.end(2) + 1] != rule.followed:
+                    continue
                 rows.append((unit_id, rule.rule_id, m.group(2), m.start(2), m.end(2)))
     return sorted(rows)
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -128,7 +129,8 @@ def test_redaction_is_the_chain_of_replacements(spark, units):
     for text in texts:
         for rule in RULES:
             if rule.target == "text":
-                text = compiled(rule).sub(lambda m, rule=rule: m.group(1) + f"[REDACTED:{rule.type}]", text)
+                whole = re.compile(compiled(rule).pattern + rule.followed, re.ASCII)
+                text = whole.sub(lambda m, rule=rule: m.group(1) + f"[REDACTED:{rule.type}]{rule.followed}", text)
         want.append(text)
     got = {int(r.unit_id): r.text for r in redact(units(texts)).collect()}
     assert [got[i] for i in range(len(texts))] == want
@@ -162,3 +164,37 @@ def test_long_values_are_found_whole_and_redacted_whole(spark, units):
     assert len(prints) == 2
     left = "".join(r.text for r in redact(units(texts)).collect())
     assert not any(secret[k:k + 12] in left for secret in (*keys[0].split("\n")[1:-1], *long) for k in range(0, len(secret) - 12, 7))
+
+
+def test_keys_of_any_headers_go_whole(spark, units):
+    """PGP and SSH2 blocks with headers that hold dashes, and PEM blocks with any headers."""
+    body = "\n".join(hexes(64, seed=i) for i in range(5))
+    keys = {
+        "pgp_private_key": f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nComment: https://my-host.example/a-b\nCharset: utf-8\nX-Long: {'z-' * 300}\n\n{body}\n=AbCd\n-----END PGP PRIVATE KEY BLOCK-----",
+        "ssh2_private_key": f'---- BEGIN SSH2 ENCRYPTED PRIVATE KEY ----\r\nComment: "me@my-host"\r\n{body}\r\n---- END SSH2 ENCRYPTED PRIVATE KEY ----',
+        "pem_private_key": f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{hexes(32)}\nX-Own: a-b\n\n{body}\n-----END RSA PRIVATE KEY-----",
+    }
+    df = units([f"a\n{key}\nb" for key in keys.values()])
+    assert {(r.rule_id, r.value) for r in detect(df).collect()} == set(keys.items())
+    left = "".join(r.text for r in redact(df).collect())
+    assert not any(body[k:k + 16] in left for k in range(0, len(body) - 16, 5))
+
+
+def test_ports_are_no_passwords(spark, units):
+    ports = "postgres://localhost:5432/db redis://localhost:6379/0 amqp://h:5672 https://elastic:9200/x mysql://h:3306"
+    real = "postgres://u:s3cret@h:5432/db redis://:s3cret@h"
+    df = units([ports, real])
+    assert {(r.unit_id, r.rule_id, r.value) for r in detect(df).collect()} == {("1", "uri_postgres", "s3cret"), ("1", "uri_redis", "s3cret")}
+    assert [r.text for r in redact(df).orderBy("unit_id").collect()] == [
+        ports, "postgres://u:[REDACTED:PostgreSQL URI Password]@h:5432/db redis://:[REDACTED:Redis URI Password]@h"]
+
+
+def test_names_are_reported_once(spark):
+    """Once per page and per file of a commit, from a single scan and without a shuffle, in a stream as in a batch."""
+    from leaksieve.operators.contexts import contexts
+
+    page = spark.createDataFrame([(1, "https://h.com/.env", "<script>a</script><style>b</style><p>c"), (2, "https://h.com/id_rsa", "<p>c")], "page_id long, url string, html string")
+    found = detect(contexts(page))
+    assert sorted((r.unit_id, r.rule_id, r.context) for r in found.collect()) == [("1:script:0", "critical_config_file", "uri"), ("2:html:0", "critical_config_file", "uri")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan") == 1
