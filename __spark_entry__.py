@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -158,6 +157,14 @@ CROSSED_HTML = f"""concat({PLANTED_HTML}, '<a href="', coalesce(following, ''),
 # Pages of references that take resolving, and what they lead to.
 LINKED_HTML = """concat('<base target="x" href="https://base.example.org/a/b/c?q">', '<a href="../up/', page_id, '.html">',
   '<a href=plain/', page_id, '>', '<a href="./x/../y', page_id, '?z=1#f">', '<a  HREF = "/r/./s/', page_id, '/..">')"""
+# Blocks and addresses that redaction must take whole or leave, and what must be left of them, written down without the rules.
+KEY_TEXT = """concat('a', chr(10), '-----BEGIN PGP PRIVATE KEY ', 'BLOCK-----', chr(10), 'Comment: https://my-host.example/', md5(text), chr(10), 'Charset: utf-8', chr(10), chr(10),
+  md5(text), md5(reverse(text)), chr(10), '=', left(md5(text), 4), chr(10), '-----END PGP PRIVATE KEY ', 'BLOCK-----', chr(10), 'postgres://localhost:5432/db redis://h:6379/0', chr(10),
+  'postgres://u:', md5(text), '@h:5432/db', chr(10), '---- BEGIN SSH2 ENCRYPTED PRIVATE ', 'KEY ----', chr(10), 'Comment: me@my-host', chr(10), md5(text), chr(10),
+  '---- END SSH2 ENCRYPTED PRIVATE ', 'KEY ----', chr(10), 'amqp://broker:5672 ', doc_id)"""
+KEY_TEXT_LEFT = """concat('a', chr(10), '[REDACTED:PGP Private Key]', chr(10), 'postgres://localhost:5432/db redis://h:6379/0', chr(10),
+  'postgres://u:[REDACTED:PostgreSQL URI Password]@h:5432/db', chr(10), '[REDACTED:SSH2 Private Key]', chr(10), 'amqp://broker:5672 ', doc_id)"""
+
 LINKED_TO = (
     ("https://base.example.org/a/up/", "page_id", ".html"), ("https://base.example.org/a/b/plain/", "page_id", ""),
     ("https://base.example.org/a/b/y", "page_id", "?z=1"), ("https://base.example.org/r/s/", "''", ""),
@@ -292,6 +299,30 @@ def _x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_stream(spark, dedup_stream(found, "10 minutes")).select("fingerprint", "uri", "type")
 
 
+# Micro-batches of the stream below, 1000 seconds apart, and a horizon after which a secret is reported again in the third batch behind it.
+SLICES, HORIZON = 8, "400 seconds"
+
+# A few secrets per source that come again and again, in some batches.
+REPEATED_TEXT = "concat('secret_token = \"', md5(concat('k', doc_id % 5)), '\"')"
+
+
+def _x2_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight micro-batches, each with its own time; what is reported, by batch."""
+    docs = _table(spark, sf_dir, "documents")
+    slices = docs.select(
+        "doc_id", "source", F.expr(REPEATED_TEXT).alias("text"), F.expr(f"doc_id % 7 * 3 % {SLICES}").alias("slice"),
+        F.expr(f"timestamp_seconds((1 + doc_id % 7 * 3 % {SLICES}) * 1000 + doc_id % 100)").alias("ts"))
+    path = scratch_path(spark, "slices")
+    for k in range(SLICES):
+        # one after the other, as a stream's files come; one file is one micro-batch
+        slices.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(slices.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    units = units_from(stream, "doc_id", "text", "source", keep=["source", "ts"])
+    found = scan_stream(units, select_rules(RULES, rule_ids=["generic_secret"]), keep=("ts",))
+    out = _run_stream(spark, dedup_stream(found, HORIZON))
+    return out.select("fingerprint", "uri", (F.floor(F.unix_timestamp("ts") / 1000) - 1).alias("batch"))
+
+
 def _entropy_spans(text: str) -> list[tuple[int, int]]:
     """40 lower-case hex digits, not part of a longer run, of high entropy."""
     import math
@@ -325,9 +356,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _corpus_modules() -> list:
-    """The modules that register corpus queries, as far as they are installed."""
-    if importlib.util.find_spec("leaksieve.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+    """The modules that register corpus queries, if they and what they need are installed."""
+    try:
+        return _imported()
+    except ImportError:
         return []
+
+
+def _imported() -> list:
     return [importlib.import_module("leaksieve.llm.queries"), importlib.import_module("corpus_pipeline")]
 
 
@@ -445,6 +481,7 @@ def _scan_queries() -> dict[str, Query]:
         "a5_shared_secrets": lambda s, d: grp.shared_secrets(_findings(s, d)),
         "a6_clean_units": lambda s, d: grp.clean_units(_documents(s, d), _findings(s, d)),
         "a7_redact": lambda s, d: redact(_documents(s, d)).select("unit_id", F.md5("text").alias("digest")),
+        "a7_redact_keys": lambda s, d: redact(_documents(s, d, text=KEY_TEXT)).select("unit_id", "text"),
         "a7_redact_every_family": lambda s, d: redact(_documents(s, d, text=PLANTED_TEXT)).select(
             "unit_id", F.md5("text").alias("digest")),
         # page graph
@@ -470,6 +507,7 @@ def _scan_queries() -> dict[str, Query]:
         # streaming and Python rules
         "x1_scan_stream": lambda s, d: _run_stream(s, scan_stream(_stream_units(s, d))),
         "x2_dedup_stream": _x2,
+        "x2_dedup_horizon": _x2_horizon,
         "u1_python_rule": lambda s, d: with_python_rule(_documents(s, d), "hex_entropy", _entropy_spans, "Hex Token", "[0-9a-f]{40}"),
     }
 
@@ -606,6 +644,7 @@ def _scan_oracle_sql() -> dict[str, str]:
           GROUP BY 1 HAVING count(DISTINCT uri) >= 2""",
         "a6_clean_units": f"SELECT DISTINCT uri FROM ({docs}) WHERE uri NOT IN (SELECT uri FROM ({raw}))",
         "a7_redact": redacted(docs),
+        "a7_redact_keys": f"SELECT CAST(doc_id AS VARCHAR) AS unit_id, {KEY_TEXT_LEFT} AS text FROM documents",
         "a7_redact_every_family": redacted(planted_docs),
         "w1_links": page_links,
         "w1_links_planted": " UNION ALL ".join(
@@ -632,6 +671,12 @@ def _scan_oracle_sql() -> dict[str, str]:
         "x1_scan_stream": found,
         "u1_python_rule": f"""SELECT uri, 'Hex Token' AS type, value, start, "end", context, unit_id, 'hex_entropy' AS rule_id
           FROM ({duck.detect(docs, [HEX_RUN])}) WHERE list_aggregate(string_split(value, ''), 'entropy') > 3.0""",
+        "x2_dedup_horizon": f"""WITH RECURSIVE seen AS (
+            SELECT DISTINCT sha256(md5(concat('k', doc_id % 5))) AS fingerprint, source AS uri, doc_id % 7 * 3 % {SLICES} AS batch FROM documents),
+          told AS (SELECT fingerprint, uri, min(batch) AS batch FROM seen GROUP BY 1, 2
+            UNION ALL SELECT fingerprint, uri, later FROM (SELECT t.fingerprint, t.uri, min(s.batch) AS later FROM told t
+              JOIN seen s ON s.fingerprint = t.fingerprint AND s.uri = t.uri AND s.batch >= t.batch + 3 GROUP BY 1, 2))
+          SELECT fingerprint, uri, CAST(batch AS BIGINT) AS batch FROM told""",
         "x2_dedup_stream": f"SELECT DISTINCT fingerprint, source AS uri, type FROM ({duck.masked(duck.detect(docs, keep=['source']))})",
     }
     return out
