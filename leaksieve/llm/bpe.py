@@ -105,7 +105,7 @@ class Vocabulary:
         self.to_alphabet = {b: alphabet[b] for b in range(256)}
         self.words = regex.compile(WORDS)
         newer = newer_letters()
-        self.newer = regex.compile(f"[{newer}]") if newer else None
+        self.newer = frozenset(newer)
         older = {r"\p{L}": rf"[\p{{L}}--[{newer}]]", r"\p{N}": rf"[\p{{N}}--[{newer}]]"}
         # class differences are slower, so that only texts with such letters are split this way
         self.words_of_newer = regex.compile(
@@ -195,8 +195,17 @@ class Vocabulary:
             return None
         return b"".join([self.known_words[w] for w in self.words.findall(piece)])
 
+    def _has_newer(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not self.newer.isdisjoint(text)
+        return False
+
     def _plain(self, text: str) -> bytes:
-        if self.newer is not None and not text.isascii() and self.newer.search(text):
+        if self._has_newer(text):
             return b"".join([self.known_words[w] for w in self.words_of_newer.findall(text)])
         # A blank between two other characters always starts a word, so that texts
         # of such blanks can be taken apart at them, which is faster than the pattern.
