@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,6 +36,11 @@ SEGMENT_SCHEMA = (
 )
 
 
+def _is_letters(word: str) -> bool:
+    """Letters only, also when composed and in lower case, which may part a mark from a letter."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordwiseTokenizer:
     """Ids of whole texts, word by word, for tokenizers that drop white space.
 
@@ -58,6 +64,13 @@ class WordwiseTokenizer:
         self.older: dict[str, bytes] = {}
         # A digit is a word of its own, so its id marks where the words around it end.
         self.mark = self._ids("0")[0] if len(self._ids("0")) == 1 else None
+        # Where tokens that end a word are told by a suffix, words of letters need no mark between them.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        # Marks that are split from the letters before them.
+        self.marks = tuple(m for m in ".,;:!?" if self._ids(f"ab{m}") == self._ids(f"ab {m}") and len(self._ids(m)) == 1)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -80,7 +93,13 @@ class WordwiseTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words in one call, apart from those that hold the mark."""
-        joined = [w for w in words if "0" not in w] if self.mark is not None else []
+        letters = [w for w in words if _is_letters(w)]
+        ids = np.array(self._ids(" ".join(letters)), dtype=f"<u{self.width}")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(letters):
+            for word, start, end in zip(letters, [0, *ends[:-1].tolist()], ends.tolist()):
+                self.known[word] = ids[start:end].tobytes()
+        joined = [w for w in words if "0" not in w and w not in self.known] if self.mark is not None else []
         ids = np.array(self._ids(" 0 ".join(joined)), dtype=f"<u{self.width}")
         marks = np.flatnonzero(ids == self.mark) if joined else []
         if len(marks) == len(joined) - 1:
@@ -93,18 +112,23 @@ class WordwiseTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; a null text counts as empty."""
-        whole = [any(s in t for s in self.special) if t else False for t in texts]
+        # words are looked up in lower case, where the string of a special token could come about anew
+        whole = [any(s in t or s in t.lower() for s in self.special) if t else False for t in texts]
         words = [[] if w or not t else self._words(t) for t, w in zip(texts, whole)]
         if len(self.known) > REMEMBERED_WORDS // 2:
             self.known, self.older = {}, self.known
         missing = set(chain.from_iterable(words)).difference(self.known)
         again = [w for w in missing if w in self.older]
         self.known.update((w, self.older[w]) for w in again)
-        missing = list(missing.difference(again, ("",)))
+        missing = missing.difference(again, ("",))
         self.known[""] = b""
-        for k in range(0, len(missing), 2000):
-            self._learn(missing[k:k + 2000])
+        # letters with a mark behind them are made of what the letters and the mark give
+        marked = [w for w in missing if w.endswith(self.marks) and _is_letters(w[:-1])] if self.marks else []
+        new = list(missing.difference(marked).union(w[:-1] for w in marked).union(self.marks).difference(self.known))
+        for k in range(0, len(new), 2000):
+            self._learn(new[k:k + 2000])
         known = self.known
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
         return [
             self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if w else b"".join([known[x] for x in ws])
             for t, w, ws in zip(texts, whole, words)
