@@ -30,6 +30,8 @@ FILTER_BITS = 1 << 25
 # Side of a tile, tiles along a side that may be dense, how many of them are at a time, and the share of cells that a buffer fills to make one so.
 SIDE, GRID, DENSE, FULL = 512, 64, 16, 1 / 16
 BUFFER, MOST_CELLS = 1 << 19, 1 << 20
+# Parts of a language whose phrases are ranked apart first.
+SALTS = 64
 # Rows of counts handed on at a time.
 ROWS = 1 << 16
 # Entries that a task remembers for itself before it hands on what it has counted.
@@ -144,21 +146,18 @@ class Ids:
 class Words:
     """Ids of words, each with its language: -1 for words that aren't frequent, -2 for the end of a piece."""
 
-    def __init__(self, langs: list[str], words: list[bytes], bits: np.ndarray | None) -> None:
-        self.shared, self.langs, self.words = len(words), langs, words
-        self.hashes = np.array([_word_hash(lang, word) for lang, word in zip(langs, words)], dtype=np.uint64)
-        self.bits = bits
+    def __init__(self, langs: list[str], words: list[bytes], hashes: np.ndarray, bits: np.ndarray | None) -> None:
+        self.shared, self.langs, self.words, self.hashes, self.bits = len(words), langs, words, hashes, bits
+        self.base: dict[str, dict[bytes, int]] = {}
+        for k, (lang, word) in enumerate(zip(langs, words)):
+            self.base.setdefault(lang, {})[word] = k
         self.forget()
 
-    maybe = Ids.maybe
-
     def forget(self) -> None:
         del self.langs[self.shared:], self.words[self.shared:]
         self.hashes = self.hashes[:self.shared]
         self.own: list[int] = []
         self.known: dict[str, _Known] = {}
-        for k, (lang, word) in enumerate(zip(self.langs, self.words)):
-            self.of(lang)[word] = k
         self.remembered = 0
 
     def of(self, lang: str) -> "_Known":
@@ -177,14 +176,16 @@ class Words:
 
 class _Known(dict):
     def __init__(self, words: Words, lang: str) -> None:
-        super().__init__({b"": -3, b"\n": -2})
+        super().__init__(words.base.get(lang, {}))
+        self.update({b"": -3, b"\n": -2})
         self.words, self.lang = words, lang
 
     def __missing__(self, word: bytes) -> int:
         words, found = self.words, -1
         if words.bits is not None:
             hashed = _word_hash(self.lang, word)
-            if words.maybe(np.array([hashed], dtype=np.uint64))[0]:
+            place = (hashed >> 39) % FILTER_BITS
+            if int(words.bits[place >> 6]) >> (place & 63) & 1:
                 found = len(words.words)
                 words.langs.append(self.lang)
                 words.words.append(word)
@@ -251,6 +252,7 @@ class Shared:
         self.length = 0
         self.langs: list[str] = []
         self.words: list[bytes] = []
+        self.word_hashes = np.array([], dtype=np.uint64)
         self.word_bits: np.ndarray | None = None
         self.levels: list[tuple] = []
 
@@ -264,7 +266,8 @@ class Shared:
         if length == 1:
             self.langs, self.words = langs, [p.encode() for p in phrases]
             self.known = {(lang, p): k for k, (lang, p) in enumerate(zip(langs, phrases))}
-            self.before, self.hashes = self.known, np.array([_word_hash(lang, word) for lang, word in zip(self.langs, self.words)], dtype=np.uint64)
+            self.word_hashes = np.array([_word_hash(lang, word) for lang, word in zip(self.langs, self.words)], dtype=np.uint64)
+            self.before, self.hashes = self.known, self.word_hashes
             if counted.count() > len(phrases):
                 self.word_bits = _filter(counted)
             return
@@ -277,13 +280,12 @@ class Shared:
                 first.append(a)
                 second.append(b)
         ids = np.array(first, dtype=np.int64), np.array(second, dtype=np.int64)
-        word_hashes = self.hashes if length == 2 else self.word_hashes
-        hashes = _pair_hash(self.hashes[ids[0]], word_hashes[ids[1]])
+        hashes = _pair_hash(self.hashes[ids[0]], self.word_hashes[ids[1]])
         self.levels.append((*ids, hashes, _filter(counted) if counted.count() > len(first) else None))
-        self.before, self.hashes, self.word_hashes = kept, hashes, word_hashes
+        self.before, self.hashes = kept, hashes
 
     def sent(self) -> tuple:
-        return self.langs, self.words, self.word_bits, self.levels
+        return self.langs, self.words, self.word_hashes, self.word_bits, self.levels
 
 
 def _filter(phrases: DataFrame) -> np.ndarray:
@@ -308,8 +310,8 @@ def _filter(phrases: DataFrame) -> np.ndarray:
 class Task:
     """What one task counts: phrases one word longer than those it has ids for."""
 
-    def __init__(self, langs: list[str], words: list[bytes], word_bits: np.ndarray | None, levels: list[tuple]) -> None:
-        self.words, self.phrases, self.tiles = Words(list(langs), list(words), word_bits), [Ids(*level) for level in levels], Tiles()
+    def __init__(self, langs: list[str], words: list[bytes], hashes: np.ndarray, bits: np.ndarray | None, levels: list[tuple]) -> None:
+        self.words, self.phrases, self.tiles = Words(list(langs), list(words), hashes, bits), [Ids(*level) for level in levels], Tiles()
 
     def add(self, lang: str, texts: list[str | None]) -> None:
         ids = self.words.find(lang, texts)
@@ -408,6 +410,9 @@ def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, best: in
     every = scored[0]
     for more in scored[1:]:
         every = every.unionByName(more)
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = every.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
+    order = F.desc("score"), F.desc("a"), "phrase"
+    every = every.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("salt", F.pmod(F.hash("phrase"), F.lit(SALTS)))
+    # the best of each part of a language first, so that none is sorted in one task
+    near = every.withColumn("rank", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= best)
+    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= best)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
