@@ -453,24 +453,6 @@ def test_fingerprints_follow_the_next_document(spark, empty):
     assert sketch.compare_with_next(empty).count() == 0
 
 
-def test_next_documents_of_sparse_repeated_and_null_ids(spark, monkeypatch):
-    """Ids far apart, clustered, repeated and missing, in many buckets and segments."""
-    monkeypatch.setattr(sketch, "BUCKET", 4)
-    monkeypatch.setattr(sketch, "SEGMENTS", 8)
-    rng = random.Random(12)
-    ids = [rng.randrange(-1 << 62, 1 << 62) for _ in range(150)] + list(range(60)) + [7] * 5 + [(1 << 62) + i for i in range(20)] + [None] * 40
-    texts = [words(rng, 5) + str(k) for k in range(len(ids))]
-    hashed = {t: (h - (1 << 64) if h >> 63 else h) for t in texts for h in [xxhash.xxh64_intdigest(t.encode(), 42)]}
-    order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, -(ids[k] or 0), hashed[texts[k]]))
-    want = sorted((texts[a], texts[b]) for a, b in zip(order, [*order[1:], order[0]]))
-    docs = table(spark, texts, ids)
-    assert sorted((r.text, r.next_text) for r in sketch.next_documents(docs, ["text"]).collect()) == want
-    buckets = docs.select(sketch._buckets(docs).alias("b")).groupBy("b").count().agg(F.max("count"), F.count("*")).first()
-    assert buckets[0] <= 40 and buckets[1] >= 30
-    alone = sketch.next_documents(table(spark, ["x"], [None]), ["text"]).collect()
-    assert [(r.text, r.next_text) for r in alone] == [("x", "x")]
-
-
 def test_sketches_merge_and_estimate(spark, clashing):
     vocabulary = [f"w{i}" for i in range(5000)]
     rng = random.Random(1)
