@@ -75,6 +75,13 @@ def unescape_json(text: Column) -> Column:
     return F.when(text.contains("\\"), F.replace(F.aggregate(codes, text, step), F.lit("\\/"), F.lit("/"))).otherwise(text)
 
 
+def json_texts(html: Column) -> Column:
+    """JSON as it is stored: bodies of scripts of a JSON type, and a page that is JSON."""
+    body = F.when(html.rlike(JSON_BODY), F.array(html)).otherwise(F.array().cast("array<string>"))
+    scripts = F.filter(elements(html, "script"), lambda e: e.rlike(JSON_TYPE))
+    return F.concat(F.transform(scripts, lambda e: _body(e, "script")), body)
+
+
 def context_texts(html: Column, context: str) -> Column:
     """The texts of one context, as an array."""
     if context == "script":
@@ -95,9 +102,7 @@ def context_texts(html: Column, context: str) -> Column:
 
         return F.flatten(F.transform(elements(html, "script"), objects))
     if context == "json":
-        body = F.when(html.rlike(JSON_BODY), F.array(html)).otherwise(F.array().cast("array<string>"))
-        scripts = F.filter(elements(html, "script"), lambda e: e.rlike(JSON_TYPE))
-        return F.transform(F.concat(F.transform(scripts, lambda e: _body(e, "script")), body), unescape_json)
+        return F.transform(json_texts(html), unescape_json)
     if context == "html":
         return F.array(decode_markup(html))
     raise ValueError(f"unknown context {context!r}")

@@ -11,12 +11,12 @@ from ..catalogue import RULES, Rule
 from ..operators.contexts import CONTEXTS
 from ..operators.detect import best_rule, detect, mask
 from ..operators.filters import drop_likely_false_positives, drop_noise, in_list, in_scope, is_likely_false_positive
-from ..operators.history import with_line_numbers
+from ..operators.history import removed_since, standing, with_line_numbers
 from ..functions.text import host, host_suffixes
 from ..operators.links import links, page_budget, reachable, reachable_by_site
 from ..session import semi_join, written
 from ..sources.files import read_dir, read_file
-from ..sources.history import HISTORY_COLUMNS, units_from_history
+from ..sources.history import HISTORY_COLUMNS, signed_units, units_from_history
 from ..sources.tables import units_from_pages
 
 
@@ -54,6 +54,25 @@ def scan_history(commits: DataFrame, include_all: bool = False, **options) -> Da
     return with_line_numbers(found)
 
 
+def standing_secrets(commits: DataFrame, rules: Sequence[Rule] = RULES, salt: str | None = None) -> DataFrame:
+    """``repo``, ``fingerprint`` and ``n_standing`` of the secrets that the history leaves in the files, without a table of them.
+
+    Values within a line are sought line by line, which makes the sums exact: what a line holds depends on the line alone.
+    Values of several lines are sought in lines that a patch adds or removes together; one that goes in pieces counts as standing.
+    The history is to be whole and without merges that repeat the patches of their parents.
+    """
+    texts = [rule for rule in rules if rule.target == "text"]
+    single = detect(signed_units(commits), texts, keep=("repo", "sign"))
+    several = detect(signed_units(commits, runs=True), texts, keep=("repo", "sign"))
+    return standing(mask(single.unionByName(several.filter(F.col("value").contains("\n"))), salt=salt))
+
+
+def scan_removed(commits: DataFrame, rules: Sequence[Rule] = RULES, salt: str | None = None, **options) -> DataFrame:
+    """Findings of the history whose secret is gone from the current files of its repository: what rewriting the history must take out."""
+    texts = [rule for rule in rules if rule.target == "text"]
+    return removed_since(scan_history(commits, rules=texts, salt=salt, **options), standing_secrets(commits, texts, salt))
+
+
 def sites_pages(
     pages: DataFrame, domains: DataFrame, depth: int | None = None, max_pages: int | None = None, seeds: DataFrame | None = None,
 ) -> DataFrame:

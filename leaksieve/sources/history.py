@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.history import added_runs
+from ..operators.history import added_runs, signed_lines, signed_runs
 
 HISTORY_COLUMNS = ("repo", "commit_id", "seq", "path", "line_no")
 
@@ -22,3 +22,15 @@ def units_from_history(commits: DataFrame) -> DataFrame:
         F.lit("raw").alias("context"),
         "text", "named", *HISTORY_COLUMNS,
     )
+
+
+def signed_units(commits: DataFrame, runs: bool = False) -> DataFrame:
+    """Changed lines as units with their ``repo`` and ``sign``; with ``runs`` those that follow each other as one unit.
+
+    Rules on names see none of them: a patch that removes lines leaves the name.
+    """
+    lines = signed_runs(commits) if runs else signed_lines(commits)
+    return lines.select(
+        F.concat_ws(":", "repo", "commit_id", "path").alias("unit_id"), F.concat_ws("/", "repo", "path").alias("uri"),
+        F.lit("raw").alias("context"), "text", F.lit(False).alias("named"), "repo", "sign",
+    )

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.contexts import CONTEXTS, contexts
+from ..operators.contexts import CONTEXTS, contexts, json_texts
+from ..operators.leaves import json_leaves
 from ..session import spread
 
 
@@ -33,3 +34,21 @@ def units_from_pages(
     """Stored pages ``(page_id, url, html)``: one unit per page and web context."""
     pages = pages.select("page_id", "url", "html", *keep)
     return contexts(spread(pages, "page_id") if spread_out else pages, only, keep=keep)
+
+
+def units_from_json(
+    df: DataFrame, id_col: str, json_col: str, uri_expr: Column | str, keep: Sequence[str] = (), spread_out: bool = True
+) -> DataFrame:
+    """A table with a column of JSON: one unit per leaf, see :func:`leaksieve.operators.leaves.json_leaves`."""
+    return json_leaves(units_from(df, id_col, json_col, uri_expr, keep, spread_out), keep)
+
+
+def units_from_page_json(pages: DataFrame, keep: Sequence[str] = (), spread_out: bool = True) -> DataFrame:
+    """Leaves of the JSON in stored pages: scripts of a JSON type, and pages that are JSON."""
+    pages = pages.select("page_id", "url", "html", *keep)
+    pages = spread(pages, "page_id") if spread_out else pages
+    pieces = pages.select("page_id", F.col("url").alias("uri"), *keep, F.posexplode(json_texts(F.col("html"))).alias("piece", "text"))
+    units = pieces.select(
+        F.concat_ws(":", F.col("page_id").cast("string"), F.lit("leaf"), F.col("piece").cast("string")).alias("unit_id"), "uri", F.lit("leaf").alias("context"),
+        "text", (F.col("piece") == 0).alias("named"), *keep)
+    return json_leaves(units, keep)

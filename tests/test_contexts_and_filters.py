@@ -1,4 +1,6 @@
 import html as stdlib_html
+import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from leaksieve.operators import contexts as ctx
 from leaksieve.operators import filters as flt
 from leaksieve.operators.detect import detect
 from leaksieve.plans.scans import scan_domains, scan_site, scan_units
+from leaksieve.sources.tables import units_from_json, units_from_page_json
 from samples import hexes
 
 TOKEN = hexes(32)
@@ -143,3 +146,58 @@ def test_unclosed_tags_cost_linear_time(spark):
         began = time.perf_counter()
         units_from_pages(page, ["script", "css", "meta", "config", "json", "html"]).select(F.sum(F.length("text"))).collect()
         assert time.perf_counter() - began < 20, tag
+
+
+def leaves(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, j string")
+    return units_from_json(df, "id", "j", F.lit("x"), spread_out=False)
+
+
+def test_json_leaves_against_the_standard_library(spark):
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.random()
+        if depth and kind < 0.35:
+            return {rng.choice(["a", "b.c", "d/e", "f~g", "", "h\"[i", "ü", "{"]) : value(depth - 1) for _ in range(rng.randint(0, 3))}
+        if depth and kind < 0.6:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice(["", "x]}", 'q"[{', "back\\slash\\", "line\nbreak", "\u2028é", 7, -3, True, False, None, "\\\""])
+
+    def walk(node, path=""):
+        if isinstance(node, dict):
+            return [leaf for k, v in node.items() for leaf in walk(v, f"{path}/{k.replace('~', '~0').replace('/', '~1')}")]
+        if isinstance(node, list):
+            return [leaf for i, v in enumerate(node) for leaf in walk(v, f"{path}/{i}")]
+        return [] if node is None else [(path, str(node).lower() if isinstance(node, bool) else str(node))]
+
+    docs = [value(6) for _ in range(150)]
+    texts = [json.dumps(d, ensure_ascii=i % 2 == 0, indent=i % 3 or None) for i, d in enumerate(docs)]
+    value_of = F.expr("substring(text, value_at + 1, length(text) - value_at - if(value_at > 0, 1, 0))")
+    got = leaves(spark, *texts).select("unit_id", "path", value_of.alias("value")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"{i}#{path}", path, v) for i, d in enumerate(docs) for path, v in walk(d))
+
+
+def test_json_leaves_of_odd_texts(spark):
+    deep = "[" * 300 + '"z"' + "]" * 300
+    got = leaves(spark, None, "", "{}", "null", "nope", '{"a":1,"a":2}', '"s"', deep, '{"a":[1,{"b":[2]}]}').collect()
+    assert [(r.unit_id, r.text, r.path) for r in got if r.unit_id != "7#" + "/0" * 300] == [
+        ("4", "nope", None), ("5", '{"a":1,"a":2}', None), ("6#", "s", ""), ("8#/a/0", 'a = "1"', "/a/0"), ("8#/a/1/b/0", 'a.b = "2"', "/a/1/b/0")]
+    assert [r.text for r in got if r.unit_id.startswith("7#")] == ["z"]
+
+
+def test_secrets_in_json_leaves(spark):
+    """Keys are the left context, escapes are undone, and places refer to the value."""
+    text = '{"db": {"settings": {"password": "p\\u0040ss\\/word\\u00221", "port": 5432}}, "list": [{"api_key": ["%s"]}], "t": "see \\u0041KIA%s"}' % ("a1" * 16, "B2" * 8)
+    found = {(r.rule_id, r.path, r.value, r.start - r.value_at) for r in detect(leaves(spark, text), keep=("path", "value_at")).collect()}
+    assert ("aws_access_key_id", "/t", "AKIA" + "B2" * 8, 4) in found
+    assert ("generic_secret", "/list/0/api_key/0", "a1" * 16, 0) in found
+    assert {f[1] for f in found} == {"/t", "/list/0/api_key/0", "/db/settings/password"}
+    plan = leaves(spark, text)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_json_of_pages(spark):
+    html = '<script type="application/json">{"k": {"token": "%s"}}</script><script>{"a": 1}</script><script type="application/ld+json">nope</script>' % hexes(32)
+    got = units_from_page_json(page(spark, html), spread_out=False).collect()
+    assert [(r.unit_id, r.path, r.context, r.named) for r in got] == [("1:leaf:0#/k/token", "/k/token", "leaf", True), ("1:leaf:1", None, "leaf", False)]

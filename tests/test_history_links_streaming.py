@@ -1,14 +1,17 @@
+import hashlib
 import random
+from collections import Counter
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
 
 from leaksieve.catalogue import RULES
 from leaksieve.operators.detect import detect, mask
-from leaksieve.operators.history import added_lines, first_seen, history_only
+from leaksieve.operators.history import added_lines, first_seen, history_only, signed_lines
 from leaksieve.operators.links import links, page_budget, reachable, resolve, subdomains
 from leaksieve.operators.python_rule import with_python_rule
-from leaksieve.plans.scans import scan_history, scan_site
+from leaksieve.plans.scans import scan_history, scan_removed, scan_site, standing_secrets
 from leaksieve.session import shared_dir, spread
 from leaksieve.sources.history import HISTORY_COLUMNS, units_from_history
 from leaksieve.sources.tables import units_from
@@ -225,3 +228,45 @@ def test_spread_only_moves_small_scans(spark, tmp_path):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.sparkContext.getCheckpointDir() or shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_signed_lines_against_a_replay(spark):
+    rng = random.Random(5)
+    states = [[]]
+    for _ in range(12):
+        lines = list(states[-1])
+        for _ in range(rng.randint(1, 4)):
+            if lines and rng.random() < 0.4:
+                lines.pop(rng.randrange(len(lines)))
+            else:
+                lines.insert(rng.randint(0, len(lines)), rng.choice(["-- a/f", "++ b/f", "x", "", "- y", "+z", f'token = "{hexes(32, rng.randint(1, 3))}"']))
+        states.append(lines)
+    steps = list(pairwise(states))
+    got = Counter()
+    for r in signed_lines(commits(spark, *[diff(old, new) for old, new in steps])).collect():
+        got[r.text] += r.sign
+    assert {k: v for k, v in got.items() if v} == Counter(states[-1])
+    standing = {r.fingerprint: r.n_standing for r in standing_secrets(commits(spark, *[diff(old, new) for old, new in steps])).collect()}
+    tokens = Counter(line.split('"')[1] for line in states[-1] if line.startswith("token"))
+    assert standing == {hashlib.sha256(t.encode()).hexdigest(): n for t, n in tokens.items()}
+
+
+def test_secrets_removed_since(spark):
+    a, b, c = (f'token = "{hexes(32, i)}"' for i in (1, 2, 3))
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(hexes(64, seed=i) for i in range(3)) + "\n-----END RSA PRIVATE KEY-----"
+    lines = key.split("\n")
+    patches = [
+        f"@@ -0,0 +1,4 @@\n+{a}\n+{b}\n+{c}\n+x\n", f"@@ -1,3 +1 @@\n-{a}\n-{b}\n {c}\n", f"@@ -9,0 +9 @@\n+    {b}  # again\n",
+        "@@ -0,0 +1,5 @@\n" + "".join(f"+{line}\n" for line in lines), "@@ -1,5 +0,0 @@\n" + "".join(f"-{line}\n" for line in lines),
+        # a file that goes, and one that is renamed with its secret in an unchanged line
+        f"diff --git a/n b/n\n--- a/n\n+++ /dev/null\n@@ -1 +0,0 @@\n-{c}\n\\ No newline at end of file\ndiff --git a/o b/p\nsimilarity index 90%\n--- a/o\n+++ b/p\n@@ -1,2 +1,2 @@\n {b}\n-x\n+y\n",
+    ]
+    gone = scan_removed(commits(spark, *patches), keep_values=True).collect()
+    assert {(r.commit_id, r.value) for r in gone} == {("c0", a.split('"')[1]), ("c0", c.split('"')[1]), ("c3", key)}
+    # a secret that stands in another repository is gone from its own
+    two = commits(spark, *patches[:2]).unionByName(commits(spark, f"@@ -0,0 +1 @@\n+{a}\n").withColumn("repo", F.lit("other")))
+    assert hexes(32, 1) in {r.value for r in scan_removed(two, keep_values=True).collect()}
+    assert scan_removed(commits(spark, "")).count() == 0
+    # nothing but findings is shuffled
+    plan = standing_secrets(commits(spark, *patches))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and "partial_sum" in plan
