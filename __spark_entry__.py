@@ -24,11 +24,11 @@ from leaksieve.operators.history import added_lines, first_seen, history_only, w
 from leaksieve.operators.links import links, page_budget, reachable, subdomains
 from leaksieve.operators.python_rule import with_python_rule
 from leaksieve.operators.redact import redact
-from leaksieve.plans.scans import scan_domains, scan_site, scan_units, sites_pages
-from leaksieve.session import scratch_path
+from leaksieve.plans.scans import scan_domains, scan_removed, scan_site, scan_units, sites_pages, standing_secrets
+from leaksieve.session import scratch_path, spread
 from leaksieve.sources.files import read_dir, read_domains, read_file
 from leaksieve.sources.history import HISTORY_COLUMNS, units_from_history
-from leaksieve.sources.tables import units_from, units_from_pages
+from leaksieve.sources.tables import units_from, units_from_json, units_from_page_json, units_from_pages
 from leaksieve.streaming.scan import dedup_stream, scan_stream, write_available
 from oracle import sql as duck
 
@@ -165,6 +165,23 @@ KEY_TEXT = """concat('a', chr(10), '-----BEGIN PGP PRIVATE KEY ', 'BLOCK-----',
 KEY_TEXT_LEFT = """concat('a', chr(10), '[REDACTED:PGP Private Key]', chr(10), 'postgres://localhost:5432/db redis://h:6379/0', chr(10),
   'postgres://u:[REDACTED:PostgreSQL URI Password]@h:5432/db', chr(10), '[REDACTED:SSH2 Private Key]', chr(10), 'amqp://broker:5672 ', doc_id)"""
 
+# JSON appended to pages: nested keys and escaped values, and where in it which value stands, written down without the rules.
+JSON_HTML = """concat(html, '<script type="application/json">{"app": {"db": {"password": "p', chr(92), 'u0040', chr(92), '/', left(md5(html), 12), '", "port": 5432}, "list": [1, {"api_key": ["',
+  md5(html), '"]}]}, "note": "see ', chr(92), 'u0041KIA', upper(left(md5(html), 16)), '", "none": null}</script>')"""
+JSON_VALUES = (
+    ("generic_password", "/app/db/password", "concat('p@/', left(md5(html), 12))", 0),
+    ("generic_secret", "/app/list/1/api_key/0", "md5(html)", 0),
+    ("aws_access_key_id", "/note", "concat('AKIA', upper(left(md5(html), 16)))", 4),
+)
+
+# Three commits of each document: a secret comes with the whole text, goes from two of three documents, comes again in one.
+SECRET_LINE = "concat('secret_token = \"', md5(concat('s', text)), '\"')"
+REPLAYED = (
+    ("true", "concat('@@ -0,0 +1,', size(split(text, '\n', -1)) + 1, ' @@\n+', {secret}, '\n+', replace(text, '\n', '\n+'))"),
+    ("doc_id % 3 > 0", "concat('--- a/f\n+++ b/f\n@@ -1 +0,0 @@\n-', {secret}, '\n')"),
+    ("doc_id % 3 = 2", "concat('@@ -4,2 +4,3 @@\n x\n+  ', {secret}, ' # again\n y')"),
+)
+
 LINKED_TO = (
     ("https://base.example.org/a/up/", "page_id", ".html"), ("https://base.example.org/a/b/plain/", "page_id", ""),
     ("https://base.example.org/a/b/y", "page_id", "?z=1"), ("https://base.example.org/r/s/", "''", ""),
@@ -232,6 +249,16 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).repartition(spark.sparkContext.defaultParallelism * 4, "commit_id")
 
 
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a history in which secrets come, go and come again."""
+    docs = _table(spark, sf_dir, "documents")
+    steps = F.array_compact(F.array(*[F.when(F.expr(asked), F.expr(patch.format(secret=SECRET_LINE))) for asked, patch in REPLAYED]))
+    return spread(docs, "doc_id").select(
+        F.col("source").alias("repo"), "doc_id", F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.posexplode(steps).alias("step", "patch"),
+    ).select("repo", F.concat_ws("-", "doc_id", "step").alias("commit_id"), (F.col("doc_id") * 3 + F.col("step")).alias("seq"),
+             F.timestamp_seconds("doc_id").alias("ts"), "path", "patch")
+
+
 def _text_tree(spark: SparkSession, sf_dir: str) -> str:
     """Documents written out as a tree of text files of at most 500 documents each."""
     path = scratch_path(spark, "tree")
@@ -452,6 +479,12 @@ def _scan_queries() -> dict[str, Query]:
         "c4_meta": context("meta"),
         "c5_config": context("config"),
         "c6_json": context("json"),
+        "c6_json_leaves": lambda s, d: units_from_json(docs(s, d).withColumn("json", F.to_json(F.struct(
+            F.struct("text", F.array(F.struct(F.col("source").alias("from/to"))).alias("a.b")).alias("doc"), F.array("lang", F.col("n_chars").cast("string")).alias("~")
+        ))), "doc_id", "json", "source").select("unit_id", "path", "value_at", "named", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest")),
+        "c6_scan_json_leaves": lambda s, d: detect(
+            units_from_page_json(pages(s, d).withColumn("html", F.expr(JSON_HTML))), select_rules(RULES, rule_ids=[r for r, _, _, _ in JSON_VALUES]), keep=("path", "value_at")
+        ).select("uri", "context", "rule_id", "path", "value", (F.col("start") - F.col("value_at")).alias("place")),
         "c7_html": context("html"),
         "c8_decode_entities": lambda s, d: pages(s, d).select(
             "page_id", F.md5(decode_entities(F.expr(PLANTED_HTML))).alias("digest")),
@@ -504,6 +537,8 @@ def _scan_queries() -> dict[str, Query]:
         "h1_scan_history": history,
         "h2_first_seen": lambda s, d: first_seen(sourced(s, d)),
         "h3_history_only": lambda s, d: history_only(sourced(s, d, 0), sourced(s, d, 1)),
+        "h3_standing_secrets": lambda s, d: standing_secrets(_replayed(s, d)),
+        "h3_scan_removed": lambda s, d: scan_removed(_replayed(s, d), generic, include_all=True).select("repo", "commit_id", "path", "line_no", "fingerprint"),
         # streaming and Python rules
         "x1_scan_stream": lambda s, d: _run_stream(s, scan_stream(_stream_units(s, d))),
         "x2_dedup_stream": _x2,
@@ -556,6 +591,7 @@ def _scan_oracle_sql() -> dict[str, str]:
       UNION ALL SELECT source, concat('c', doc_id), doc_id, concat(lang, '.txt'), 900, text FROM documents"""
     hist_units = f"""SELECT concat_ws(':', repo, commit_id, path, CAST(line_no AS VARCHAR)) AS unit_id, concat(repo, '/', path) AS uri,
       'raw' AS context, text, repo, commit_id, seq, path, line_no FROM ({runs})"""
+    text_lines = f"SELECT unit_id, uri, context, source, unnest(string_split(text, chr(10))) AS text FROM ({docs})"
     sourced = f"SELECT * EXCLUDE (doc_id), doc_id AS seq, unit_id AS commit_id FROM ({duck.masked(duck.detect(docs, keep=['source', 'doc_id']))})"
     thread = "SELECT concat(conv_id, '/', turn) AS url, turn AS depth FROM conversations"
     page_links = duck.links()
@@ -614,6 +650,13 @@ def _scan_oracle_sql() -> dict[str, str]:
         "d8_best_rule": duck.best(planted),
         **{f"c{i}_{label}": digest(duck.contexts([name], planted_pages)) for i, (label, name) in enumerate(
             [("scripts", "script"), ("css", "css"), ("handlers", "handler"), ("meta", "meta"), ("config", "config"), ("json", "json"), ("html", "html")], start=1)},
+        "c6_json_leaves": " UNION ALL ".join(
+            f"""SELECT concat(CAST(doc_id AS VARCHAR), '#{path}') AS unit_id, '{path}' AS path, CAST(length('{keys}') + 4 AS INTEGER) AS value_at, {path.startswith('/doc/a.b')} AS named,
+              CAST(length('{keys}') + 5 + length({value}) AS BIGINT) AS n_chars, md5(concat('{keys} = "', {value}, '"')) AS digest FROM documents WHERE {value} IS NOT NULL"""
+            for path, keys, value in [
+                ("/doc/text", "doc.text", "text"), ("/doc/a.b/0/from~1to", "doc.a.b.from/to", "source"), ("/~0/0", "~", "lang"), ("/~0/1", "~", "CAST(n_chars AS VARCHAR)")]),
+        "c6_scan_json_leaves": " UNION ALL ".join(
+            f"SELECT url AS uri, 'leaf' AS context, '{rule}' AS rule_id, '{path}' AS path, {value} AS value, CAST({place} AS BIGINT) AS place FROM pages" for rule, path, value, place in JSON_VALUES),
         "c8_decode_entities": f"SELECT page_id, md5({duck.decode('html')}) AS digest FROM ({planted_pages})",
         "c9_scan_pages": duck.masked(duck.detect(duck.contexts(), named="named")),
         "c9_scan_every_context": duck.masked(duck.detect(duck.contexts(pages=planted_pages), named="named")),
@@ -668,6 +711,14 @@ def _scan_oracle_sql() -> dict[str, str]:
         "h2_first_seen": f"""SELECT fingerprint, n_findings, seq, commit_id, uri, unit_id, start, type FROM (SELECT *, count(*) OVER (PARTITION BY fingerprint) AS n_findings,
           row_number() OVER (PARTITION BY fingerprint ORDER BY seq, commit_id, uri, unit_id, start, type) AS rn FROM ({sourced})) WHERE rn = 1""",
         "h3_history_only": f"""WITH f AS ({sourced}) SELECT * FROM f WHERE seq % 2 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE seq % 2 = 1)""",
+        # by construction, and what the texts themselves hold
+        "h3_standing_secrets": f"""SELECT repo, fingerprint, CAST(sum(n) AS BIGINT) AS n_standing FROM (
+            SELECT source AS repo, sha256(md5(concat('s', text))) AS fingerprint, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 1 END AS n FROM documents
+            UNION ALL SELECT source, fingerprint, 1 FROM ({duck.masked(duck.detect(text_lines, [r for r in RULES if r.target == "text"], keep=["source"]))})
+          ) GROUP BY 1, 2 HAVING sum(n) > 0""",
+        "h3_scan_removed": f"""WITH s AS (SELECT source AS repo, doc_id, concat(lang, '/', doc_id, '.txt') AS path, sha256(md5(concat('s', text))) AS fingerprint FROM documents)
+          SELECT repo, concat(doc_id, '-0') AS commit_id, path, CAST(1 AS BIGINT) AS line_no, fingerprint FROM s
+          WHERE (repo, fingerprint) NOT IN (SELECT (repo, fingerprint) FROM s WHERE doc_id % 3 <> 1)""",
         "x1_scan_stream": found,
         "u1_python_rule": f"""SELECT uri, 'Hex Token' AS type, value, start, "end", context, unit_id, 'hex_entropy' AS rule_id
           FROM ({duck.detect(docs, [HEX_RUN])}) WHERE list_aggregate(string_split(value, ''), 'entropy') > 3.0""",

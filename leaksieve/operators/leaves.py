@@ -81,7 +81,7 @@ def json_leaves(units: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     Null members and empty containers have no text and give no row. A text that isn't JSON, or that names a
     member twice, is handed on as it is, with a null path, so that nothing goes unscanned; a null or empty text gives no row.
-    The first leaf of a unit that is ``named`` is named, too; a ``named`` unit without leaves has nobody to speak for its name.
+    Members come in the order of their names. The first leaf of a unit that is ``named`` is named, too; a ``named`` unit without leaves has nobody to speak for its name.
     """
     named = F.col("named") if "named" in units.columns else F.lit(True)
     context = F.col("context") if "context" in units.columns else F.lit("raw")
