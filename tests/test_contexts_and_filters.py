@@ -8,6 +8,7 @@ from leaksieve.functions.text import decode_entities, host, host_suffixes
 from leaksieve.operators import contexts as ctx
 from leaksieve.operators import filters as flt
 from leaksieve.operators.detect import detect
+from leaksieve.operators.places import stored_places
 from leaksieve.plans.scans import scan_domains, scan_site, scan_units
 from leaksieve.sources.tables import units_from_json, units_from_page_json
 from samples import hexes
@@ -201,3 +202,24 @@ def test_json_of_pages(spark):
     html = '<script type="application/json">{"k": {"token": "%s"}}</script><script>{"a": 1}</script><script type="application/ld+json">nope</script>' % hexes(32)
     got = units_from_page_json(page(spark, html), spread_out=False).collect()
     assert [(r.unit_id, r.path, r.context, r.named) for r in got] == [("1:leaf:0#/k/token", "/k/token", "leaf", True), ("1:leaf:1", None, "leaf", False)]
+
+
+def test_places_in_the_stored_page(spark):
+    """What stands at a mapped place decodes to the value, whatever stands around it."""
+    rng = random.Random(11)
+    noise = ["&lt;", "&amp;lt;", "&#65;", "&#x41;", "&#233;", "&amp;", "&", "&nbsp;", "é", "\U0001f600", "<p>", "<script>a&lt;b</script>", "<style>&amp;</style>", " x ", "&#38;gt;", "<script>"]
+    pages = []
+    for i in range(40):
+        token = "".join(rng.choice([c, f"&#{ord(c)};", f"&#x{ord(c):x};"]) if rng.random() < 0.3 else c for c in "AKIA" + hexes(16, i).upper())
+        around = ["".join(rng.choice(noise) for _ in range(rng.choice([0, 5, 400]))) for _ in range(2)]
+        pages.append((i, "u", f"{around[0]}|{token}|{around[1]}"))
+    df = spark.createDataFrame([*pages, (98, "u", "&&#108;t; AKIA" + hexes(16).upper()), (99, "u", ""), (100, "u", None)], "page_id bigint, url string, html string")
+    found = detect(ctx.contexts(df, ["html", "script"], keep=["html"]), keep=("html",)).filter("rule_id = 'aws_access_key_id'")
+    got = stored_places(found).withColumn("stored", F.expr("substring(html, int(stored_start + 1), int(stored_end - stored_start))")).collect()
+    html = [r for r in got if r.context == "html" and r.unit_id != "98:html:0"]
+    assert len(html) >= 35
+    for r in html:
+        assert r.html[r.stored_start:r.stored_end] == r.stored and stdlib_html.unescape(r.stored) == r.value
+        assert r.stored_start == r.html.index("|") + 1
+    assert [r.stored_start for r in got if r.unit_id == "98:html:0"] == [None]
+    assert all(r.stored_start is None for r in got if r.context != "html")
