@@ -22,6 +22,7 @@ from leaksieve.operators.filters import (
 )
 from leaksieve.operators.history import added_lines, first_seen, history_only, with_line_numbers
 from leaksieve.operators.links import links, page_budget, reachable, subdomains
+from leaksieve.operators.places import stored_places
 from leaksieve.operators.python_rule import with_python_rule
 from leaksieve.operators.redact import redact
 from leaksieve.plans.scans import scan_domains, scan_removed, scan_site, scan_units, sites_pages, standing_secrets
@@ -174,6 +175,10 @@ JSON_VALUES = (
     ("aws_access_key_id", "/note", "concat('AKIA', upper(left(md5(html), 16)))", 4),
 )
 
+# A key behind and within references, appended to pages; what stands in the stored page, written down without the rules.
+HIDDEN_KEY = "concat('A&#75;I&#x41;', upper(left(md5(html), 8)), '&#', ascii(upper(substring(md5(html), 9, 1))), ';', upper(substring(md5(html), 10, 7)))"
+HIDDEN_HTML = f"concat(html, '<p title=&quot;&amp;lt;&gt; ', {HIDDEN_KEY}, ' &#233;')"
+
 # Three commits of each document: a secret comes with the whole text, goes from two of three documents, comes again in one.
 SECRET_LINE = "concat('secret_token = \"', md5(concat('s', text)), '\"')"
 REPLAYED = (
@@ -488,6 +493,10 @@ def _scan_queries() -> dict[str, Query]:
         "c7_html": context("html"),
         "c8_decode_entities": lambda s, d: pages(s, d).select(
             "page_id", F.md5(decode_entities(F.expr(PLANTED_HTML))).alias("digest")),
+        "c8_stored_places": lambda s, d: stored_places(detect(
+            units_from_pages(pages(s, d).withColumn("n", F.length("html")).withColumn("html", F.expr(HIDDEN_HTML)), ["html"], keep=["html", "n"]),
+            select_rules(RULES, rule_ids=["aws_access_key_id"]), keep=("html", "n"))).filter("stored_start >= n").select(
+            "uri", "value", "stored_start", "stored_end", F.expr("substring(html, int(stored_start + 1), int(stored_end - stored_start))").alias("stored")),
         "c9_scan_pages": page_findings,
         "c9_scan_every_context": lambda s, d: mask(detect(units_from_pages(planted_pages(s, d)))),
         # filters
@@ -658,6 +667,8 @@ def _scan_oracle_sql() -> dict[str, str]:
         "c6_scan_json_leaves": " UNION ALL ".join(
             f"SELECT url AS uri, 'leaf' AS context, '{rule}' AS rule_id, '{path}' AS path, {value} AS value, CAST({place} AS BIGINT) AS place FROM pages" for rule, path, value, place in JSON_VALUES),
         "c8_decode_entities": f"SELECT page_id, md5({duck.decode('html')}) AS digest FROM ({planted_pages})",
+        "c8_stored_places": f"""SELECT url AS uri, concat('AKIA', upper(left(md5(html), 16))) AS value, CAST(length(html) + {len('<p title=&quot;&amp;lt;&gt; ')} AS BIGINT) AS stored_start,
+          CAST(length(html) + {len('<p title=&quot;&amp;lt;&gt; ')} + length({HIDDEN_KEY}) AS BIGINT) AS stored_end, {HIDDEN_KEY} AS stored FROM pages""",
         "c9_scan_pages": duck.masked(duck.detect(duck.contexts(), named="named")),
         "c9_scan_every_context": duck.masked(duck.detect(duck.contexts(pages=planted_pages), named="named")),
         "f1_drop_minified": f"SELECT unit_id, uri FROM ({named}) WHERE NOT {minified}",

@@ -15,7 +15,7 @@ CHECKED = [
     "s1_read_file", "s3_units_from_documents", "s4_units_from_pages", "s5_units_from_history", "s6_read_domains", "k1_write_report", "d2_detect",
     "d2_detect_every_family", "d2_planted_values", "d8_best_rule", "c3_handlers", "c5_config", "c6_json", "c7_html", "c8_decode_entities", "c9_scan_every_context",
     "f4_drop_noise", "f6_in_list", "f8_default_filters", "a1_listed_by_unit", "a4_scan_summary", "a7_redact_every_family", "w1_links", "w2_subdomains",
-    "w3_reachable_threads", "w4_page_budget", "w5_scan_site", "w5_scan_domains_limited", "a7_redact_keys", "x2_dedup_horizon", "c6_json_leaves", "c6_scan_json_leaves",
+    "w3_reachable_threads", "w4_page_budget", "w5_scan_site", "w5_scan_domains_limited", "a7_redact_keys", "x2_dedup_horizon", "c8_stored_places", "c6_json_leaves", "c6_scan_json_leaves",
     "h3_standing_secrets", "h3_scan_removed", "h1_added_lines", "h2_first_seen", "x1_scan_stream",
 ]
 
