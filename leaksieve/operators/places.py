@@ -62,7 +62,7 @@ def stored_places(findings: DataFrame, html_col: str = "html") -> DataFrame:
 
     The stored text there decodes to the value. Findings of other contexts have null places, as have
     those of a page in which decoding puts a new reference together from several (``&&#108;t;``): no
-    table of offsets describes it. Only pages with findings are looked at, in the rows where they are.
+    table of offsets describes it. Each finding reads its page anew. Only pages with findings are looked at, in the rows where they are.
     """
     html = F.col(html_col)
 
