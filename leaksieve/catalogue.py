@@ -226,6 +226,7 @@ FIXED_RULES: tuple[Rule, ...] = (
     _fixed("uri_postgres", "PostgreSQL URI Password", "service_uri", r"((?i:postgres(?:ql)?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", followed="@", shape="userinfo", words=("postgres",)),
     _fixed("uri_mysql", "MySQL URI Password", "service_uri", r"((?i:mysql)://[^\s/:@]{1,100}:)([^\s/@]{3,})", followed="@", shape="userinfo", words=("mysql",)),
     _fixed("uri_elasticsearch", "Elasticsearch URI Password", "service_uri", r"((?i:https?)://(?i:elastic[A-Za-z0-9_]{0,20}):)([^\s/@]{3,})", followed="@", shape="userinfo", words=("elastic",)),
+    _fixed("uri_http", "HTTP URI Password", "service_uri", r"((?i:https?)://[^\s/:@]{1,100}:)([^\s/@]{3,})", followed="@", shape="userinfo", words=("http",)),
     _fixed(
         "dotenv_assignment", "Dotenv Assignment", "config_file",
         r"""((?:^|[\r\n])[ \t]{0,40}(?:export )?[A-Z][A-Z0-9_]{0,40}(?:KEY|TOKEN|SECRET|PASSWORD)=["']?)([^\s"']{8,})""",

@@ -198,3 +198,10 @@ def test_names_are_reported_once(spark):
     assert sorted((r.unit_id, r.rule_id, r.context) for r in found.collect()) == [("1:script:0", "critical_config_file", "uri"), ("2:html:0", "critical_config_file", "uri")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Scan") == 1
+
+
+def test_passwords_in_web_addresses(spark, units):
+    """What stands between user and host; ports and paths are none."""
+    texts = ["https://user:passw0rd@host/x", "http://host:8080/a@b", "https://host/a:bcd", "HTTP://u:abc@h"]
+    found = {(r.unit_id, r.value) for r in detect(units(texts)).collect() if r.rule_id == "uri_http"}
+    assert found == {("0", "passw0rd"), ("3", "abc")}
