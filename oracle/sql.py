@@ -25,13 +25,19 @@ CONVERSATIONS = """SELECT concat(CAST(conv_id AS VARCHAR), '/', CAST(turn AS VAR
   concat('conv/', CAST(conv_id AS VARCHAR), '/', CAST(turn AS VARCHAR)) AS uri, 'raw' AS context, text, role FROM conversations"""
 
 
-def detect(units: str, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (), named: str = "true") -> str:
-    """A query over ``units`` (a query itself) with the raw finding columns. Rules on names look at the units that are ``named``."""
+def detect(units: str, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (), named: str = "true", names_once: bool = False) -> str:
+    """A query over ``units`` (a query itself) with the raw finding columns.
+
+    Rules on names look at the units that are ``named``, or with ``names_once`` at each name once, with its least unit.
+    """
     kept = "".join(f", {c}" for c in keep)
     parts = []
     for rule in rules:
         subject = "uri" if rule.target == "uri" else "text"
         source = f"(SELECT * FROM u WHERE {named})" if rule.target == "uri" else "u"
+        if names_once and rule.target == "uri":
+            first = "".join(f", '' AS text" if c == "text" else f", arg_min({c}, unit_id) AS {c}" for c in keep if c != "uri")
+            source = f"(SELECT uri, 'uri' AS context, min(unit_id) AS unit_id{first} FROM u GROUP BY uri)"
         context = "'uri'" if rule.target == "uri" else "context"
         re = lit(rule.regex)
         bounded = f"WHERE NOT regexp_matches(substring(subj, \"end\" + 1, 1), '[A-Za-z0-9_]')" if rule.bounded else ""
