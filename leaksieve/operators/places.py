@@ -9,52 +9,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import let, running_total
-from ..functions.text import ENTITIES, decode_entities
+from ..functions.matching import let
+from ..functions.text import ENTITIES, decode_reference
 from .contexts import CLOSE, OPEN, RAW, decode_markup
 
 REFERENCE = "&(?:" + "|".join(name[1:-1] for name, _ in (*ENTITIES, ("&amp;", "&"))) + "|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
 
 
 def _token(stored: Column, decoded: Column) -> Column:
-    return F.struct(stored.alias("stored"), decoded.alias("decoded"))
+    return F.struct(F.length(stored).cast("bigint").alias("s"), F.length(decoded).cast("bigint").alias("d"), decoded.alias("decoded"))
 
 
 def _tokens(html: Column) -> Column:
-    """Stored and decoded texts of gaps and references, in order; scripts and styles are gaps."""
+    """Gaps and references in order, as stored length, decoded length and decoded text; scripts and styles are gaps."""
     def of_piece(piece: Column, end: Column) -> Column:
         raw = F.when(end.isNull(), F.lit("")).otherwise(F.regexp_extract(piece, f"{OPEN % RAW}.*", 0))
-        outside = F.left(piece, F.length(piece) - F.length(raw))
-        verbatim = F.concat(raw, F.coalesce(end, F.lit("")))
-        gaps = F.transform(F.split(outside, REFERENCE, -1), lambda gap: _token(gap, gap))
-        references = F.transform(F.regexp_extract_all(outside, F.lit(REFERENCE), F.lit(0)), lambda ref: _token(ref, decode_entities(ref)))
-        # there is one gap more than there are references
-        paired = F.zip_with(gaps, references, lambda gap, ref: F.array_compact(F.array(gap, ref)))
-        return F.array_append(F.flatten(paired), _token(verbatim, verbatim))
+        return let(raw, lambda r: cut(F.left(piece, F.length(piece) - F.length(r)), F.concat(r, F.coalesce(end, F.lit("")))))
+
+    def cut(outside: Column, verbatim: Column) -> Column:
+        def of_outside(text: Column) -> Column:
+            gaps = F.transform(F.split(text, REFERENCE, -1), lambda gap: _token(gap, gap))
+            references = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), lambda ref: let(decode_reference(ref), lambda d: _token(ref, d)))
+            # there is one gap more than there are references
+            return F.flatten(F.zip_with(gaps, references, lambda gap, ref: F.array_compact(F.array(gap, ref))))
+
+        return F.array_append(let(outside, of_outside), let(verbatim, lambda v: _token(v, v)))
 
     ends = F.regexp_extract_all(html, F.lit(CLOSE % RAW), F.lit(0))
     return F.flatten(F.zip_with(F.split(html, CLOSE % RAW, -1), ends, of_piece))
 
 
 def _looked_up(tokens: Column, start: Column, end: Column) -> Column:
-    """(start, end) in the stored page."""
-    def lengths(side: str) -> Column:
-        return F.transform(tokens, lambda t: F.length(t[side]).cast("bigint"))
-
-    def totals(side: str) -> Column:
-        return let(lengths(side), lambda n: running_total(n, F.size(n)))
-
-    rows = F.arrays_zip(lengths("stored").alias("s"), lengths("decoded").alias("d"), totals("stored").alias("st"), totals("decoded").alias("dt"))
+    """(start, end) in the stored page: one pass that carries the totals of both sides."""
+    zero, unknown = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
 
-    def found(table: Column) -> Column:
-        first = F.get(F.filter(table, lambda r: r["dt"] > start), F.lit(0))
-        last = F.get(F.filter(table, lambda r: r["dt"] >= end), F.lit(0))
+    def step(acc: Column, t: Column) -> Column:
         # within a gap places keep their distance; a reference is taken whole
-        begin = F.when(first["s"] == first["d"], first["st"] - first["dt"] + start).otherwise(first["st"] - first["s"])
-        stop = F.when(last["s"] == last["d"], last["st"] - last["dt"] + end).otherwise(last["st"])
-        return F.struct(begin.alias("stored_start"), stop.alias("stored_end"))
+        gap, begins, ends = t["s"] == t["d"], acc["dt"] + t["d"] > start, acc["dt"] + t["d"] >= end
+        begin = F.when(begins, acc["st"] + F.when(gap, start - acc["dt"]).otherwise(zero))
+        stop = F.when(ends, acc["st"] + F.when(gap, end - acc["dt"]).otherwise(t["s"]))
+        return F.struct(
+            (acc["st"] + t["s"]).alias("st"), (acc["dt"] + t["d"]).alias("dt"),
+            F.coalesce(acc["stored_start"], begin).alias("stored_start"), F.coalesce(acc["stored_end"], stop).alias("stored_end"))
 
-    return let(rows, found)
+    nothing = F.struct(zero.alias("st"), zero.alias("dt"), unknown.alias("stored_start"), unknown.alias("stored_end"))
+    return F.aggregate(tokens, nothing, step, lambda acc: F.struct(acc["stored_start"].alias("stored_start"), acc["stored_end"].alias("stored_end")))
 
 
 def stored_places(findings: DataFrame, html_col: str = "html") -> DataFrame:
@@ -71,4 +70,6 @@ def stored_places(findings: DataFrame, html_col: str = "html") -> DataFrame:
         return F.when(whole, _looked_up(tokens, F.col("start"), F.col("end")))
 
     at = F.when(F.col("context") == "html", let(_tokens(html), placed))
-    return findings.withColumn("__at", at).withColumns({c: F.col(f"__at.{c}") for c in ("stored_start", "stored_end")}).drop("__at")
+    row = let(at, lambda a: F.struct(a["stored_start"].alias("stored_start"), a["stored_end"].alias("stored_end")))
+    # out of a generator: a filter on the places is not pushed below it, where the page would be read once more
+    return findings.select("*", F.inline(F.array(row)))

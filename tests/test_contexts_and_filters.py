@@ -223,3 +223,53 @@ def test_places_in_the_stored_page(spark):
         assert r.stored_start == r.html.index("|") + 1
     assert [r.stored_start for r in got if r.unit_id == "98:html:0"] == [None]
     assert all(r.stored_start is None for r in got if r.context != "html")
+
+
+def test_page_is_cut_once(spark):
+    """Scripts are cut out once for all contexts that look into them."""
+    from leaksieve.operators.contexts import contexts
+
+    page = spark.createDataFrame([(1, "https://h.com/a", "<script>a</script>")], "page_id long, url string, html string")
+    plan = contexts(page)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)</script>") == 1
+
+
+def test_single_references(spark):
+    """A reference alone is decoded as within a text."""
+    from leaksieve.functions.text import decode_entities, decode_reference
+
+    refs = ["&lt;", "&gt;", "&quot;", "&apos;", "&nbsp;", "&amp;", "&#38;", "&#038;", "&#x26;", "&#X0026;", "&#65;", "&#x41;", "&#X6a;", "&#x6A;",
+            "&#31;", "&#127;", "&#126;", "&#0;", "&#9999999;", "&#xFFFFFF;", "&#36;", "&#92;", "&#32;", "&#59;", "&#35;"]
+    df = spark.createDataFrame([(ref,) for ref in refs], "ref string").select("ref", decode_reference(F.col("ref")).alias("a"), decode_entities(F.col("ref")).alias("b"))
+    assert [(r.ref, r.a) for r in df.collect()] == [(r.ref, r.b) for r in df.collect()]
+
+
+def test_filter_on_places_reads_pages_once(spark):
+    from leaksieve.operators.places import stored_places
+
+    page = "<p>&lt;&#65;KIA&quot;</p>" + "x&nbsp;" * 600 + "<script>&lt;</script>KEY&amp;"
+    df = spark.createDataFrame([(page, "html", page.replace("&lt;&#65;", "<A").index("AKIA"), 0)], "html string, context string, start long, n long")
+    at = len("<p><AKIA\"</p>") + 600 * 2 + len("<script>&lt;</script>")
+    df = df.select("html", "context", F.lit(at).cast("long").alias("start"), F.lit(at + 4).cast("long").alias("end"))
+    placed = stored_places(df).filter("stored_start >= 0")
+    row = placed.collect()[0]
+    assert page[row.stored_start:row.stored_end] == "KEY&amp;"
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("array_join") <= 3
+
+
+def test_scans_are_spread_over_several_tasks_a_core(spark):
+    from leaksieve.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 100, 1, cores), "id").rdd.getNumPartitions() == 4 * cores
+    assert spread(spark.range(0, 100, 1, 4 * cores), "id").rdd.getNumPartitions() == 4 * cores
+
+
+def test_files_are_spread(spark, tmp_path):
+    from leaksieve.sources.files import read_file
+
+    for i in range(20):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    df = read_file(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.text for r in df.collect()) == sorted(f"text {i}" for i in range(20))
