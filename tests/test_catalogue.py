@@ -44,6 +44,29 @@ def test_gates_are_implied_by_the_regex():
                 assert re.search(rule.tail, text, re.ASCII), (rule.rule_id, text)
 
 
+def test_words_stand_in_names(spark):
+    """Every match of a rule whose words are in names shows one of them there, behind whatever else the text holds."""
+    from leaksieve.functions.matching import names
+
+    rows = [(rule.rule_id, lead + text) for rule in RULES if rule.in_name for text in generated(rule, 8)
+            for lead in ("", "\U0001f642 a=b " * 3 + "\n", "x" * 300 + "=" + "y" * 40 + "_")]
+    words = {rule.rule_id: rule.words for rule in RULES}
+    # only texts that the rule still matches behind what was put in front
+    rows = [(rule_id, text) for rule_id, text in rows if compiled(next(r for r in RULES if r.rule_id == rule_id)).search(text)]
+    assert len({rule_id for rule_id, _ in rows}) >= 70
+    found = spark.createDataFrame(rows, "rule_id string, text string").select("rule_id", "text", names(F.col("text")).alias("names")).collect()
+    assert not [r for r in found if not any(word in r.names for word in words[r.rule_id])]
+
+
+def test_words_are_not_sought_in_texts(spark):
+    """Dozens of words are looked for in a few names, and no text is searched for each of them."""
+    from leaksieve.operators.detect import detect
+
+    df = spark.createDataFrame([("1", "f", "x")], "unit_id string, uri string, text string")
+    plan = detect(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(text") + plan.count("Contains(__lower") < 60
+
+
 def test_near_miss():
     """The shortest value of a rule, one character shorter, is not found any more."""
     for rule in select_rules(RULES, families=["aws", "google", "commerce", "platform", "code_hosting"]):
