@@ -30,13 +30,13 @@ def _hunks(commits: DataFrame) -> tuple[DataFrame, Column, Column]:
     several files behind ``diff --git`` lines; each is booked under its own name.
     """
     files = F.split(F.concat(F.lit("\n"), F.col("patch")), FILE, -1)
-    commits = commits.withColumn("__several", F.size(files) > 1).withColumn("__file", F.explode(files))
+    commits = commits.select("*", F.inline(let(files, lambda own: F.transform(own, lambda file: F.struct((F.size(own) > 1).alias("__several"), file.alias("__file"))))))
     own = F.regexp_extract(F.regexp_extract("__file", r"(?s)\A(.*?)(?:\n@@ |\z)", 1), r"\n[+]{3} (?:b/)?([^\t\n]+)", 1)
     commits = commits.withColumn("path", F.when(F.col("__several") & ~own.isin("", "/dev/null"), own).otherwise(F.col("path")))
     patch = F.concat(F.lit("\n"), F.col("__file"))
     # piece 0 lies before the first hunk
     hunks = F.zip_with(
-        F.slice(F.split(patch, HUNK, -1), F.lit(2), F.greatest(F.size(F.split(patch, HUNK, -1)) - 1, F.lit(0))),
+        let(F.split(patch, HUNK, -1), lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))),
         F.arrays_zip(
             F.regexp_extract_all(patch, F.lit(HUNK), F.lit(1)).alias("old"),
             F.regexp_extract_all(patch, F.lit(HUNK), F.lit(2)).alias("first"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalogue import RULES, Rule
+from ..catalogue import RULES, Rule, may_span_lines
 from ..operators.contexts import CONTEXTS
 from ..operators.detect import best_rule, detect, mask
 from ..operators.filters import drop_likely_false_positives, drop_noise, in_list, in_scope, is_likely_false_positive
@@ -63,8 +63,12 @@ def standing_secrets(commits: DataFrame, rules: Sequence[Rule] = RULES, salt: st
     """
     texts = [rule for rule in rules if rule.target == "text"]
     single = detect(signed_units(commits), texts, keep=("repo", "sign"))
-    several = detect(signed_units(commits, runs=True), texts, keep=("repo", "sign"))
-    return standing(mask(single.unionByName(several.filter(F.col("value").contains("\n"))), salt=salt))
+    # runs are read for the rules whose values can hold a line break
+    spanning = [rule for rule in texts if may_span_lines(rule)]
+    if spanning:
+        several = detect(signed_units(commits, runs=True), spanning, keep=("repo", "sign"))
+        single = single.unionByName(several.filter(F.col("value").contains("\n")))
+    return standing(mask(single, salt=salt))
 
 
 def scan_removed(commits: DataFrame, rules: Sequence[Rule] = RULES, salt: str | None = None, **options) -> DataFrame:

@@ -67,6 +67,16 @@ def test_words_are_not_sought_in_texts(spark):
     assert plan.count("Contains(text") + plan.count("Contains(__lower") < 60
 
 
+def test_values_of_several_lines():
+    """Rules whose values may hold a line break, and no others of the catalogue; in doubt a rule may."""
+    from leaksieve.catalogue import may_span_lines
+
+    spanning = {r.rule_id for r in RULES if r.target == "text" and may_span_lines(r)}
+    assert {"pem_private_key", "pgp_private_key", "ssh2_private_key", "gcp_service_account"} == spanning
+    for value in (".{3}", r"a\s+b", "[^a]{4}", r"[\w\n]{3}", "(?s:a.b)", "a\nb", "[a\n]{3}", r"\Ra", "[a-z&&[^b]]{3}"):
+        assert may_span_lines(Rule("r", "R", "custom", f"()({value})")), value
+
+
 def test_near_miss():
     """The shortest value of a rule, one character shorter, is not found any more."""
     for rule in select_rules(RULES, families=["aws", "google", "commerce", "platform", "code_hosting"]):
