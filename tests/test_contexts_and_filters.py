@@ -259,10 +259,12 @@ def test_filter_on_places_reads_pages_once(spark):
 
 def test_scans_are_spread_over_several_tasks_a_core(spark):
     from leaksieve.session import spread
+    from leaksieve.sources.tables import units_from
 
     cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(0, 100, 1, cores), "id").rdd.getNumPartitions() == 4 * cores
-    assert spread(spark.range(0, 100, 1, 4 * cores), "id").rdd.getNumPartitions() == 4 * cores
+    few, many = spark.range(0, 100, 1, cores), spark.range(0, 100, 1, 4 * cores)
+    assert units_from(few, "id", "id", "'f'").rdd.getNumPartitions() == 4 * cores
+    assert spread(many, "id", 4) is many
 
 
 def test_files_are_spread(spark, tmp_path):
