@@ -136,6 +136,32 @@ def test_redaction_is_the_chain_of_replacements(spark, units):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_rules_without_a_hit_are_tried_only_where_a_label_can_take_part(spark, units):
+    from leaksieve.operators.redact import _meets_labels
+    from samples import compiled
+
+    by_id = {rule.rule_id: rule for rule in RULES}
+    labels = [f"[REDACTED:{rule.type}]" for rule in RULES]
+    assert not any(_meets_labels(by_id[name], labels) for name in ("aws_access_key_id", "github_token", "bearer_token", "slack_webhook"))
+    assert all(_meets_labels(by_id[name], labels) for name in ("jwt", "kw_github", "uri_http", "generic_password", "pem_private_key"))
+    odd = [r"()(TED:AWS)", r"()(x\b[0-9])", r"()(\][0-9])", r"()(.{9}z)", r"()(x(?=y))", r"()(\S{9}z)", r"()([^a]z)", r"()([a-z&&[x]]z)", r"(()x)(z$)", r"()(\p{L}z)"]
+    assert all(_meets_labels(Rule("r", "R", "r", regex), labels) for regex in odd)
+    # rules that meet what earlier ones leave, none of which hits the text itself
+    rules = [by_id["aws_access_key_id"], Rule("next", "Next", "r", r"(Key ID\])([0-9]{3}_)", bounded=True), Rule("inside", "In", "r", r"()(REDACTED:Next)"), by_id["jwt"]]
+    rng = random.Random(5)
+    pieces = [generated(rule, 1)[0] for rule in RULES if rule.target == "text"] + ["AKIA" + "B7" * 8, "123_", "eyJabcd.eyJabcd.abcdefghij", "]", "[", " ", "\n"]
+    texts = ["".join(rng.choices(pieces, k=6)) for _ in range(60)] + ["AKIA" + "B7" * 8 + "123_eyJabcd.eyJabcd.abcdefghij", "AKIA" + "B7" * 8 + "eyJabcd.eyJabcd.abcdefghij"]
+    for chosen in ([rule for rule in RULES if rule.target == "text"], rules, rules[:1]):
+        want = []
+        for text in texts:
+            for rule in chosen:
+                whole = re.compile(compiled(rule).pattern + rule.followed, re.ASCII)
+                text = whole.sub(lambda m, rule=rule: m.group(1) + f"[REDACTED:{rule.type}]{rule.followed}", text)
+            want.append(text)
+        got = {int(r.unit_id): r.text for r in redact(units(texts), chosen).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 @settings(max_examples=5, deadline=None, database=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(alphabet='ab=:"\' -_/@.🙂é\nK9', max_size=60), min_size=5, max_size=40))
 def test_arbitrary_text(spark, units, texts):
