@@ -23,6 +23,8 @@ from .held_out import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
+# All ASCII characters but letters, as blanks.
+_BLANKED = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
 @dataclass(frozen=True)
@@ -34,12 +36,18 @@ class Size:
     longest: int = 4
 
 
-def _grams(word: str, longest: int) -> Iterator[str]:
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, in order."""
+    lowered = text.lower()
+    return lowered.translate(_BLANKED).split() if lowered.isascii() else WORD.findall(lowered)
+
+
+def _grams(word: str, longest: int) -> list[str]:
     marked = f"\x02{word}\x03"
-    for n in range(1, longest + 1):
-        for k in range(len(marked) - n + 1):
-            if (gram := marked[k:k + n]) not in ("\x02", "\x03"):
-                yield gram
+    found = list(word)
+    for n in range(2, longest + 1):
+        found += [marked[k:k + n] for k in range(len(marked) - n + 1)]
+    return found
 
 
 def _counted(rows: DataFrame, column: str, weight: str | None, terms) -> DataFrame:
@@ -61,8 +69,9 @@ def _counted(rows: DataFrame, column: str, weight: str | None, terms) -> DataFra
                 if weights is None:
                     counts.update(terms(value))
                 else:
+                    get, weight_k = counts.get, weights[k]
                     for term in terms(value):
-                        counts[term] += weights[k]
+                        counts[term] = get(term, 0) + weight_k
                 if not k % 64 and sum(map(len, held.values())) > 300_000:
                     yield flush()
         yield flush()
@@ -109,7 +118,7 @@ def train(docs: DataFrame, size: Size = Size()) -> Model:
     langs = sorted(per_lang)
     if not langs:
         return Model([], np.zeros(0), {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), size.longest)
-    words = written(_counted(rows, "text", None, lambda t: WORD.findall(t.lower())), "words")
+    words = written(_counted(rows, "text", None, words_of), "words")
     grams = written(_counted(words, "term", "n", lambda w: _grams(w, size.longest)), "grams")
     prior = np.log(np.array([per_lang[lang] for lang in langs]) / sum(per_lang.values()))
     return Model(langs, prior, *_tops(words, langs, size.words), *_tops(grams, langs, size.grams), size.longest)
@@ -128,33 +137,43 @@ class Scorer:
         self.known = {w: i + 1 for w, i in self.model.words.items()}
         self.used = self.first
 
-    def _row(self, word: str) -> int:
-        """The place of an unseen word's row; 0, a row of zeros, if not even a letter of it is known."""
-        found: list[int] = []
-        marked = f"\x02{word}\x03"
-        for n in range(min(self.model.longest, len(marked)), 0, -1):
-            grams = (self.model.grams.get(marked[k:k + n]) for k in range(len(marked) - n + 1))
-            if found := [g for g in grams if g is not None]:
-                break
-        at = 0
-        if found:
-            at, self.used = self.used, self.used + 1
-            self.rows[at] = self.model.gram_logs[found].mean(axis=0)
-        self.known[word] = at
-        return at
+    def _learn(self, words: list[str]) -> None:
+        """Rows for unseen words; a word of which not even a letter is known gets the place 0, a row of zeros."""
+        get, longest = self.model.grams.get, self.model.longest
+        places, sizes, named = [], [], []
+        for word in words:
+            marked, found = f"\x02{word}\x03", []
+            for n in range(min(longest, len(marked)), 0, -1):
+                if found := [g for k in range(len(marked) - n + 1) if (g := get(marked[k:k + n])) is not None]:
+                    break
+            if found:
+                places += found
+                sizes.append(len(found))
+                named.append(word)
+            else:
+                self.known[word] = 0
+        if named:
+            end = self.used + len(named)
+            sums = np.add.reduceat(self.model.gram_logs[places], np.cumsum([0, *sizes[:-1]]), axis=0)
+            self.rows[self.used:end] = sums / np.array(sizes)[:, None]
+            self.known.update(zip(named, range(self.used, end)))
+            self.used = end
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall(text.lower())) if text else Counter()
+        words = Counter(words_of(text)) if text else Counter()
         if not self.model.langs or not any(any(c.isalpha() for c in w) for w in words):
             return UNDETERMINED, 0.0
-        total, held = self.model.prior.copy(), list(words.items())
+        total, held = self.model.prior.copy(), list(words)
+        counts = np.fromiter(words.values(), dtype=np.float64, count=len(held))
         for k in range(0, len(held), 50_000):
             part = held[k:k + 50_000]
             if self.used + len(part) > len(self.rows):
                 self._reset()
-            get, row = self.known.get, self._row
-            ids = np.fromiter((i if (i := get(w)) is not None else row(w) for w, _ in part), dtype=np.int64, count=len(part))
-            total += np.array([n for _, n in part], dtype=np.float64) @ self.rows[ids]
+            ids = list(map(self.known.get, part))
+            if None in ids:
+                self._learn([w for w, i in zip(part, ids) if i is None])
+                ids = list(map(self.known.get, part))
+            total += counts[k:k + 50_000] @ self.rows[ids]
         best = int(np.argmax(total))
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 

@@ -466,3 +466,22 @@ def test_sketches_merge_and_estimate(spark, clashing):
     parts = df.select(F.lit(1).alias("g"), F.explode(F.array("a", "b")).alias("fingerprint"))
     merged = sketch.merge_groups(parts, ["g"]).first().fingerprint
     assert merged == df.select(sketch.merge(F.col("a"), F.col("b")).alias("m")).first().m
+
+
+def test_language_rows_of_unseen_words_are_the_means_of_their_longest_known_grams():
+    import numpy as np
+
+    assert language.words_of("It's a_b c3d É-ß, ﬁ ² Straße") == [w for w in language.WORD.findall("it's a_b c3d é-ß, ﬁ ² straße")]
+    assert language.words_of("\x02Tabs\tand\x03 A-Z[^]`{|}~\x7f 09 end") == language.WORD.findall("\x02tabs\tand\x03 a-z[^]`{|}~\x7f 09 end")
+    assert set(language._grams("abc", 3)) == {"a", "b", "c", "\x02a", "ab", "bc", "c\x03", "\x02ab", "abc", "bc\x03"}
+    grams = ["\x02ab", "abc", "bc\x03", "x", "\x02x"]
+    logs = np.random.default_rng(1).normal(size=(len(grams), 2))
+    model = language.Model(["aa", "bb"], np.zeros(2), {"known": 0}, np.array([[-1.0, -2.0]]), {g: i for i, g in enumerate(grams)}, logs, 4)
+    scorer = language.Scorer(model, remembered=3)
+    scorer._learn(["abc", "x", "qq"])
+    rows = {w: scorer.rows[i].tolist() for w, i in scorer.known.items()}
+    assert rows["abc"] == logs[[0, 1, 2]].mean(axis=0).astype(np.float32).tolist()
+    assert rows["x"] == logs[4].astype(np.float32).tolist() and rows["qq"] == [0, 0] and rows["known"] == [-1, -2]
+    # the memory of words is full, and begins anew
+    first = [scorer.predict(t) for t in ("abc x", "abcd abce xa", "known qq", "xb xc xd")]
+    assert first == [language.Scorer(model).predict(t) for t in ("abc x", "abcd abce xa", "known qq", "xb xc xd")]
