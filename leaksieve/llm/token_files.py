@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 # Words that a Python worker remembers. Bounds memory only.
 REMEMBERED_WORDS = 500_000
+# New words that are given to the library at a time: a word of a long text takes it longer than one of a short text.
+LEARNED_WORDS = 100
 
 SEGMENT_SCHEMA = (
     "part int, first_doc long, last_doc long, part_start long, dictionary_sha256 string, "
@@ -125,12 +127,13 @@ class WordwiseTokenizer:
         # letters with a mark behind them are made of what the letters and the mark give
         marked = [w for w in missing if w.endswith(self.marks) and _is_letters(w[:-1])] if self.marks else []
         new = list(missing.difference(marked).union(w[:-1] for w in marked).union(self.marks).difference(self.known))
-        for k in range(0, len(new), 2000):
-            self._learn(new[k:k + 2000])
+        for k in range(0, len(new), LEARNED_WORDS):
+            self._learn(new[k:k + LEARNED_WORDS])
         known = self.known
+        ids_of = known.__getitem__
         known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
         return [
-            self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if w else b"".join([known[x] for x in ws])
+            self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if w else b"".join(map(ids_of, ws))
             for t, w, ws in zip(texts, whole, words)
         ]
 

@@ -485,3 +485,14 @@ def test_language_rows_of_unseen_words_are_the_means_of_their_longest_known_gram
     # the memory of words is full, and begins anew
     first = [scorer.predict(t) for t in ("abc x", "abcd abce xa", "known qq", "xb xc xd")]
     assert first == [language.Scorer(model).predict(t) for t in ("abc x", "abcd abce xa", "known qq", "xb xc xd")]
+
+
+def test_new_words_are_encoded_a_few_at_a_time_as_the_library_encodes_whole_texts(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "é", "b.", "zq", "0", "7x", " ", " ", "\n", "-", "ß,", "日", "'s"]) for _ in range(600)) for _ in range(12)]
+    own, plain = token_files.WordwiseTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    seen = []
+    monkeypatch.setattr(own, "_learn", lambda words, learn=own._learn: (seen.append(len(words)), learn(words)))
+    got = [np.frombuffer(p, dtype=f"<u{own.width}").tolist() for p in own.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(seen) > 2 and max(seen) <= token_files.LEARNED_WORDS
